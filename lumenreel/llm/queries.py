@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
 from .packing import op9_packing
+from .simhash import op5_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate, "op9_packing": op9_packing}
+    return {"op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
