@@ -31,8 +31,10 @@ from .common import read
 
 #: Labelled documents of each class (0, 1) in the training sample, and the longest text in it, in code points.
 SAMPLE, SAMPLE_CHARS = (3000, 1500), 20_000
-WINDOW, TRAIN_WINDOW, TRAIN_WINDOWS = 256, 64, 6000
+WINDOW, TRAIN_WINDOW, TRAIN_WINDOWS = 256, 64, 4000
 REJECT = 0.3
+#: Share of toxic documents among those with a feature, from which the feature can mark a token for training.
+PURE = 0.9
 #: Marginals below it don't count in a document's score.
 LEAST = 0.1
 #: Token types a worker remembers the weight of.
@@ -151,12 +153,12 @@ def associated(docs: list[list[str]], toxic: list[int]) -> set[str]:
     for f, a in counts[1].items():
         b = counts[0][f]
         p, base = a / (a + b), n1 / (n0 + n1)
-        if p > max(0.5, base) and a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0) >= need:
+        if p >= max(PURE, base) and a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0) >= need:
             found.add(f)
     return found
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 60, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], rounds: int = 40, seed: int = 7) -> Model:
     zero = np.zeros((2, 2))
     if len(set(toxic)) < 2:
         return Model({}, 0.0, zero, (0.0, 0.0), float(np.mean(toxic)) if toxic else 0.0)
