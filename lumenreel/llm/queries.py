@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
+from .linededup import op4_line_dedup
 from .packing import op9_packing
 from .simhash import op5_simhash
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
+    return {"op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
 
 
 def oracle_sql() -> dict[str, str]:
