@@ -94,18 +94,21 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict[str, int]]:
     return [{"start": int(point[at[i][0]]), "end": int(point[at[j - 1][1]])} for i, j in edge.reshape(-1, 2)]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """One row per document row: SCHEMA. A narrow scan of docs; only the size-checked benchmark is broadcast."""
+def _items(benchmark: DataFrame) -> list[tuple[str, str]]:
+    """The benchmark's items, after a check of their size."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     if size > BENCHMARK_BYTES:
         raise ValueError(f"benchmark texts hold {size} bytes; raise BENCHMARK_BYTES or split the benchmark")
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), "text").collect()
-    shared = docs.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
+    return [(r[0], r[1]) for r in benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string"), F.col("text").cast("string")).collect()]
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """One row per document row: SCHEMA. A narrow scan of docs; only the size-checked benchmark is broadcast."""
+    shared = docs.sparkSession.sparkContext.broadcast(_items(benchmark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        autos = None
+        autos = automata(windows(shared.value, n), shard_bytes)
         for batch in batches:
-            autos = automata(windows(shared.value, n), shard_bytes) if autos is None else autos
             cols: list[list] = [[] for _ in _ARROW]
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
@@ -115,7 +118,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, shard_b
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """docs, all columns, without the rows in which a benchmark window occurs."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(_items(benchmark)), docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        autos = automata(windows(shared.value, n), shard_bytes)
+        for batch in batches:
+            yield batch.filter(pa.array([scan(t.as_py(), autos)[1] is None for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
