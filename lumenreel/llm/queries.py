@@ -10,11 +10,12 @@ from .decontaminate import op3_decontaminate
 from .linededup import op4_line_dedup
 from .packing import op9_packing
 from .simhash import op5_simhash
+from .substring import op10_substring
 from .toxicity import op7_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing}
+    return {"op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op9_packing": op9_packing, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
