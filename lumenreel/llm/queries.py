@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op3_decontaminate
+from .langid import op2_langid
 from .linededup import op4_line_dedup
 from .packing import op9_packing
 from .simhash import op5_simhash
@@ -17,7 +18,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_substring": op10_substring}
+    return {"op1_topk": op1_topk, "op2_langid": op2_langid, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_substring": op10_substring}
 
 
 def oracle_sql() -> dict[str, str]:
