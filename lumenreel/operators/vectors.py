@@ -26,8 +26,8 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """L2-normalised; the norm counts as 1e-8 at least."""
-    n = F.greatest(norm(v), F.lit(1e-8))
-    return F.transform(v, lambda x: x / n)
+    n = F.greatest(norm(v), F.lit(1e-8))  # bound by a lambda of its own, else every component would compute it again
+    return F.transform(F.array(n), lambda m: F.transform(v, lambda x: x / m))[0]
 
 
 def mean_vectors(df: DataFrame, keys: list[str], v: str) -> DataFrame:
