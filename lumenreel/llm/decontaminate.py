@@ -134,4 +134,16 @@ def clean(docs: DataFrame, benchmark: DataFrame, n: int = WORDS, shard_bytes: in
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("hit_spans")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+p AS (SELECT DISTINCT item, least(10, len(w)) AS n, array_to_string(list_slice(w, i + 1, i + least(10, len(w))), ' ') AS k FROM b, LATERAL (SELECT unnest(range(greatest(1, len(w) - 9))) AS i) WHERE len(w) > 0),
+o AS (SELECT r, i, l.n, array_to_string(list_slice(w, i + 1, i + l.n), ' ') AS k FROM d, (SELECT DISTINCT n FROM p) l, LATERAL (SELECT unnest(range(greatest(0, len(w) - l.n + 1))) AS i)),
+h AS (SELECT r, i, o.n, item FROM o JOIN p ON o.k = p.k AND o.n = p.n),
+c AS (SELECT r, count(DISTINCT j) AS n_hit FROM h, LATERAL (SELECT unnest(range(i, i + n)) AS j) GROUP BY r),
+t AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN c USING (r) LEFT JOIN t USING (r)
+"""

@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .decontaminate import op3_decontaminate
+from .decontaminate import OP3_SQL, op3_decontaminate
 from .langid import op2_langid
 from .linededup import op4_line_dedup
 from .packing import op9_packing
 from .pii import op6_pii
 from .simhash import op5_simhash
-from .substring import op10_substring
+from .substring import OP10_SQL, op10_substring
 from .topk import OP1_SQL, op1_topk
 from .toxicity import op7_toxicity
 from .warc import OP8_SQL, op8_warc
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk": OP1_SQL, "op8_warc": OP8_SQL}
+    return {"op1_topk": OP1_SQL, "op3_decontaminate": OP3_SQL, "op8_warc": OP8_SQL, "op10_substring": OP10_SQL}

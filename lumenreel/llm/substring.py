@@ -312,4 +312,13 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op10_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(read(spark, sf_dir, "documents"))
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("removed")
+
+
+OP10_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT r, doc_id, i, array_to_string(list_slice(w, i + 1, i + 20), ' ') AS k FROM d, LATERAL (SELECT unnest(range(greatest(0, len(w) - 19))) AS i) WHERE doc_id IS NOT NULL),
+f AS (SELECT k, min((doc_id, i)) AS first FROM x GROUP BY k HAVING count(*) > 1),
+g AS (SELECT r, list(DISTINCT j) AS gone FROM x JOIN f USING (k), LATERAL (SELECT unnest(range(i + 1, i + 21)) AS j) WHERE (doc_id, i) > first GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed, sha256(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda v, j: NOT list_contains(gone, j)) END, ' ')) AS kept_sha256 FROM d LEFT JOIN g USING (r)
+"""
