@@ -1,7 +1,7 @@
 """Fuzzy line dedup: MinHash over character shingles, high-recall banding, exact Jaccard, distributed union-find.
 
 A line's normal form is lower case with white space collapsed; empty ones never count. Equal normal forms are one node
-(64-bit hash). Two nodes are linked if the Jaccard similarity of their sets of SHINGLE-character shingles is at least
+(64-bit hash). Two nodes are linked if the Jaccard similarity of their sets of SHINGLE-character shingles (as 64-bit hashes) is at least
 SIMILARITY (a shorter line is one shingle). Candidates share one of BANDS bands of ROWS minima, which finds a pair at 0.8 with
 probability over 0.999; every candidate link is checked against the texts. Of each component only the first line
 stays: least doc_id, then least line number.
@@ -38,8 +38,7 @@ _M = np.uint64(0x9E3779B97F4A7C15)
 
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    return h ^ (h >> np.uint64(29))
 
 
 def normal(line: str) -> str:
@@ -57,28 +56,49 @@ def lines_of(text: str | None) -> Iterator[tuple[int, str]]:
             yield i, n
 
 
-def band_keys(lines: list[str], k: int = SHINGLE) -> np.ndarray:
-    """int64[line, band]; computed for all lines side by side."""
+def _hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """64-bit hashes of all k-character shingles of lines that stand one after another, and where each line's begin and end."""
     pad = "\0" * (k - 1)
     c = np.frombuffer((pad.join(lines) + pad).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.zeros(len(c) - k + 1, np.uint64)
-    for j in range(k):
-        h = h * _M + c[j : j + len(h)]
-    count = np.maximum(1, n - k + 1)
+    h, have, power = c, 1, int(_M)
+    for bit in bin(k)[3:]:  # of twice as many characters, and of one more where the bit says so
+        h = h[:-have] * np.uint64(power) + h[have:]
+        have, power = 2 * have, power * power & (2**64 - 1)
+        if bit == "1":
+            h = h[: len(c) - have] * _M + c[have:]
+            have, power = have + 1, power * int(_M) & (2**64 - 1)
     first = np.cumsum(n + k - 1) - (n + k - 1)
-    at = np.repeat(first, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    v = (_mix(h[at]) >> np.uint64(32)).astype(np.uint32)
-    cuts = np.cumsum(count) - count
+    return _mix(h), first, first + np.maximum(1, n - k + 1)
+
+
+def band_keys(lines: list[str], k: int = SHINGLE) -> np.ndarray:
+    """int64[line, band]; computed for all lines side by side."""
+    h, first, end = _hashes(lines, k)
+    v = np.append((h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
+    cuts = np.stack([first, end], 1).ravel()
     keys = np.empty((len(lines), BANDS), np.int64)
     for b in range(BANDS):
         x = np.full(len(lines), b + 1, np.uint64)
         for a in _ODD[b * ROWS : (b + 1) * ROWS]:
-            x = _mix(x * _M + np.minimum.reduceat(v * a, cuts))
+            x = _mix(x * _M + np.minimum.reduceat(v * a, cuts)[::2])
         keys[:, b] = x.view(np.int64)
     return keys
 
 
+def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
+    """The set of each line's shingles, as sorted distinct hashes."""
+    out: list[np.ndarray] = []
+    begin = size = 0
+    for i, n in enumerate(lines):
+        size += len(n)
+        if size >= BLOCK or i + 1 == len(lines):
+            h, first, end = _hashes(lines[begin : i + 1], k)
+            out += [np.unique(h[s:e]) for s, e in zip(first.tolist(), end.tolist(), strict=True)]
+            begin, size = i + 1, 0
+    return out
+
+
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text) -> (node, doc_id, line)."""
     for b in batches:
@@ -144,22 +164,19 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(n[keep])], names=["key", "node"])
 
 
-def shingles(norm: str, k: int = SHINGLE) -> frozenset[str]:
-    return frozenset(norm[i : i + k] for i in range(max(1, len(norm) - k + 1)))
-
-
-def similar(a: frozenset, b: frozenset, least: float = SIMILARITY) -> bool:
+def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Jaccard similarity of two sets of sorted distinct values."""
     if min(len(a), len(b)) < least * max(len(a), len(b)):
         return False
-    both = len(a & b)
-    return both >= least * (len(a) + len(b) - both) - 1e-9
+    both = np.sort(np.concatenate([a, b]), kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= least * (len(both) - same) - 1e-9
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, node, norm) sorted by cell -> links (a, b) that span what is similar in each cell."""
 
-    def forest(ids: list[int], norms: list[str]) -> Iterator[tuple[int, int]]:
-        sets = [shingles(x) for x in norms]
+    def forest(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
         root = list(range(len(ids)))
 
         def top(i: int) -> int:
@@ -173,20 +190,20 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     root[max(x, y)] = min(x, y)
                     yield ids[i], ids[j]
 
-    cell, ids, norms = None, [], []
+    cell, ids, sets = None, [], []
     links: list[tuple[int, int]] = []
     for b in batches:
-        for c, i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for c, i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist()), strict=True):
             if c != cell:
-                links += forest(ids, norms)
-                cell, ids, norms = c, [], []
+                links += forest(ids, sets)
+                cell, ids, sets = c, [], []
             if not ids or ids[-1] != i:
                 ids.append(i)
-                norms.append(n)
+                sets.append(n)
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
             links = []
-    links += forest(ids, norms)
+    links += forest(ids, sets)
     if links:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
