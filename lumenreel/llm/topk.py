@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import cut, read
@@ -165,24 +165,18 @@ def _select(spark, c: DataFrame, q: DataFrame, size: dict, per: int, k: int, sel
                 near = near[np.lexsort((ci[near], -own[near]))[:k]]
                 yield pd.DataFrame({"block": r["block"], "row": np.int32(j), "query_id": qi[j], "vec_id": ci[near], "score": own[near]})
 
-    # scores lie in [-most, most]; widths are powers of BUCKETS that cover it
+    # all scores lie in [-most, most]; the first interval covers them, each round narrows it BUCKETS times, the last to one value
+    most = max(int(r["top"] * r["top"] * d) for d, r in size.items())
+    rounds = 1
+    while BUCKETS**rounds < 2 * most + 1:
+        rounds += 1
+
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for r in b.to_pylist():
-                most = int(r["top"] * tops[r["dim"]] * r["dim"])
-                width = 1
-                while width * BUCKETS < 2 * most + 1:
-                    width *= BUCKETS
-                out.append(np.tile(np.array([-most, width, k], np.int64), (r["n"], 1)).tobytes())
+            out = [np.tile(np.array([-most, BUCKETS ** (rounds - 1), k], np.int64), (n, 1)).tobytes() for n in b.column("n").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(out, pa.binary())], names=["block", "state"])
 
-    tops = {d: r["top"] for d, r in size.items()}
-    states = cut(q.select("dim", "block", "n", "top").mapInArrow(begin, "block long, state binary"), "topk-state")
-    widest = max(int(r["top"] * r["top"] * r["dim"]) for r in size.values())
-    rounds, span = 1, BUCKETS
-    while span < 2 * widest + 1:
-        rounds, span = rounds + 1, span * BUCKETS
+    states = cut(q.select("block", "n").mapInArrow(begin, "block long, state binary"), "topk-state")
 
     def narrow(pdf: pd.DataFrame) -> pd.DataFrame:
         """One query block's sums and state -> its next state."""
@@ -202,8 +196,6 @@ def _select(spark, c: DataFrame, q: DataFrame, size: dict, per: int, k: int, sel
     for _ in range(rounds):
         counts = _cells(q.join(states, "block"), c, per, count, "block long, row int, bucket int, n long").groupBy("block", "row", "bucket").agg(F.sum("n").alias("n"))
         states = cut(states.join(counts, "block", "left").groupBy("block").applyInPandas(narrow, "block long, state binary"), "topk-state")
-    from pyspark.sql import Window
-
     found = cut(_cells(q.join(states, "block"), c, per, last, "block long, row int, query_id long, vec_id long, score long"), "topk-found")
     w = Window.partitionBy("block", "row").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
