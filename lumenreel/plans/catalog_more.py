@@ -472,3 +472,74 @@ def stream_energy_windows(s, d):
 @_query("SELECT user_id AS cluster_id, arg_max(event_type, event_id) AS name FROM events GROUP BY user_id")
 def stream_label_edits(s, d):
     return streams.drained_edits(s, d)
+
+
+# filters, geometry, labels ----------------------------------------------------------------------------------------
+
+
+@_query("SELECT event_id, round(CASE WHEN d >= 2 THEN e / d * (t - d) END, 6) AS left_sec FROM (SELECT event_id, event_id % 7 AS d, 9 AS t, value AS e FROM events)")
+def eta_remaining(s, d):
+    e = A.table(s, d, "events")
+    return e.select("event_id", F.round(N.remaining(F.col("event_id") % 7, F.lit(9), F.col("value")), 6).alias("left_sec"))
+
+
+@_query("""SELECT event_id, CAST(greatest(0, floor(x * u - w * u * 0.3)) AS INTEGER) AS x0, CAST(greatest(0, floor(y * u - h * u * 0.3)) AS INTEGER) AS y0, CAST(least(fw, floor((x + w) * u + w * u * 0.3)) AS INTEGER) AS x1, CAST(least(fh, floor((y + h) * u + h * u * 0.3)) AS INTEGER) AS y1
+FROM (SELECT *, greatest(CAST(1.0 AS DOUBLE), greatest(fw, fh) / CAST(960 AS DOUBLE)) AS u FROM (SELECT event_id, event_id % 900 AS x, event_id % 500 AS y, 10 + event_id % 90 AS w, 12 + event_id % 80 AS h, 800 + event_id % 3100 AS fw, 600 + event_id % 1500 AS fh FROM events))""")
+def crop_boxes(s, d):
+    i = F.col("event_id")
+    e = A.table(s, d, "events").select("event_id", (i % 900).alias("x"), (i % 500).alias("y"), (10 + i % 90).alias("w"), (12 + i % 80).alias("h"), (800 + i % 3100).alias("fw"), (600 + i % 1500).alias("fh"))
+    box = N.crop(*[F.col(c) for c in ("x", "y", "w", "h", "fw", "fh")])
+    return e.select("event_id", *[b.alias(n) for b, n in zip(box, ("x0", "y0", "x1", "y1"), strict=True)])
+
+
+@_query("SELECT cluster_id, n, name FROM (SELECT cluster_id, count(*) AS n, any_value(name) AS name FROM faces LEFT JOIN people USING (cluster_id) WHERE cluster_id >= 0 GROUP BY cluster_id) WHERE contains(CAST(cluster_id AS VARCHAR), 'ra') OR contains(lower(name), 'ra')", "faces", "people")
+def labeler_search(s, d):
+    q = "ra"
+    return library.cluster_summary(A.faces(s, d), A.people(s, d)).where(F.col("cluster_id").cast("string").contains(q) | F.lower("name").contains(q))
+
+
+@_query("SELECT tag, path FROM (SELECT tag, path, row_number() OVER (PARTITION BY tag ORDER BY score, path) AS r FROM auto_tags JOIN videos ON videos.id = video_id) WHERE r > 6", "videos", "auto_tags")
+def rest_of_clips(s, d):
+    t = A.auto_tags(s, d).join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id")
+    shown = tagging.rollup(t).select("tag", F.explode("weakest").alias("path"))
+    return t.select("tag", "path").join(shown, ["tag", "path"], "left_anti")
+
+
+@_query("SELECT den AS rate_den, count(*) AS clips FROM (SELECT CASE WHEN id % 4 IN (0, 2) THEN 30000 ELSE 60000 END AS den FROM videos) GROUP BY den", "faces", "videos")
+def rate_histogram(s, d):
+    return timeline.clip_rates(_clips(s, d)).select(F.col("den").alias("rate_den"), "clips")
+
+
+@_query("SELECT id, path FROM videos WHERE id NOT IN (SELECT video_id FROM frames) AND id % 11 <> 0", "faces", "videos", "frames")
+def needs_embedding(s, d):
+    v = A.videos(s, d).where("id % 11 != 0").select("id", "path")
+    return v.join(A.frames(s, d).select(F.col("video_id").alias("id")), "id", "left_anti")
+
+
+@_query("SELECT video_id, timestamp_sec, vec_id FROM frames WHERE video_id = 7", "frames")
+def clip_frames(s, d):
+    return A.frames(s, d).where("video_id = 7").select("video_id", "timestamp_sec", "vec_id")
+
+
+@_query("SELECT vec_id, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings")
+def blob_codec(s, d):
+    e = A.table(s, d, "embeddings").select("vec_id", vectors.from_f32(vectors.to_f32("embedding")).alias("e"))
+    return e.select("vec_id", F.round(F.aggregate(vectors.doubles(F.col("e")), F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@_query("SELECT video_id, names || CASE WHEN n > 3 THEN ' +' || CAST(n - 3 AS VARCHAR) || ' more' ELSE '' END AS seen FROM (SELECT video_id, array_to_string(list_slice(list_sort(list_distinct(list('e' || CAST(id AS VARCHAR)))), 1, 3), ', ') AS names, count(DISTINCT id) AS n FROM faces GROUP BY video_id)", "faces")
+def seen_in_labels(s, d):
+    f = A.faces(s, d).groupBy("video_id").agg(F.sort_array(F.collect_set(F.concat(F.lit("/x/e"), F.col("id").cast("string")))).alias("p"))
+    return f.select("video_id", T.seen_in(F.col("p")).alias("seen"))
+
+
+@_query("SELECT id, sha256(path || 'salt') AS hashed, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN CAST(CAST(round(m) AS BIGINT) AS VARCHAR) || CASE WHEN round(m) = 1 THEN ' minute' ELSE ' minutes' END || ' ago' WHEN round(m / 60) < 24 THEN CAST(CAST(round(m / 60) AS BIGINT) AS VARCHAR) || CASE WHEN round(m / 60) = 1 THEN ' hour' ELSE ' hours' END || ' ago' ELSE CAST(CAST(round(m / 1440) AS BIGINT) AS VARCHAR) || CASE WHEN round(m / 1440) = 1 THEN ' day' ELSE ' days' END || ' ago' END AS age FROM (SELECT id, path, CAST(id * id AS DOUBLE) / 2 AS m FROM videos)", "faces", "videos")
+def ids_and_ages(s, d):
+    m = (F.col("id") * F.col("id")).cast("double") / 2
+    return A.videos(s, d).select("id", T.hashed_id(F.col("path"), "salt").alias("hashed"), T.age(m).alias("age"))
+
+
+@_query("SELECT event_id, greatest(1, CAST(value AS INTEGER) % 40 - 20) AS w, value / 100 AS score FROM events WHERE value / 100 >= 0.5")
+def detection_filter(s, d):
+    e = A.table(s, d, "events").select("event_id", F.greatest(F.lit(1), F.rint("value").cast("int") % 40 - 20).alias("w"), (F.col("value") / 100).alias("score"))
+    return e.where("score >= 0.5")
