@@ -94,7 +94,12 @@ def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
         size += len(n)
         if size >= BLOCK or i + 1 == len(lines):
             h, first, end = _hashes(lines[begin : i + 1], k)
-            out += [np.unique(h[s:e]) for s, e in zip(first.tolist(), end.tolist(), strict=True)]
+            for s, e in zip(first.tolist(), end.tolist(), strict=True):
+                v = np.sort(h[s:e])
+                new = np.empty(len(v), bool)
+                new[0] = True
+                np.not_equal(v[1:], v[:-1], out=new[1:])
+                out.append(v[new])
             begin, size = i + 1, 0
     return out
 
@@ -173,10 +178,36 @@ def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
     return same >= least * (len(both) - same) - 1e-9
 
 
+def similar_pairs(sets: list[np.ndarray], least: float = SIMILARITY, columns: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i, j) of similar sets among many: intersections of all pairs at once, as products of the sets' rows over the values that
+    two of them hold, a bounded number of values at a time."""
+    n = np.array([len(x) for x in sets])
+    values, where, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), n)
+    shared = np.cumsum(times > 1) - 1
+    ok = times[where] > 1
+    row, col = row[ok], shared[where[ok]]
+    both, width = np.zeros((len(sets), len(sets)), np.float32), int((times > 1).sum())
+    columns = min(columns, max(1, width))
+    for at in range(0, width, columns):
+        x = np.zeros((len(sets), columns), np.float32)
+        part = (col >= at) & (col < at + columns)
+        x[row[part], col[part] - at] = 1
+        both += x @ x.T
+    i, j = np.nonzero(np.triu(both >= least * (n[:, None] + n - both) - 1e-6, 1))
+    return i, j
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (cell, node, norm) sorted by cell -> links (a, b) that span what is similar in each cell."""
 
     def forest(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        if len(ids) < 2:
+            return
+        if len(ids) == 2:
+            if similar(*sets):
+                yield ids[0], ids[1]
+            return
         root = list(range(len(ids)))
 
         def top(i: int) -> int:
@@ -184,11 +215,10 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 root[i] = i = root[root[i]]
             return i
 
-        for i in range(1, len(ids)):
-            for j in range(i):  # a pair that is joined already needs no look
-                if (x := top(j)) != (y := top(i)) and similar(sets[i], sets[j]):
-                    root[max(x, y)] = min(x, y)
-                    yield ids[i], ids[j]
+        for i, j in zip(*(x.tolist() for x in similar_pairs(sets)), strict=True):
+            if (x := top(i)) != (y := top(j)):
+                root[max(x, y)] = min(x, y)
+                yield ids[i], ids[j]
 
     cell, ids, sets = None, [], []
     links: list[tuple[int, int]] = []
