@@ -163,7 +163,7 @@ def top_tags_per_clip(s, d):
 _SQL["top_tags_per_clip"] = _with(_FP + _rel(Tagging()), "SELECT video_id, tag, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, tag) AS rank FROM kp) WHERE rank <= 3", "frames")
 
 
-@_query("SELECT id AS video_id, tag, 1.0 AS score FROM videos, (VALUES ('beach'), ('dog')) t(tag)", "faces", "videos")
+@_query("SELECT id AS video_id, tag, CAST(1.0 AS DOUBLE) AS score FROM videos, (VALUES ('beach'), ('dog')) t(tag)", "faces", "videos")
 def degraded_tags(s, d):
     return tagging.every_tag(A.videos(s, d), s.createDataFrame([("beach",), ("dog",)], "tag string"))
 

@@ -14,7 +14,7 @@ def plain(rows):
     def one(x):
         return round(float(x), 9) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
 
-    return sorted(tuple(one(x) for x in r) for r in rows)
+    return sorted((tuple(one(x) for x in r) for r in rows), key=str)
 
 
 @pytest.fixture(scope="module")
