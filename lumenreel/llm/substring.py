@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, cut, read
+from .common import cut, read
 
 WINDOW, GRAM = 20, 6
 #: Anchors of one gram from which its prefix is extended.
@@ -286,19 +286,14 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_RESULT)], schema=_RESULT)
 
 
-def _sized(df: DataFrame, width: str) -> DataFrame:
-    """A stored table, marked for broadcast if its measured bytes stay under the bound."""
-    return F.broadcast(df) if (df.agg(F.sum(F.expr(width))).first()[0] or 0) <= BROADCAST_BYTES else df.hint("shuffle_hash")
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, runs array<struct<first, n>>): starts of windows that occur earlier too; stored."""
     plain = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     grams = plain.mapInArrow(_grams, "key long, gram long, doc_id long, pos int, many boolean").repartition("key").sortWithinPartitions("key")
     found = cut(grams.mapInArrow(_repeated, "gram long, doc_id long, pos int"), "substring-anchors")
-    long = _sized(cut(found.groupBy("gram").count().where(F.col("count") > GROUP).select("gram", F.lit(1).alias("extend")), "substring-extended"), "32")
+    long = found.groupBy("gram").count().where(F.col("count") > GROUP).select("gram", F.lit(1).alias("extend"))
     marks = found.join(long, "gram", "left").groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.coalesce("extend", F.lit(0))).alias("marks"))
-    marks = _sized(cut(marks.withColumnRenamed("doc_id", "_id"), "substring-marks"), "size(marks) * 8L + 40")
+    marks = marks.withColumnRenamed("doc_id", "_id").hint("shuffle_hash")  # the texts stream by, only a partition's marks are held
     pieces = plain.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "marks").mapInArrow(_pieces, "key long, doc_id long, start int, n int, piece binary")
     later = pieces.repartition("key").sortWithinPartitions("key").mapInArrow(_subtrees, "doc_id long, first int, n int")
     return cut(later.groupBy("doc_id").agg(F.collect_set(F.struct("first", "n")).alias("runs")), "substring-runs")
@@ -307,7 +302,7 @@ def repeats(docs: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per document row: RESULT; removed holds runs of words."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    runs = _sized(repeats(docs).withColumnRenamed("doc_id", "_id"), "size(runs) * 24L + 40")
+    runs = repeats(docs).withColumnRenamed("doc_id", "_id").hint("shuffle_hash")
     return docs.join(runs, F.col("doc_id") == F.col("_id"), "left").select("doc_id", "text", "runs").mapInArrow(_applied, RESULT)
 
 
