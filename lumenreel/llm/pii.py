@@ -47,7 +47,7 @@ BROAD = {
     "phone": r"(?<![0-9+()./-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
 }
 #: Texts without a match of it hold no candidate of the kind.
-HINT = {"email": r"@|[\[({] ?(?:at|AT)", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"[0-9]{4}", "phone": r"\+[0-9]|[0-9]{3}[ .-][0-9]{4}"}
+HINT = {"email": r"@|[\[({] ?(?:at|AT)", "ip": r"[0-9]\.[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]", "card": r"(?:[0-9][\x20-]?){3}[0-9]", "phone": r"\+[0-9]|[0-9]{3}[ .-][0-9]{4}"}
 #: Gazetteers and words of the context before a span, as fixed values.
 TOP_DOMAINS = "com org net edu gov io info biz de fr es it uk us eu ca au ch at nl".split()
 COUNTRY_CODES = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 54 55 56 57 60 61 62 63 64 65 66 81 82 84 86 90 91 92 94 98".split()

@@ -110,6 +110,13 @@ def test_base_spans(spark):
     assert pii.detect(empty(spark)).count() == 0
 
 
+def test_cards_without_four_digits_in_a_row(spark):
+    cards = ["x 378 282 246 310 005 y", "4-1-1-1-1-1-1-1-1-1-1-1-1-1-1-1", "4 1 1 1-1 1 1 1-1 1 1 1-1 1 1 1", "37 82 82 24 63 10 005", "123 456 789 01"]
+    data = [(i, t, None, None, 0, 0, 0) for i, t in enumerate(cards)]
+    got = {r["doc_id"]: [tuple(s) for s in r["base"]] for r in pii.detect(docs(spark, data)).collect()}
+    assert got == {r[0]: plain_base(r[1]) for r in data} and [len(got[i]) for i in range(5)] == [1, 1, 1, 1, 0]
+
+
 def test_added_spans(spark):
     good = "please call 212-555-0142 or mail jane (at) example dot com today"
     base = "call +1 212 555 0142 or email jane@example.com ip 10.1.2.3 card 4111111111111111"
