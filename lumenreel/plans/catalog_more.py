@@ -220,17 +220,22 @@ def _clips(s, d):
     return A.videos(s, d).select("path", F.element_at(fps, (F.col("id") % 4).cast("int")).alias("fps"), F.when(F.col("id") % 10 == 0, 0.0).otherwise(F.bround(F.col("duration_sec") / 100_000, 3)).alias("duration"))
 
 
-def _markers(s, d):
+def _all_markers(s, d, faces=None):
     t = F.bround(F.col("timestamp_sec") / 90_000, 3)
-    return A.faces(s, d).where("id % 7 = 0").join(A.people(s, d), "cluster_id").join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id").select("path", t.alias("t"), F.col("name").alias("label")).distinct()
+    return (A.faces(s, d) if faces is None else faces).join(A.people(s, d), "cluster_id").join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id").select("path", t.alias("t"), F.col("name").alias("label")).distinct()
+
+
+def _markers(s, d):
+    """Those of every seventh face, as in _TL: for the queries that have an SQL twin."""
+    return _all_markers(s, d, A.faces(s, d).where("id % 7 = 0"))
 
 
 def _rate(s, d):
     return timeline.timeline_rate(timeline.clip_rates(_clips(s, d)))
 
 
-def _lay(s, d):
-    return timeline.layout(_clips(s, d), _markers(s, d), _rate(s, d))
+def _lay(s, d, markers=None):
+    return timeline.layout(_clips(s, d), _markers(s, d) if markers is None else markers, _rate(s, d))
 
 
 _TL = """, cp AS (SELECT path, CASE WHEN id % 10 = 0 THEN 0.0 ELSE round_even(duration_sec / 100000, 3) END AS duration FROM videos),
@@ -284,17 +289,19 @@ def timecode_seconds(s, d):
 
 @_query(None)
 def fcpxml_text(s, d):
-    return timeline.fcpxml(_lay(s, d), _markers(s, d), _starts(s, d))
+    m = _all_markers(s, d)
+    return timeline.fcpxml(_lay(s, d, m), m, _starts(s, d))
 
 
 @_query(None)
 def edl_text(s, d):
-    return timeline.edl(_lay(s, d), _markers(s, d))
+    m = _all_markers(s, d)
+    return timeline.edl(_lay(s, d, m), m)
 
 
 @_query(None)
 def marker_table(s, d):
-    return timeline.marker_table(_markers(s, d))
+    return timeline.marker_table(_all_markers(s, d))
 
 
 @_query(None)
