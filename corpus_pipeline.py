@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from lumenreel.llm import decontaminate, linededup, packing, simhash, toxicity
 from lumenreel.llm.common import cut, read
 
-#: Near-duplicate stages take shingles of five words.
-NEAR_WORDS = 5
+#: Near-duplicate stages take shingles of five words, and link at this similarity or more.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each near-duplicate class the document with the least id stays."""
-    return simhash.keep_one(docs, NEAR_WORDS)
+    return simhash.keep_one(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

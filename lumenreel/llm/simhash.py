@@ -9,6 +9,9 @@ accumulated so far, and a pair over the limit is pruned with everything below. A
 dealt to cells of two chunks each, so no task holds more than two chunks of a group; a cell returns a spanning forest
 of its links, never all of them. Components of the forests come from distributed union-find.
 
+Where a least similarity is asked for, pairs whose sets of word shingles have that Jaccard similarity are linked too. Their fingerprints may
+differ in more bits than blocks can find, so candidates share a MinHash band (linededup's BANDS and ROWS), and each is checked on its sets.
+
 Cases: null and wordless texts have fingerprint zero and are linked like any other; rows with the same id share what
 they link to; a null id stays in the result and is never a class id (null if a class has none else); empty tables
 give no rows; extra columns are not read.
@@ -25,6 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linededup
 from .common import components, cut, read, small_side
 
 WORDS, SEED, BITS = 3, 42, 3
@@ -170,20 +174,94 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("fp")), "fp").mapInArrow(_tree_links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_copies): one row per document row."""
+def shingle_set(words: list[bytes], n: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's shingles; the text has words."""
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))], np.uint64))
+
+
+def band_keys(shingles: np.ndarray) -> np.ndarray:
+    """int64[band] of one set."""
+    v = (shingles >> np.uint64(32)).astype(np.uint32)
+    least = np.array([(v * a).min() for a in linededup._ODD], np.uint64).reshape(linededup.BANDS, linededup.ROWS)
+    x = np.arange(1, linededup.BANDS + 1, dtype=np.uint64)
+    for column in least.T:
+        x = linededup._mix(x * linededup._M + column)
+    return x.view(np.int64)
+
+
+def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(hash of the words, text, shingles) of texts with words."""
+    for t in batch.column(0):
+        text = t.as_py()
+        if words := text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []:
+            yield _signed(xxhash.xxh64_intdigest(b" ".join(words))), text, shingle_set(words, n)
+
+
+def similar_links(docs: DataFrame, n: int, least: float) -> DataFrame:
+    """(a long, b long): links between the fingerprints of texts whose shingle sets have a Jaccard similarity of least or more."""
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, band_keys(x)) for i, _, x in _sets(b, n)]
+            keys = np.concatenate([np.zeros(0, np.int64), *[k for _, k in got]])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([i for i, _ in got], np.int64), linededup.BANDS))], names=["key", "node"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [(i, _signed(fingerprint(t, n)), x.tobytes()) for i, t, x in _sets(b, n)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "fp", "shingles"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def of(fps: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+            i, j = linededup.similar_pairs(found, least)
+            fp = np.array(fps, np.int64)
+            root = forest(len(fp), i, j)
+            i = np.flatnonzero(root != np.arange(len(fp)))
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], names=["a", "b"])
+
+        cell, fps, found = None, [], []
+        for b in batches:
+            for c, f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if c != cell:
+                    if len(fps) > 1:
+                        yield of(fps, found)
+                    cell, fps, found = c, [], []
+                fps.append(f)
+                found.append(np.frombuffer(x.as_py(), np.uint64))
+        if len(fps) > 1:
+            yield of(fps, found)
+
+    text = docs.select(F.col("text").cast("string").alias("text"))
+    keys = text.mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    cand = cut(keys.mapInArrow(linededup._shared, "key long, node long"), "simhash-candidates")
+    groups = cand.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
+    groups = cut(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / linededup.CHUNK).cast("int").alias("n")), "simhash-groups")
+    cells = (
+        cand.join(groups, "key")
+        .withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
+        .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node")
+    )
+    need = small_side(cut(cand.select("node").distinct(), "simhash-need"), 16)
+    known = text.mapInArrow(sets, "node long, fp long, shingles binary").join(need, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles"))
+    return cells.join(known, "node").select("cell", "fp", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(verified, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_copies): one row per document row. With least, texts of that similarity are linked too."""
     fps = cut(fingerprints(docs, n), "simhash-fp")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "simhash-reps")
-    comp = components(links(reps.select("fp")), "simhash-cc")
-    least = comp.join(reps, comp.node == reps.fp).groupBy("root").agg(F.min("rep").alias("least"))
-    known = comp.join(least, "root").select(F.col("node").alias("fp"), "least")
+    near = links(reps.select("fp"))
+    comp = components(near if least is None else near.union(similar_links(docs, n, least)), "simhash-cc")
+    first = comp.join(reps, comp.node == reps.fp).groupBy("root").agg(F.min("rep").alias("least"))
+    known = comp.join(first, "root").select(F.col("node").alias("fp"), "least")
     classes = reps.join(known, "fp", "left").select("fp", "n_copies", F.coalesce("least", "rep").alias("component_id"))
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
-def keep_one(docs: DataFrame, n: int = WORDS) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
     """docs without the rows whose id isn't the least of their class; of rows that share an id one stays, rows without an id all."""
-    found = cut(near_duplicates(docs, n).select("doc_id", "component_id"), "simhash-classes")
+    found = cut(near_duplicates(docs, n, least).select("doc_id", "component_id"), "simhash-classes")
     gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
     kept = docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():

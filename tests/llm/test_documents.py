@@ -156,6 +156,26 @@ def test_simhash(spark):
     assert simhash.keep_one(twice).where("doc_id is not null").count() == len({x[2] for x in want})
 
 
+def test_simhash_links_at_a_similarity(spark):
+    rng = random.Random(6)
+    base, data = [[rng.choice("abcdefghij") + str(rng.randrange(200)) for _ in range(120)] for _ in range(6)], []
+    for w in base:
+        for k in (0, 1, 2, 3, 8):
+            v = list(w)
+            for at in range(5, 5 + 14 * k, 14):
+                v[at] = "changed"
+            data.append((len(data), " ".join(v), None, None, 0, 0, 0))
+    data += [(100, None, None, None, 0, 0, 0), (101, "", None, None, 0, 0, 0)]
+    sets = {r[0]: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for r in data if (w := (r[1] or "").split())}
+    fps, want = {r[0]: plain_fingerprint(r[1], 5) for r in data}, Sets()
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 3 for a, b in pairs) > 10
+    for a, b in [*pairs, *[(a, b) for a in fps for b in fps if (fps[a] ^ fps[b]).bit_count() <= 3]]:
+        want.join(a, b)
+    assert {r["doc_id"] for r in simhash.keep_one(docs(spark, data), 5, 0.8).collect()} == {want.find(a) for a in fps}
+    assert simhash.keep_one(empty(spark), 5, 0.8).count() == 0
+
+
 def test_hamming_index_is_exact(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
