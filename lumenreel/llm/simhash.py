@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import linededup
 from .common import components, cut, read, small_side
@@ -247,26 +248,41 @@ def similar_links(docs: DataFrame, n: int, least: float) -> DataFrame:
     return cells.join(known, "node").select("cell", "fp", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(verified, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
-    """(doc_id, fingerprint, component_id, n_copies): one row per document row. With least, texts of that similarity are linked too."""
+def _classes(docs: DataFrame, n: int, least: float | None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp) of every row, and (fp, n_copies, class, component_id): class is a fingerprint of the component."""
     fps = cut(fingerprints(docs, n), "simhash-fp")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "simhash-reps")
     near = links(reps.select("fp"))
     comp = components(near if least is None else near.union(similar_links(docs, n, least)), "simhash-cc")
     first = comp.join(reps, comp.node == reps.fp).groupBy("root").agg(F.min("rep").alias("least"))
-    known = comp.join(first, "root").select(F.col("node").alias("fp"), "least")
-    classes = reps.join(known, "fp", "left").select("fp", "n_copies", F.coalesce("least", "rep").alias("component_id"))
+    known = comp.join(first, "root").select(F.col("node").alias("fp"), "root", "least")
+    return fps, reps.join(known, "fp", "left").select("fp", "n_copies", F.coalesce("root", "fp").alias("class"), F.coalesce("least", "rep").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
+    """(doc_id, fingerprint, component_id, n_copies): one row per document row. With least, texts of that similarity are linked too."""
+    fps, classes = _classes(docs, n, least)
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
 def keep_one(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
-    """docs without the rows whose id isn't the least of their class; of rows that share an id one stays, rows without an id all."""
-    found = cut(near_duplicates(docs, n, least).select("doc_id", "component_id"), "simhash-classes")
-    gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
-    kept = docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows whose id isn't the least of their class; of rows that share an id and a class one stays, rows without an id all."""
+    fps, classes = _classes(docs, n, least)
+    found = cut(fps.join(classes, "fp").select("doc_id", "fp", "class", "component_id"), "simhash-classes")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+        gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
+        return docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
+    at = docs.columns.index("text")
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fp = np.array([fingerprint(t.as_py(), n) for t in b.column(at)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_fp"])
+
+    stay = cut(found.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"), "simhash-stay")
+    rows = docs.where("doc_id is not null").mapInArrow(marked, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
+    kept = rows.join(stay, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(docs.columns)
+    return kept.unionByName(docs.where("doc_id is null"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,6 +176,14 @@ def test_simhash_links_at_a_similarity(spark):
     assert simhash.keep_one(empty(spark), 5, 0.8).count() == 0
 
 
+def test_keep_one_decides_per_row(spark):
+    rng = random.Random(8)
+    a, b, c, d, e = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(5))
+    data = [(i, t, None, None, 0, 0, 0) for i, t in [(1, a), (2, a), (2, b), (3, b), (4, c), (4, d), (5, e), (5, e), (None, a)]]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_one(docs(spark, data)).collect())
+    assert got == Counter([(1, a), (2, b), (4, c), (4, d), (5, e), (None, a)])
+
+
 def test_hamming_index_is_exact(spark):
     rng = np.random.default_rng(2)
     base = rng.integers(0, 2**63, 40, dtype=np.uint64)
