@@ -34,8 +34,8 @@ from .common import cut, read, small_side
 WINDOW, GRAM = 20, 6
 #: Anchors of one gram from which its prefix is extended.
 GROUP = 4096
-#: Words hashed side by side, distinct grams or pieces a task holds before it sends them, and words it remembers the hash of.
-BLOCK, HELD, KNOWN = 200_000, 300_000, 300_000
+#: Words hashed side by side, anchors a task holds before it sends them, and bytes of different pieces it holds (and of rows it sends at once).
+BLOCK, HELD, HELD_BYTES = 100_000, 200_000, 6 << 20
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:int,n:int>>"
@@ -46,26 +46,18 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(texts: list[list[bytes]], hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For texts one after another: gram hash at each word, anchor word of each window, and first word of each window."""
     n = np.array([len(w) for w in texts], np.int64)
     total = int(n.sum())
     if total < WINDOW:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = np.fromiter((x for w in texts for x in map(hashes.__getitem__, w)), np.uint64, total)
+    h = np.fromiter((x for w in texts for x in map(xxhash.xxh64_intdigest, w)), np.uint64, total)
     g = np.zeros(total - GRAM + 1, np.uint64)
     for j in range(GRAM):
         g = g * _M + h[j : j + len(g)]
@@ -103,7 +95,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, gram, doc_id, pos, many): for each gram of the chunk one row under its own hash, many: the chunk has it twice; further
     anchors of such grams need no partner and go under a key of their own."""
-    hashes, held, size = _Hashes(), [], 0
+    held, size = [], 0
 
     def send() -> pa.RecordBatch:
         gram, doc, pos = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -115,7 +107,7 @@ def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(np.where(new, gram, own)), pa.array(gram), pa.array(doc), pa.array(pos), pa.array(many)], names=["key", "gram", "doc_id", "pos", "many"])
 
     for ids, texts, _ in _blocks(batches):
-        g, at, _ = anchors(texts, hashes)
+        g, at, _ = anchors(texts)
         at = np.unique(at)
         n = np.array([len(w) for w in texts], np.int64)
         end = np.cumsum(n)
@@ -156,25 +148,37 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, anchors as pos * 2 + extended) -> (key, doc_id, start, n, piece): n suffixes from start on; a null piece has an earlier
     equal in the same chunk."""
-    hashes = _Hashes()
     held: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     out: list[tuple] = []
+    size = 0  # bytes of pieces in held
+
+    def batches_of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + 10_000], strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "start", "n", "piece"])
+        rows.clear()
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["key", "doc_id", "start", "n", "piece"])
+    def send(all_held: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal size
+        yield from batches_of(out)
+        if all_held:
+            yield from batches_of([(k, d, s, n, p) for (k, p), (d, s, n) in held.items()])
+            held.clear()
+            size = 0
 
     def add(key: int, doc: int, start: int, n: int, piece: bytes) -> None:
+        nonlocal size
         got = held.get((key, piece))
         if got is not None and got[:2] > (doc, start):
             got, (doc, start) = (doc, start, n), got[:2]
             held[key, piece] = got
         if got is None:
             held[key, piece] = (doc, start, n)
+            size += len(piece)
         elif got[:2] < (doc, start):
             out.append((xxhash.xxh64_intdigest(f"{doc} {start}") - (1 << 63), doc, start, n, None))
 
     for ids, texts, more in _blocks(batches):
-        g, at, first = anchors(texts, hashes)
+        g, at, first = anchors(texts)
         begin = 0
         for doc, w, marks in zip(ids, texts, more, strict=True):
             lo, hi = np.searchsorted(first, [begin, begin + len(w)])
@@ -192,16 +196,10 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         add(xxhash.xxh64_intdigest(piece) - (1 << 63), doc, p, 1, piece)
                 else:
                     add(int(g[begin + a[s]]), doc, s, e - s, b" ".join(w[s : e + WINDOW - 1]))
+                if size >= HELD_BYTES or len(out) >= 10_000:
+                    yield from send(size >= HELD_BYTES)
             begin += len(w)
-            if len(held) >= HELD // 2:
-                out += [(k, d, s, n, p) for (k, p), (d, s, n) in held.items()]
-                held.clear()
-            if len(out) >= 20_000:
-                yield batch(out)
-                out.clear()
-    out += [(k, d, s, n, p) for (k, p), (d, s, n) in held.items()]
-    for i in range(0, len(out), 20_000):
-        yield batch(out[i : i + 20_000])
+    yield from send(True)
 
 
 def later_leaves(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int]]:
@@ -228,12 +226,15 @@ def later_leaves(group: list[tuple[int, int, int, bytes]]) -> list[tuple[int, in
 
 
 def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces sorted by key -> (doc_id, first, n): windows that go, as runs of starts."""
+    """Pieces sorted by key -> (doc_id, first, n): windows that go, as runs of starts. Holds one key's pieces, of equal single suffixes the
+    earliest: a prefix that was extended to the window, however often it occurs, is one piece."""
     key, group = None, []
+    single: dict[bytes, tuple[int, int]] = {}
     out: list[tuple[int, int, int]] = []
 
     def close() -> None:
         run: tuple[int, int, int] | None = None
+        group.extend((doc, start, 1, piece) for piece, (doc, start) in single.items())
         for doc, start in sorted(later_leaves(group)) if len(group) > 1 or group and group[0][2] > 1 else ():
             if run and run[0] == doc and run[1] + run[2] == start:
                 run = (doc, run[1], run[2] + 1)
@@ -254,8 +255,12 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             if k != key:
                 close()
-                key, group = k, []
-            group.append((doc, start, n, piece))
+                key, group, single = k, [], {}
+            if n > 1:
+                group.append((doc, start, n, piece))
+            elif (got := single.setdefault(piece, (doc, start))) != (doc, start):
+                single[piece] = min(got, (doc, start))
+                out.append((*max(got, (doc, start)), 1))
         if len(out) >= 20_000:
             yield batch(out)
             out.clear()
