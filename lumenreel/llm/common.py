@@ -9,8 +9,9 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
-#: A side of a join is broadcast only if its measured rows times this width stay under BROADCAST_BYTES.
+#: A side of a join is broadcast only if the measured bytes of its rows stay under BROADCAST_BYTES.
 BROADCAST_BYTES = 48 << 20
 
 
@@ -19,9 +20,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder of our own in local mode (tests). On a cluster
+    the setting is required, since a folder of the driver's machine would not be seen by executors."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/lumenreel-shared-{os.getuid()}"
         os.makedirs(root.removeprefix("file://"), exist_ok=True)
     return root.rstrip("/")
@@ -43,17 +48,45 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Writes df to the shared folder and reads it again: lost executors later cost no recomputation."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
 
 
-def small_side(df: DataFrame, row_bytes: int) -> DataFrame:
-    """df marked for broadcast if it is a stored table of proven size under BROADCAST_BYTES, else df as it is."""
-    return F.broadcast(df) if df.limit(BROADCAST_BYTES // row_bytes + 1).count() * row_bytes <= BROADCAST_BYTES else df
+def forget(*dfs: DataFrame) -> None:
+    """Removes tables made by cut() that nothing reads any more."""
+    for df in dfs:
+        if path := getattr(df, "_scratch", None):
+            _remove(df.sparkSession, path)
+
+
+def _bytes(kind: DataType, c: Column) -> Column:
+    if isinstance(kind, (StringType, BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16
+    if isinstance(kind, ArrayType):
+        flat = isinstance(kind.elementType, StructType) and len(kind.elementType) * 8 + 16 or 8
+        if isinstance(kind.elementType, (StringType, BinaryType, ArrayType)):
+            return F.coalesce(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + _bytes(kind.elementType, x)), F.lit(0).cast("long"))
+        return F.coalesce(F.greatest(F.size(c), F.lit(0)), F.lit(0)).cast("long") * flat + 32
+    return F.lit(16).cast("long")
+
+
+def measured_bytes(df: DataFrame) -> int:
+    """What the rows of a stored table take, by the lengths of its strings and arrays; 0 for no rows."""
+    width = F.lit(16).cast("long")
+    for f in df.schema.fields:
+        width = width + _bytes(f.dataType, F.col(f.name))
+    return int(df.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0])
+
+
+def small_side(df: DataFrame) -> DataFrame:
+    """df, a stored table, marked for broadcast if its measured bytes stay under BROADCAST_BYTES, else as it is."""
+    return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
 def lower_ascii(c: Column) -> Column:
@@ -64,23 +97,22 @@ def components(edges: DataFrame, name: str = "cc", a: str = "a", b: str = "b") -
     """Distributed union-find: (node long, root long) for every node of edges(a long, b long); root is the least node
     of the component.
 
-    Large-star and small-star rounds (Kiveris et al. 2014) until the edge set stops changing. Each round is written to
-    the shared folder. Large-star: every node's larger neighbours link to the node's least neighbour. Small-star: the
-    node and its smaller neighbours link to the least. Minima are pre-aggregated on the map side; the joins that
-    hand a hot node's minimum to its neighbours are plain equi-joins that AQE may split. Nulls and self-loops are
-    ignored; no edges give no rows.
+    Large-star and small-star rounds (Kiveris et al. 2014) until the edge set stops changing, however many that takes. Large-star: every
+    node's larger neighbours link to the node's least neighbour. Small-star: the node and its smaller neighbours link to the
+    least. Minima are pre-aggregated on the map side. Both sides of each join are stored first, so that AQE can split the
+    partition of a hot node. The tables of a round go when the next one stands. Nulls and self-loops are ignored; no edges
+    give no rows.
     """
     e = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), name)
     before = None
-    for _ in range(60):
-        both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("lo"))
-        large = both.where("m > n").join(least, "n").where("m != lo").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("lo"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("lo").alias("v")), F.struct(F.col("v").alias("u"), F.col("lo").alias("v")))).alias("x")).select("x.*").where("u != v").distinct()
-        e = cut(small, name)
-        now = e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
-        if now == before:
-            break
+    while (now := e.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()) != before:
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+        both = e.select(F.col("u").alias("n"), F.col("v").alias("m")).union(e.select(F.col("v").alias("n"), F.col("u").alias("m")))
+        least = cut(both.groupBy("n").agg(F.least(F.min("m"), F.first("n")).alias("lo")), name)
+        large = cut(both.where("m > n").join(least, "n").where("m != lo").select(F.col("m").alias("u"), F.col("lo").alias("v")).distinct(), name)
+        low = cut(large.groupBy("u").agg(F.min("v").alias("lo")), name)
+        pair = F.array(F.struct(F.col("u").alias("u"), F.col("lo").alias("v")), F.struct(F.col("v").alias("u"), F.col("lo").alias("v")))
+        small = cut(large.join(low, "u").select(F.explode(pair).alias("x")).select("x.*").where("u != v").distinct(), name)
+        forget(e, least, large, low)
+        e = small
+    return cut(e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()), name)

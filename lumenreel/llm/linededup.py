@@ -6,12 +6,17 @@ SIMILARITY (a shorter line is one shingle). Candidates share one of BANDS bands
 probability over 0.999; every candidate link is checked against the texts. Of each component only the first line
 stays: least doc_id, then least line number.
 
-Keys of one node are dropped, and groups with the same members are checked once. A group of over CHUNK nodes is dealt to
-cells of two chunks each; a cell returns a spanning forest of its links. Only nodes that share a band fetch their text.
+One pass over the texts stores a table of lines: for every node that a task meets its normal form once, and where it occurs, as
+one row for up to HELD lines; band keys are computed from that table. So a line that stands in a third of all documents is a row per HELD lines and not
+one per document. Keys of one node are dropped, and groups with the same members are checked once. A group of over CHUNK
+nodes is dealt to cells of two chunks each; a cell returns a spanning forest of its links. Only nodes that share a band
+fetch their normal form.
 
 Cases: null and empty texts have no lines; a text keeps its empty lines; rows that share an id count as one document, whose
 lines have the same numbers, so they keep or lose them together; rows without an id are neither changed nor counted; if
-every line goes the text is empty; empty tables give no rows; extra columns are kept by dedup() as they are.
+every line goes the text is empty; of equal or similar lines of one document the first stays (ties can't occur, a line's
+place is unique in it); a text of one very long line is one node, whose shingles are hashed whole; empty tables give no
+rows; extra columns are kept by dedup() as they are.
 """
 
 from __future__ import annotations
@@ -21,16 +26,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, read, small_side
+from .common import components, cut, forget, read, small_side
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 14, 4
 CHUNK = 128
-#: Characters hashed at a time, and nodes a task remembers in order not to hash a line again.
-BLOCK, SEEN = 300_000, 1_000_000
+#: Characters hashed at a time, lines and characters a task holds before it sends them, and nodes it remembers in order not to hash them again.
+BLOCK, HELD, HELD_CHARS, SEEN = 300_000, 40_000, 4_000_000, 200_000
+#: Lines of like length whose minima are taken side by side, and shingles of a line from which it is taken alone.
+ABREAST, LONG = 256, 2048
+#: Different nodes of one band key that a task holds before it returns them.
+OPEN = 1_000_000
 
 _ODD = np.random.default_rng(9).integers(1, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -72,17 +81,38 @@ def _hashes(lines: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray,
     return _mix(h), first, first + np.maximum(1, n - k + 1)
 
 
+def _minima(v: np.ndarray, first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """uint32[function, line]: the least value of each line's shingles under every hash function."""
+    out = np.empty((len(_ODD), len(first)), np.uint32)
+    if count.max() >= LONG:
+        for i, (s, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+            out[:, i] = [(v[s : s + n] * a).min() for a in _ODD]
+        return out
+    grid = v[first + np.minimum(np.arange(count.max())[:, None], count - 1)]  # a column a line, its last shingle repeated
+    turned = np.empty_like(grid)
+    for i, a in enumerate(_ODD):
+        np.minimum.reduce(np.multiply(grid, a, out=turned), axis=0, out=out[i])
+    return out
+
+
 def band_keys(lines: list[str], k: int = SHINGLE) -> np.ndarray:
-    """int64[line, band]; computed for all lines side by side."""
-    h, first, end = _hashes(lines, k)
-    v = np.append((h >> np.uint64(32)).astype(np.uint32), np.uint32(0))
-    cuts = np.stack([first, end], 1).ravel()
+    """int64[line, band]; computed for lines of like length side by side."""
     keys = np.empty((len(lines), BANDS), np.int64)
-    for b in range(BANDS):
-        x = np.full(len(lines), b + 1, np.uint64)
-        for a in _ODD[b * ROWS : (b + 1) * ROWS]:
-            x = _mix(x * _M + np.minimum.reduceat(v * a, cuts)[::2])
-        keys[:, b] = x.view(np.int64)
+    order = np.argsort(np.fromiter(map(len, lines), np.int64, len(lines)), kind="stable").tolist()
+    at = 0
+    while at < len(order):
+        most, size, end = len(lines[order[at]]) * 5 // 4 + 8, 0, at
+        while end < len(order) and end - at < ABREAST and len(lines[order[end]]) <= most and (size < BLOCK or end == at):
+            size += len(lines[order[end]])
+            end += 1
+        part = order[at:end]
+        h, first, stop = _hashes([lines[i] for i in part], k)
+        least = _minima((h >> np.uint64(32)).astype(np.uint32), first, stop - first).reshape(BANDS, ROWS, -1)
+        x = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], len(part), 1)
+        for i in range(ROWS):
+            x = _mix(x * _M + least[:, i])
+        keys[part] = x.view(np.int64).T
+        at = end
     return keys
 
 
@@ -104,69 +134,93 @@ def shingle_sets(lines: list[str], k: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text) -> (node, doc_id, line)."""
-    for b in batches:
-        out: tuple[list, list, list] = ([], [], [])
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            for i, n in lines_of(text.as_py()):
-                for c, v in zip(out, (node(n), doc, i), strict=True):
-                    c.append(v)
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32())], names=["node", "doc_id", "line"])
+LINES = "node long, norm string, of array<struct<doc_id:long,line:int>>"
 
 
-def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
-    """Nodes and normal forms that the task hasn't met, in blocks."""
+def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) -> LINES: norm only where the task meets a node first; of is in order."""
     seen: set[int] = set()
-    ids: list[int] = []
-    lines: list[str] = []
+    norms: list[str] = []
+    docs: list[int] = []
+    at: list[int] = []
     size = 0
+
+    def send() -> pa.RecordBatch:
+        doc, line, ids = np.array(docs, np.int64), np.array(at, np.int32), np.fromiter(map(node, norms), np.int64, len(norms))
+        order = np.lexsort((line, doc, ids))
+        begin = np.flatnonzero(np.concatenate([[True], np.diff(ids[order]) != 0]))
+        nodes = ids[order[begin]]
+        fresh = np.array([i not in seen for i in nodes.tolist()], bool)
+        if len(seen) + int(fresh.sum()) > SEEN:
+            seen.clear()
+        seen.update(nodes[fresh].tolist())
+        norm = [norms[i] if new else None for i, new in zip(order[begin].tolist(), fresh.tolist(), strict=True)]
+        of = pa.StructArray.from_arrays([pa.array(doc[order]), pa.array(line[order])], names=["doc_id", "line"])
+        of = pa.ListArray.from_arrays(pa.array(np.concatenate([begin, [len(ids)]]), pa.int32()), of)
+        for x in (norms, docs, at):
+            x.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(norm, pa.string()), of], names=["node", "norm", "of"])
+
     for b in batches:
-        for text in b.column(1):
-            for _, n in lines_of(text.as_py()):
-                if (i := node(n)) not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen.add(i)
-                    ids.append(i)
-                    lines.append(n)
-                    size += len(n)
-                    if size >= BLOCK:
-                        yield ids, lines
-                        ids, lines, size = [], [], 0
-    if ids:
-        yield ids, lines
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            for i, n in lines_of(text.as_py()):
+                norms.append(n)
+                docs.append(doc)
+                at.append(i)
+                size += len(n)
+            if len(norms) >= HELD or size >= HELD_CHARS:
+                yield send()
+                size = 0
+    if norms:
+        yield send()
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, lines in _fresh(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(band_keys(lines).ravel()), pa.array(np.repeat(np.array(ids, np.int64), BANDS))], names=["key", "node"])
+    """(node, norm) -> (key, node), a row a band; a batch's lines are hashed at most BLOCK characters at a time."""
+    for b in batches:
+        ids = b.column(0).to_numpy()
+        yield pa.RecordBatch.from_arrays([pa.array(band_keys(b.column(1).to_pylist()).ravel()), pa.array(np.repeat(ids, BANDS))], names=["key", "node"])
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, lines in _fresh(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lines, pa.string())], names=["node", "norm"])
+def _shared(batches: Iterator[pa.RecordBatch], most: int = OPEN) -> Iterator[pa.RecordBatch]:
+    """Rows (key, node) sorted by key -> those whose key has another node, in order, once each; a node may come again under a key of
+    over `most` different nodes. Holds one batch and the nodes of one key, `most` at most."""
+    none = np.zeros(0, np.int64)
+    key, nodes, out = None, none, False  # the last key, its nodes that haven't been returned, and whether some have
 
+    def rows(k: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(n)], names=["key", "node"])
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (key, node) -> those whose key has another node, once each. Holds one row between batches."""
-    key, one, out = None, None, False  # the last row, and whether it has been returned
     for b in batches:
         k, n = b.column(0).to_numpy(), b.column(1).to_numpy()
         if not len(k):
             continue
-        if key is not None:
-            k, n = np.concatenate([[key], k]), np.concatenate([[one], n])
-        new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])
+        begin = 0
+        if key is not None:  # what the batch goes on with
+            begin = int(np.searchsorted(k, key, "right"))
+            nodes = np.union1d(nodes, n[:begin])
+            if out and len(nodes) or len(nodes) > most or begin < len(k) and len(nodes) > 1:
+                yield rows(np.full(len(nodes), key), nodes)
+                nodes, out = none, True
+            if begin == len(k):
+                continue
+        last = int(np.searchsorted(k, k[-1], "left"))
+        key, nodes, out = k[-1], np.unique(n[last:]), False
+        k, n = k[begin:last], n[begin:last]
+        order = np.lexsort((n, k))
+        k, n = k[order], n[order]
+        new = np.concatenate([[True], (k[1:] != k[:-1]) | (n[1:] != n[:-1])])[: len(k)]
         k, n = k[new], n[new]
         same = k[1:] == k[:-1]
-        keep = np.concatenate([[out], same]) | np.concatenate([same, [False]])
-        last = bool(keep[-1])
-        if key is not None and out:
-            keep[0] = False
-            last = last and len(k) > 1 or out and len(k) == 1
-        key, one, out = k[-1], n[-1], last
-        yield pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(n[keep])], names=["key", "node"])
+        keep = (np.concatenate([[False], same]) | np.concatenate([same, [False]]))[: len(k)]
+        yield rows(k[keep], n[keep])
+    if out and len(nodes) or len(nodes) > 1:
+        yield rows(np.full(len(nodes), key), nodes)
+
+
+def group_sums() -> list[Column]:
+    """Columns that tell a key's set of nodes: a count and sums of 31 bits of hashes, which can't overflow."""
+    return [F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(i)), 33)).alias(f"x{i}") for i in range(4)]]
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
@@ -238,53 +292,66 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """(node, doc_id, line, first_doc_id, first_line): every line whose class has more than one occurrence."""
-    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    occ = cut(plain.mapInArrow(_rows, "node long, doc_id long, line int"), "line-occurrences")
-    bands = plain.mapInArrow(_bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+def similar_links(norms: DataFrame) -> DataFrame:
+    """(a long, b long): links that connect the similar nodes of a stored table (node, norm); stored."""
+    bands = norms.mapInArrow(_bands, "key long, node long").repartition("key").sortWithinPartitions("key")  # one long: a radix sort
     cand = cut(bands.mapInArrow(_shared, "key long, node long"), "line-candidates")
-    sets = cand.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    groups = cut(sets.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("n")), "line-groups")
-    members = (
-        cand.join(groups, "key")
+    sets = cand.groupBy("key").agg(*group_sums())
+    groups = cut(sets.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / CHUNK).cast("int").alias("n")), "line-groups")
+    need = cut(cand.select("node").distinct(), "line-need")
+    texts = cut(norms.join(small_side(need), "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm")), "line-texts", "zstd")
+    cells = (  # a node meets its text once a key, before it is dealt to the cells of its group
+        cut(cand.join(groups, "key"), "line-members").join(texts, "node")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node")
-    )
-    need = small_side(cut(cand.select("node").distinct(), "line-need"), 16)
-    texts = plain.mapInArrow(_texts, "node long, norm string").join(need, "node", "left_semi").groupBy("node").agg(F.min("norm").alias("norm"))
-    links = members.join(texts, "node").select("cell", "node", "norm").repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_verified, "a long, b long")
-    comp = components(links, "line-cc")
-    occ = occ.join(comp, "node", "left").withColumn("node", F.coalesce("root", "node")).drop("root")
-    first = occ.groupBy("node").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    return occ.join(first, "node").select("node", "doc_id", "line", F.col("first.doc_id").alias("first_doc_id"), F.col("first.line").alias("first_line"))
+        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", "norm")
+    )
+    links = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_verified, "a long, b long"), "line-links")
+    forget(cand, groups, need, texts)
+    return links
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """(doc_id, gone array<int>, of array<struct<line, kept_doc_id, kept_line>>) of documents that lose lines; stored."""
-    again = line_classes(docs).where("doc_id != first_doc_id or line != first_line").select("doc_id", F.struct("line", F.col("first_doc_id").alias("kept_doc_id"), F.col("first_line").alias("kept_line")).alias("x")).distinct()
-    return cut(again.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("of")).select("doc_id", F.col("of.line").alias("gone"), "of"), "line-removals")
+    """(doc_id, gone array<boolean>: whether each line up to the last such goes, of array<struct<line, kept_doc_id, kept_line>>) of
+    documents that lose lines; stored."""
+    plain = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    lines = cut(plain.mapInArrow(_lines, LINES), "lines", "zstd")
+    links = similar_links(lines.where("norm is not null").select("node", "norm"))
+    comp = components(links, "line-cc")
+    # of nodes that occur twice or have a link: the class, and its first line
+    own = lines.select("node", F.get("of", F.lit(0)).alias("first"), F.size("of").cast("long").alias("n")).groupBy("node").agg(F.min("first").alias("first"), F.sum("n").alias("n"))
+    own = cut(own.join(comp, "node", "left").where("n > 1 or root is not null").select("node", F.coalesce("root", "node").alias("root"), "first"), "line-nodes")
+    first = cut(own.groupBy("root").agg(F.min("first").alias("first")), "line-first")
+    known = cut(own.select("node", "root").join(first, "root").select("node", "first"), "line-known")
+    again = lines.select("node", "of").join(small_side(known), "node").select(F.explode("of").alias("x"), "first").where("x != first")
+    x = F.struct(F.col("x.line").alias("line"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.line").alias("kept_line"))
+    of = again.select("x.doc_id", x.alias("x")).groupBy("doc_id").agg(F.array_sort(F.collect_set("x")).alias("of"))
+    line = F.col("of.line")
+    steps = F.arrays_zip(line.alias("at"), F.concat(F.array(F.lit(-1)), F.slice(line, F.lit(1), F.size("of") - 1)).alias("before"))
+    flags = F.flatten(F.transform(steps, lambda s: F.concat(F.array_repeat(F.lit(False), s["at"] - s["before"] - 1), F.array(F.lit(True)))))
+    out = cut(of.select("doc_id", flags.alias("gone"), "of"), "line-removals")
+    forget(lines, links, comp, own, first, known)
+    return out
 
 
 def _kept(text, gone):
-    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.array_contains(gone, i.cast("int")))
+    """The text without the lines that gone marks, in one pass over them."""
+    kept = F.filter(F.split(text, "\n"), lambda x, i: ~F.coalesce(F.get(gone, i), F.lit(False)))
     return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with only the first line of each class; every row and column stays."""
-    gone = small_side(removals(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone")), 256)
+    gone = small_side(cut(removals(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone")), "line-gone"))
     return docs.join(gone, docs.doc_id == gone._gone_id, "left").withColumn("text", _kept(F.col("text"), F.col("_gone"))).select(docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: doc_id, n_lines, n_removed, duplicates (line, and the document and line kept for it), kept_sha256."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    gone = removals(docs)
-    gone = small_side(gone.withColumnRenamed("doc_id", "_gone_id"), 256)
+    gone = small_side(removals(docs)).withColumnRenamed("doc_id", "_gone_id")
     n = F.when(F.col("text").isNull() | (F.col("text") == ""), 0).otherwise(F.size(F.split("text", "\n")))
     empty = F.array().cast("array<struct<line:int,kept_doc_id:bigint,kept_line:int>>")
     return docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left").select(
-        "doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("of", empty).alias("duplicates"), F.sha2(F.coalesce(_kept(F.col("text"), F.col("gone")), F.lit("")), 256).alias("kept_sha256")
+        "doc_id", n.cast("long").alias("n_lines"), F.coalesce(F.size("of"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("of", empty).alias("duplicates"), F.sha2(F.coalesce(_kept(F.col("text"), F.col("gone")), F.lit("")), 256).alias("kept_sha256")
     )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import linededup
-from .common import components, cut, read, small_side
+from .common import components, cut, forget, read, small_side
 
 WORDS, SEED, BITS = 3, 42, 3
 LEAF, CHUNK = 16, 2048
@@ -163,7 +163,7 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """(a long, b long): links that connect what links at up to BITS bits connect, from distinct(fp long)."""
     tables = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(MASKS)])).alias("x")).select("fp", "x.t", "x.key")
-    hot = small_side(cut(tables.groupBy("t", "key").count().where(F.col("count") > chunk), "simhash-hot"), 40)
+    hot = small_side(cut(tables.groupBy("t", "key").count().where(F.col("count") > chunk), "simhash-hot"))
     n = F.coalesce(F.ceil(F.col("count") / chunk).cast("int"), F.lit(1))
     cells = (
         tables.join(hot, ["t", "key"], "left")
@@ -233,19 +233,21 @@ def similar_links(docs: DataFrame, n: int, least: float) -> DataFrame:
             yield of(fps, found)
 
     text = docs.select(F.col("text").cast("string").alias("text"))
-    keys = text.mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key", "node")
+    keys = text.mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key")
     cand = cut(keys.mapInArrow(linededup._shared, "key long, node long"), "simhash-candidates")
-    groups = cand.groupBy("key").agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(node))").alias("x"), F.expr("bit_xor(xxhash64(node, 1))").alias("y"))
-    groups = cut(groups.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / linededup.CHUNK).cast("int").alias("n")), "simhash-groups")
-    cells = (
-        cand.join(groups, "key")
+    groups = cand.groupBy("key").agg(*linededup.group_sums())
+    groups = cut(groups.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / linededup.CHUNK).cast("int").alias("n")), "simhash-groups")
+    need = cut(cand.select("node").distinct(), "simhash-need")
+    known = cut(text.mapInArrow(sets, "node long, fp long, shingles binary").join(small_side(need), "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), "simhash-sets")
+    cells = (  # a node meets its set once a key, before it is dealt to the cells of its group
+        cut(cand.join(groups, "key"), "simhash-members").join(known, "node")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node")
-    )
-    need = small_side(cut(cand.select("node").distinct(), "simhash-need"), 16)
-    known = text.mapInArrow(sets, "node long, fp long, shingles binary").join(need, "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles"))
-    return cells.join(known, "node").select("cell", "fp", "shingles").repartition("cell").sortWithinPartitions("cell").mapInArrow(verified, "a long, b long")
+        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "shingles")
+    )
+    links = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(verified, "a long, b long"), "simhash-links")
+    forget(cand, groups, need, known)
+    return links
 
 
 def _classes(docs: DataFrame, n: int, least: float | None) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +273,7 @@ def keep_one(docs: DataFrame, n: int = WORDS, least: float | None = None) -> Dat
     found = cut(fps.join(classes, "fp").select("doc_id", "fp", "class", "component_id"), "simhash-classes")
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
-        return docs.join(small_side(gone, 16), "doc_id", "left_anti").select(docs.columns)
+        return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
     at = docs.columns.index("text")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -296,7 +296,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     plain = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     grams = plain.mapInArrow(_grams, "key long, gram long, doc_id long, pos int, many boolean").repartition("key").sortWithinPartitions("key")
     found = cut(grams.mapInArrow(_repeated, "gram long, doc_id long, pos int"), "substring-anchors")
-    long = small_side(cut(found.groupBy("gram").count().where(F.col("count") > GROUP).select("gram", F.lit(1).alias("extend")), "substring-extended"), 32)
+    long = small_side(cut(found.groupBy("gram").count().where(F.col("count") > GROUP).select("gram", F.lit(1).alias("extend")), "substring-extended"))
     marks = found.join(long, "gram", "left").groupBy("doc_id").agg(F.collect_set(F.col("pos").cast("long") * 2 + F.coalesce("extend", F.lit(0))).alias("marks"))
     marks = cut(marks.withColumnRenamed("doc_id", "_id"), "substring-marks").hint("shuffle_hash")  # the texts stream by, only a partition's marks are held
     pieces = plain.join(marks, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "marks").mapInArrow(_pieces, "key long, doc_id long, start int, n int, piece binary")

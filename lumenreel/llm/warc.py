@@ -302,8 +302,8 @@ def page_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     narrow = pages.select("page_id", F.sha1(F.encode("html", "UTF-8")).alias("digest"), F.octet_length("html").alias("n"))
     same = narrow.where(F.col("n") >= least_bytes).groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("times")).where("times > 1 and top is not null")
     of = cut(same, "warc-same")
-    revisits = cut(narrow.where(F.col("n") >= least_bytes).join(small_side(of, 96), "digest").where("page_id is null or page_id < top").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "top").distinct(), "warc-revisits")
-    joined = pages.join(small_side(revisits, 96), F.col("page_id").eqNullSafe(F.col("_id")) & (F.sha1(F.encode("html", "UTF-8")) == F.col("_digest")), "left")
+    revisits = cut(narrow.where(F.col("n") >= least_bytes).join(small_side(of), "digest").where("page_id is null or page_id < top").select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "top").distinct(), "warc-revisits")
+    joined = pages.join(small_side(revisits), F.col("page_id").eqNullSafe(F.col("_id")) & (F.sha1(F.encode("html", "UTF-8")) == F.col("_digest")), "left")
     urn = lambda c: F.concat(F.lit("urn:x-page:"), c.cast("string"))
     return joined.select(F.when(F.col("top").isNull(), "response").otherwise("revisit").alias("record_type"), urn(F.col("page_id")).alias("record_id"), F.col("url").alias("target_uri"), urn(F.col("top")).alias("refers_to"), F.encode("html", "UTF-8").alias("payload"))
 
