@@ -50,26 +50,44 @@ def plain_hits(text, items, n=10):
             for i in range(len(w) - len(win) + 1):
                 if w[i : i + len(win)] == win:
                     hit.update(range(i, i + len(win)))
-                    ids.add(str(item))
+                    ids |= {str(item)} - {"None"}
     return len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest()
 
 
 def test_decontaminate(spark):
     data = rows()
     lines = [t for r in data if r[1] for t in r[1].split("\n")]
-    items = [(1, lines[6]), (2, "one, TWO"), (3, None), (4, " ... "), (10, " ".join(lines[-4].split()[:14])), (10, " ".join(lines[-4].split()[:14])), (None, "x"), (11, "x")]
+    items = [(1, lines[6]), (2, "one, TWO"), (3, None), (4, " ... "), (10, " ".join(lines[-4].split()[:14])), (10, " ".join(lines[-4].split()[:14])), (None, "x"), (11, "x"), (None, lines[8])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    for shard in (decontaminate.SHARD_BYTES, 200):
-        got = sorted((tuple(r)[:5] for r in decontaminate.decontaminate(docs(spark), bench, shard_bytes=shard).collect()), key=str)
-        assert got == sorted(((r[0], *plain_hits(r[1], [i for i in items if i[0] is not None])) for r in data), key=str)
+    got = sorted((tuple(r)[:5] for r in decontaminate.decontaminate(docs(spark), bench).collect()), key=str)
+    assert got == sorted(((r[0], *plain_hits(r[1], items)) for r in data), key=str)
     r = decontaminate.decontaminate(docs(spark), bench).where("doc_id = 4").first()
     assert [tuple(s) for s in r["hit_spans"]] == [(0, 7)] and r["contaminated"]
     kept = decontaminate.clean(docs(spark), bench)
-    assert kept.columns == docs(spark).columns and kept.count() == sum(not plain_hits(x[1], [i for i in items if i[0] is not None])[1] for x in data)
+    assert kept.columns == docs(spark).columns and kept.count() == sum(not plain_hits(x[1], items)[1] for x in data)
     assert decontaminate.decontaminate(empty(spark), bench).count() == 0
     assert not decontaminate.decontaminate(docs(spark), bench.where("false")).where("contaminated").count()
 
 
+def test_automaton_finds_overlapping_and_nested_windows(monkeypatch):
+    rng = random.Random(7)
+    word = lambda: rng.choice("abcd")  # noqa: E731  few words, so windows overlap and suffixes of windows begin others
+    items = [(i, " ".join(word() for _ in range(rng.choice([1, 2, 3, 5, 9, 10, 11, 14])))) for i in range(12)] + [(None, "a b c d d c b a")]
+    texts = [" ".join(word() for _ in range(rng.choice([0, 1, 7, 40, 300, 1000]))) for _ in range(12)] + [None, "zz zz", "A-b.C"]
+    for segment, block in ((96, 400_000), (1, 50), (7, 400_000)):
+        monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+        monkeypatch.setattr(decontaminate, "BLOCK", block)
+        for keep in (items, [i for i in items if len(i[1].split()) > 5], []):
+            got = decontaminate.Automaton(keep).scan(texts)
+            assert [(n, int(h.sum()) if h is not None else 0, len(i), hashlib.sha256(",".join(i).encode()).hexdigest()) for n, h, i in [(n, h, sorted(map(str, i))) for n, h, i in got]] == [plain_hits(t, keep) for t in texts]
+
+
+def test_a_benchmark_beyond_the_bound_is_refused(monkeypatch):
+    monkeypatch.setattr(decontaminate, "NODES", 20)
+    with pytest.raises(ValueError, match="20 nodes"):
+        decontaminate.Automaton([(1, " ".join(map(str, range(30))))])
+
+
 def test_tokens_are_those_of_the_file():
     import public_tokenizers
     from tokenizers import Tokenizer
