@@ -9,13 +9,14 @@ tables of neighbouring places are added up beforehand, so a response takes half
 A text is scored whole, in batches of fixed-length windows; a document's answer is the softmax of its windows' mean log-probabilities weighted
 by their lengths.
 
-Cases: a null text and one without a letter are `und` with score 0; with no labelled rows every text is `und`; with one language every
-other text is that one; rows without an id are scored and not learned from; extra columns are not read.
+Cases: a null text and one without a letter (Unicode category L) are `und` with score 0; with no labelled rows every text is `und`; with one
+language every other text is that one; rows without an id are scored and not learned from; rows that share an id are each
+scored, and of those drawn for training each counts; a very long text is scored whole, PART windows at a time; of languages
+with equal probability the first in order is given; extra columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,10 +30,9 @@ from .common import read
 LENGTH, WIDTHS, FILTERS = 512, (2, 3, 4), 8
 #: Labelled documents of each language in the training sample, and windows of each document.
 SAMPLE, PER_DOCUMENT = 1200, 2
-#: Windows that are scored side by side.
-TOGETHER = 64
+#: Windows that are scored side by side, and windows of documents that are held at a time.
+TOGETHER, PART = 64, 2048
 
-_LETTER = re.compile(r"[^\W\d_]")
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double"
 _ARROW = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
@@ -155,6 +155,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Network | None:
     return train([(w.encode("utf-8", "surrogatepass"), lang) for _, w, lang in got])
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of Unicode category L; digits, numbers like a half or a circled one, marks and symbols are none."""
+    return any(map(str.isalpha, text))
+
+
 class Scorer:
     def __init__(self, net: Network | None):
         self.net = net
@@ -163,29 +168,44 @@ class Scorer:
     def __call__(self, texts: list[str | None]) -> list[tuple[str, float]]:
         net = self.net
         found: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
-        some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if net else []
-        for at in range(0, len(some), 256):
-            part = some[at : at + 256]
-            raw = [texts[i].encode("utf-8", "surrogatepass") for i in part]
-            n = np.array([len(r) for r in raw])
-            count = -(-n // LENGTH)
-            flat = np.zeros((int(count.sum()), LENGTH), np.uint8)
-            starts = np.cumsum(count) - count
-            for k, r in zip(starts, raw, strict=True):
-                flat.reshape(-1)[k * LENGTH : k * LENGTH + len(r)] = CLASS[np.frombuffer(r, np.uint8)]
-            own = np.minimum(LENGTH, np.repeat(n, count) - (np.arange(len(flat)) - np.repeat(starts, count)) * LENGTH)
-            logs = np.empty((len(flat), len(net.langs)))
-            order = np.argsort(own, kind="stable")
-            for k in range(0, len(order), TOGETHER):
-                i = order[k : k + TOGETHER]
-                logs[i] = net.log_probs(flat[i], own[i], self.tables)
-            mean = np.add.reduceat(logs * own[:, None], starts) / n[:, None]
-            p = np.exp(mean - mean.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            for i, row in zip(part, p, strict=True):
-                found[i] = (net.langs[int(row.argmax())], float(row.max()))
+        some = [i for i, t in enumerate(texts) if t and has_letter(t)] if net else []
+        part: list[int] = []
+        raw: list[bytes] = []
+        size = 0
+        for i in some:
+            part.append(i)
+            raw.append(texts[i].encode("utf-8", "surrogatepass"))
+            size += len(raw[-1])
+            if size >= PART * LENGTH:
+                self.score(part, raw, found)
+                part, raw, size = [], [], 0
+        if part:
+            self.score(part, raw, found)
         return found
 
+    def score(self, part: list[int], raw: list[bytes], found: list[tuple[str, float]]) -> None:
+        """Fills found for the texts part, whose bytes are raw: windows of PART at a time, their weighted sums by text."""
+        net = self.net
+        n = np.array([len(r) for r in raw])
+        count = -(-n // LENGTH)
+        starts = np.cumsum(count) - count
+        total = np.zeros((len(raw), len(net.langs)))
+        classes = np.zeros(int(count.sum()) * LENGTH, np.uint8)
+        for k, r in zip(starts, raw, strict=True):
+            classes[k * LENGTH : k * LENGTH + len(r)] = CLASS[np.frombuffer(r, np.uint8)]
+        flat = classes.reshape(-1, LENGTH)
+        text = np.repeat(np.arange(len(raw)), count)
+        own = np.minimum(LENGTH, n[text] - (np.arange(len(flat)) - starts[text]) * LENGTH)
+        order = np.argsort(own, kind="stable")
+        for k in range(0, len(order), TOGETHER):
+            i = order[k : k + TOGETHER]
+            np.add.at(total, text[i], net.log_probs(flat[i], own[i], self.tables) * own[i, None])
+        mean = total / n[:, None]
+        p = np.exp(mean - mean.max(1, keepdims=True))
+        p /= p.sum(1, keepdims=True)
+        for i, row in zip(part, p, strict=True):
+            found[i] = (net.langs[int(row.argmax())], float(row.max()))
+
 
 def identify(docs: DataFrame, net: Network | None) -> DataFrame:
     """One row per document row: SCHEMA; a narrow scan."""
