@@ -6,12 +6,16 @@ allows for the number of features tried; near-copies in the sample count once th
 for a token's word, prefixes and suffix, and transition weights; it is trained on windows of tokens by the exact gradient
 (forward-backward). A document's score is a logistic function, fitted on the sample, of the expected number of toxic tokens.
 
-Scoring is a narrow scan: whole texts, cut into windows of WINDOW tokens in which the chain runs. The ratio of the
-two states' forward (and backward) values obeys a one-line recursion, so all windows of a batch run side by side.
+Scoring is a narrow scan of whole texts; the chain runs over a text from its first token to its last. The ratio of the two
+states' forward values obeys a one-line recursion whose step is a Moebius map, so the steps of a run of SPAN tokens are one 2 x 2
+matrix: all runs of a batch are multiplied up side by side, the runs of a text are chained, and within runs the recursion goes
+on from what the run before left (backward likewise). Texts are taken PART tokens at a time, so memory doesn't depend on
+how long they are beside the longest one.
 
 Cases: null, empty and wordless texts score as documents with no toxic token; several labels of one document: the
-largest counts, null labels don't; with no labelled rows every score is 0, with one class only its prior; extra columns
-are not read by a score and are kept by reject().
+largest counts, null labels don't; with no labelled rows every score is 0, with one class only its prior; rows that share an id
+are each scored, and each drawn for training counts; a score of exactly REJECT is toxic; empty tables give no rows; extra
+columns are not read by a score and are kept by reject().
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from .common import read
 
 #: Labelled documents of each class (0, 1) in the training sample, and the longest text in it, in code points.
 SAMPLE, SAMPLE_CHARS = (3000, 1500), 20_000
-WINDOW, TRAIN_WINDOW, TRAIN_WINDOWS = 256, 64, 4000
+TRAIN_WINDOW, TRAIN_WINDOWS = 64, 4000
+#: Tokens of a run whose steps are multiplied up, and tokens of documents that are scored at a time.
+SPAN, PART = 64, 400_000
 REJECT = 0.3
 #: Share of toxic documents among those with a feature, from which the feature can mark a token for training.
 PURE = 0.9
@@ -93,27 +99,76 @@ def chain_odds(e: np.ndarray, real: np.ndarray, chain: np.ndarray) -> tuple[np.n
     return fwd, bwd
 
 
-def _windows(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """(start, length) of the windows of texts that stand one after another."""
+def _runs(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, text) of the runs of texts that stand one after another."""
     n = -(-lengths // size)
-    first = np.repeat(np.cumsum(lengths) - lengths, n)
-    k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return first + k * size, np.minimum(size, np.repeat(lengths, n) - k * size)
-
-
-def marginals(e: np.ndarray, lengths: np.ndarray, chain: np.ndarray, size: int = WINDOW) -> np.ndarray:
-    """P(toxic) of each token, given all tokens of its window; e: emission weights of texts one after another."""
+    text = np.repeat(np.arange(len(lengths)), n)
+    k = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    return (np.cumsum(lengths) - lengths)[text] + k * size, np.minimum(size, lengths[text] - k * size), text
+
+
+def _chained(maps: np.ndarray, text: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The vector (2) that enters each run: begin for a text's first, else what the maps (2 x 2) of the text's runs before it make of
+    begin. Maps of all texts are multiplied up by doubling distances, scaled so that nothing overflows."""
+    n = len(text)
+    upto = maps.copy()  # the product over the runs of the same text in reach, the latest on the left
+    step = 1
+    while step < n:
+        i = np.flatnonzero(text[step:] == text[:-step]) + step
+        if not len(i):
+            break
+        upto[i] = upto[i] @ upto[i - step]
+        upto[i] /= upto[i].max((1, 2), keepdims=True)
+        step *= 2
+    out = np.tile(begin, (n, 1))
+    after = np.flatnonzero(text[1:] == text[:-1]) + 1
+    out[after] = upto[after - 1] @ begin
+    return out / out.max(1, keepdims=True)
+
+
+def marginals(e: np.ndarray, lengths: np.ndarray, chain: np.ndarray, size: int = SPAN) -> np.ndarray:
+    """P(toxic) of each token, given all tokens of its text; e: emission weights of texts one after another."""
     out = np.zeros(len(e))
-    start, n = _windows(lengths, size)
-    order = np.argsort(n, kind="stable")
-    for at in range(0, len(order), 4096):
-        w = order[at : at + 4096]
-        t = np.arange(n[w].max())
-        real = t < n[w][:, None]
-        idx = np.where(real, start[w][:, None] + t, 0)
-        fwd, bwd = chain_odds(np.where(real, e[idx], 0.0), real, chain)
-        odds = fwd * bwd
-        out[idx[real]] = (odds / (1 + odds))[real]
+    if not len(e):
+        return out
+    start, n, text = _runs(lengths, size)
+    a, x = np.exp(chain - chain.max()), np.exp(np.clip(e, -40, 40))
+    t = np.arange(int(n.max()))
+    real = t < n[:, None]
+    x = np.where(real, x[np.where(real, start[:, None] + t, 0)], 1.0)
+    first = np.concatenate([[True], text[1:] != text[:-1]])
+    # forward (f0, f1): a text begins with (1, x); a step is f -> D(x) A' f. A run's map takes in the step to its first token, but for a
+    # text's first run, which begins with D(x) alone
+    eye = np.eye(2)
+    ahead = np.tile(eye, (len(n), 1, 1))
+    for k in t:
+        m = np.einsum("ij,rjk->rik", a.T, ahead)
+        if k == 0:
+            m = np.where(first[:, None, None], ahead, m)
+        m = m * np.stack([np.ones(len(n)), x[:, k]], 1)[:, :, None]
+        m /= m.max((1, 2), keepdims=True)
+        ahead = np.where(real[:, k, None, None], m, ahead)
+    f = _chained(ahead, text, np.ones(2))
+    # backward (b0, b1): ends with (1, 1); a step back over token x is b -> A D(x) b. A run's map steps over all its tokens
+    back = np.tile(eye, (len(n), 1, 1))
+    for k in t:
+        m = np.einsum("rij,jk->rik", back, a) * np.stack([np.ones(len(n)), x[:, k]], 1)[:, None, :]
+        m /= m.max((1, 2), keepdims=True)
+        back = np.where(real[:, k, None, None], m, back)
+    b = _chained(back[::-1], text[::-1], np.ones(2))[::-1]
+    # within runs, as odds of state 1
+    odds = np.ones_like(x)
+    r = f[:, 1] / np.maximum(f[:, 0], 1e-300)
+    for k in t:
+        r = x[:, k] * np.where(first if k == 0 else False, r, (a[0, 1] + r * a[1, 1]) / (a[0, 0] + r * a[1, 0]))
+        r = np.clip(r, 1e-30, 1e30)
+        odds[:, k] = r
+    r = b[:, 1] / np.maximum(b[:, 0], 1e-300)
+    for k in t[::-1]:
+        odds[:, k] *= np.where(real[:, k], np.clip(r, 1e-30, 1e30), 1.0)
+        y = x[:, k] * np.clip(r, 1e-30, 1e30)
+        r = np.where(real[:, k], (a[1, 0] + a[1, 1] * y) / (a[0, 0] + a[0, 1] * y), r)
+    out[(start[:, None] + t)[real]] = (odds / (1 + odds))[real]
     return out
 
 
@@ -251,21 +306,37 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, ch
 class Scorer:
     """Holds the model and the words' weights in a worker."""
 
-    def __init__(self, model: Model):
-        self.model, self.known = model, _Known(model.emission, KNOWN)
+    def __init__(self, model: Model, part: int = PART):
+        self.model, self.known, self.part = model, _Known(model.emission, KNOWN), part
 
     def __call__(self, texts: list[str | None], want_spans: bool) -> tuple[np.ndarray, list[list[dict]]]:
         m = self.model
         if m.constant is not None:
             return np.full(len(texts), m.constant), [[] for _ in texts]
-        scores, spans = [], []
-        for at in range(0, len(texts), 512):
-            part = texts[at : at + 512]
-            x, p = expected(m, [tokens_of(t) for t in part], self.known, True)
-            scores.append(1 / (1 + np.exp(-np.clip(m.scale[0] * x + m.scale[1], -30, 30))))
+        scores, spans = np.zeros(len(texts)), [[] for _ in texts]
+        part: list[int] = []
+        docs: list[list[str]] = []
+
+        def send() -> None:
+            x, p = expected(m, docs, self.known, True)
+            scores[part] = 1 / (1 + np.exp(-np.clip(m.scale[0] * x + m.scale[1], -30, 30)))
             if want_spans:
-                spans += [self.spans(t, q) for t, q in zip(part, p, strict=True)]
-        return np.concatenate([np.zeros(0), *scores]), spans
+                for i, q in zip(part, p, strict=True):
+                    spans[i] = self.spans(texts[i], q)
+            part.clear()
+            docs.clear()
+
+        size = 0
+        for i, t in enumerate(texts):
+            part.append(i)
+            docs.append(tokens_of(t))
+            size += len(docs[-1])
+            if size >= self.part:
+                send()
+                size = 0
+        if part:
+            send()
+        return scores, spans
 
     @staticmethod
     def spans(text: str | None, p: np.ndarray) -> list[dict]:
