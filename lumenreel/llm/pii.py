@@ -11,8 +11,9 @@ bounded size.
 Base patterns are written so that the regex engine never goes back over a run (possessive, anchored at a run's begin or the last match's end);
 they match exactly what the plain ones in PLAIN do. Offsets are code points, summed from the pieces between matches.
 
-Cases: a null or empty text has no spans; rows that share an id are each answered; empty tables give no rows and no
-labelers to train; extra columns are not read.
+Cases: a null or empty text has no spans; rows that share an id are each answered, and repeated rows count as often in the
+votes; very long texts are searched whole, in time that grows as their length (runs are matched possessively); a candidate whose score is
+exactly 0 isn't added; empty tables give no rows and no labelers to train; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ CONTEXT = {
 }
 VOTES = ("rule", "shape", "gazetteer", "context", "beside")
 FEATURES = (*VOTES, "size", "before")
-ROUNDS = 10
+#: EM ends when no parameter moves by more.
+SETTLED = 1e-4
 
 SPAN = "struct<kind:string,start:int,end:int>"
 
@@ -170,13 +172,14 @@ def _posterior(p: Column) -> Column:
     return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), odds))))
 
 
-def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[Column, dict[str, list[float]]]:
-    """EM over patterns(kind, f, n): P(personal) of a pattern as a column, and each kind's parameters: the prior, then for each
-    labeler P(yes | personal), P(no | personal), P(yes | not), P(no | not)."""
+def reliabilities(patterns: DataFrame, settled: float = SETTLED) -> tuple[Column, dict[str, list[float]]]:
+    """EM over patterns(kind, f, n), until its parameters settle: P(personal) of a pattern as a column, and each kind's parameters: the prior,
+    then for each labeler P(yes | personal), P(no | personal), P(yes | not), P(no | not)."""
     f = F.col("f")
+    patterns = cut(patterns.groupBy("kind", F.slice("f", 1, len(VOTES)).alias("f")).agg(F.sum("n").alias("n")).coalesce(1), "pii-votes")  # at most 3^5 a kind
     q = 1 / (1 + F.exp(-reduce(lambda a, b: a + b, [f[j] for j in range(len(VOTES))]).cast("double")))  # begin with the vote's balance
     table: dict[str, list[float]] = {}
-    for _ in range(rounds):
+    while True:
         w, v = F.col("w"), F.col("v")
         sums = [F.sum(w).alias("w"), F.sum(v).alias("v")]
         for j in range(len(VOTES)):
@@ -187,9 +190,10 @@ def reliabilities(patterns: DataFrame, rounds: int = ROUNDS) -> tuple[Column, di
         rows = soft.groupBy("kind").agg(*sums).collect()  # a row a kind
         if not rows:
             return F.lit(0.0), {}
-        table = {r["kind"]: [(r["w"] + 1) / (r["w"] + r["v"] + 2), *[(r[f"{s}{j}{vote}"] + 0.5) / (r[s] + 1.5) for j in range(len(VOTES)) for s in ("w", "v") for vote in (1, -1)]] for r in rows}
+        before, table = table, {r["kind"]: [(r["w"] + 1) / (r["w"] + r["v"] + 2), *[(r[f"{s}{j}{vote}"] + 0.5) / (r[s] + 1.5) for j in range(len(VOTES)) for s in ("w", "v") for vote in (1, -1)]] for r in rows}
         q = F.transform(F.array(F.element_at(_by_kind(_log_odds(table)), F.col("kind"))), _posterior)[0]
-    return q, table
+        if before and max(abs(x - y) for k in table for x, y in zip(before[k], table[k], strict=True)) <= settled:
+            return q, table
 
 
 def classifier(patterns: DataFrame, q: Column) -> dict[str, float]:

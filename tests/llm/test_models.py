@@ -46,15 +46,85 @@ def test_marginals_are_exact():
     rng = np.random.default_rng(1)
     chain, lengths = rng.normal(size=(2, 2)), np.array([3, 1, 0, 5])
     e = rng.normal(size=9)
-    got, at = toxicity.marginals(e, lengths, chain, size=4), 0
-    for n in (3, 1, 4, 1):  # the last text is cut into windows of four and one
-        part = e[at : at + n]
-        score = {y: sum(part[i] * y[i] for i in range(n)) + sum(chain[y[i], y[i + 1]] for i in range(n - 1)) for y in itertools.product((0, 1), repeat=n)}
-        z = sum(np.exp(list(score.values())))
-        assert np.allclose(got[at : at + n], [sum(np.exp(s) for y, s in score.items() if y[i]) / z for i in range(n)])
+    for size in (1, 2, 4, 64):
+        got, at = toxicity.marginals(e, lengths, chain, size=size), 0
+        for n in (3, 1, 5):
+            part = e[at : at + n]
+            score = {y: sum(part[i] * y[i] for i in range(n)) + sum(chain[y[i], y[i + 1]] for i in range(n - 1)) for y in itertools.product((0, 1), repeat=n)}
+            z = sum(np.exp(list(score.values())))
+            assert np.allclose(got[at : at + n], [sum(np.exp(s) for y, s in score.items() if y[i]) / z for i in range(n)])
+            at += n
+
+
+def test_the_chain_runs_over_whole_texts():
+    rng = np.random.default_rng(4)
+    chain, lengths = np.array([[2.0, -3.0], [-3.0, 2.5]]), np.array([700, 1, 64, 65, 0, 5000])  # states that hardly change
+    e = rng.normal(size=lengths.sum()) * 0.3
+    got, at = toxicity.marginals(e, lengths, chain), 0
+    for n in lengths[lengths > 0]:
+        a, x = np.exp(chain), np.stack([np.ones(n), np.exp(e[at : at + n])], 1)
+        f, b = x.copy(), np.ones((n, 2))
+        for i in range(1, n):
+            f[i] = f[i - 1] @ a * x[i]
+            f[i] /= f[i].sum()
+        for i in range(n - 2, -1, -1):
+            b[i] = a @ (x[i + 1] * b[i + 1])
+            b[i] /= b[i].sum()
+        assert np.allclose(got[at : at + n], (f * b)[:, 1] / (f * b).sum(1), atol=1e-9)
         at += n
 
 
+def test_scores_do_not_depend_on_how_texts_are_grouped():
+    model = toxicity.Model({"vile": 6.0, "vil*": 1.0}, -4.0, np.array([[0.5, -0.5], [-0.5, 0.5]]), (1.0, 0.0))
+    texts = ["word " * 3000 + "Vile", None, "", "vile vile", "x"] * 3
+    want, spans = toxicity.Scorer(model)(texts, True)
+    for part in (1, 100, 5000):
+        got, s = toxicity.Scorer(model, part)(texts, True)
+        assert np.allclose(got, want) and [[(x["start"], x["end"]) for x in y] for y in s] == [[(x["start"], x["end"]) for x in y] for y in spans]
+    assert spans[0] == [] or spans[0][0]["start"] == 15000
+
+
+def test_long_texts_are_scored_in_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, sys
+import numpy as np
+from lumenreel.llm import toxicity
+m = toxicity.Scorer(toxicity.Model({"vile": 6.0}, -4.0, np.zeros((2, 2)), (1.0, 0.0)))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+m(["some word or other " * 5000] * 512, True)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    used = float(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout)
+    assert used < 400
+
+
+def test_what_is_a_letter():
+    assert not any(langid.has_letter(x) for x in ["", "½", "²", "①", "Ⅷ", "12", "_", "\u0301", "٣", "😀", "...", "\n\t"])
+    assert all(langid.has_letter(x) for x in ["a", "1é", "日", "ß", "½ x", "ª"])
+
+
+def test_long_texts_are_identified_whole(monkeypatch):
+    rng = random.Random(3)
+    net = langid.train([(b"hello there the cat", "en"), (b"bonjour le chat est", "fr")] * 4, epochs=2)
+    texts = [" ".join(rng.choice(["the", "le", "chat", "cat"]) for _ in range(n)) for n in (1, 5, 400, 3000, 2)] + ["", None, "½ ²"]
+    want = langid.Scorer(net)(texts)
+    monkeypatch.setattr(langid, "PART", 1)
+    got = langid.Scorer(net)(texts)
+    assert [w[0] for w in want] == [g[0] for g in got] and np.allclose([w[1] for w in want], [g[1] for g in got]) and got[5:] == [("und", 0.0)] * 3
+
+
+def test_em_ends_when_it_has_settled(spark):
+    found = pii.candidates(docs(spark, [(i, "call +1 212 555 0142 or 212-555-0142, mail a@b.com", None, None, 0, 0, 0) for i in range(30)] + [(99, "x 1.2.3.4 y 300.1.2.3", None, None, 0, 0, 0)]))
+    patterns = found.selectExpr("explode(found) as c").groupBy("c.kind", "c.f").count().withColumnRenamed("count", "n")
+    _, loose = pii.reliabilities(patterns, 1e-3)
+    _, tight = pii.reliabilities(patterns, 1e-6)
+    assert loose.keys() == tight.keys() and all(0 < x < 1 for p in tight.values() for x in p)
+    assert max(abs(x - y) for k in tight for x, y in zip(loose[k], tight[k], strict=True)) < 0.05
+
+
 def test_toxicity(spark):
     rng = random.Random(2)
     vocab = [f"w{i}" for i in range(400)]
