@@ -1,6 +1,7 @@
 """Timeline layout and marker exports. Positions are whole frames of one rate (num/den seconds a frame); seconds are derived.
 
-A timeline is one ordered sequence, so the running sum and numbering run over all of its clips in one task; a batch has as many rows as clips.
+A timeline is one ordered sequence; its running sum and its numbers come from ranges of the order that are summed on their own (in_order). An
+export's text is one value, which one task puts together.
 """
 
 from __future__ import annotations
@@ -11,17 +12,21 @@ from pyspark.sql import functions as F
 from ..functions import numbers as N
 from ..functions import paths as P
 from ..functions import text as T
-from ..params import Timeline
+from ..params import Energy, Timeline
+from ..storage import in_order
 
 
 def timeline_rate(rates: DataFrame, p: Timeline = Timeline()) -> DataFrame:
     """rates(num, den, clips, first_path) -> one row (num, den): the fastest rate of the batch that all others divide, else the slowest standard
     rate that all divide, else the most frequent (of equals the first path's)."""
-    own = rates.select("num", "den", F.lit(1).alias("tier"), (-F.col("den") / F.col("num")).alias("o"))
-    std = rates.limit(1).select(F.explode(F.array(*[F.struct(F.lit(n).alias("num"), F.lit(d).alias("den")) for _, n, d in p.rates])).alias("x")).select("x.num", "x.den", F.lit(2).alias("tier"), (F.col("x.den") / F.col("x.num")).alias("o"))
-    fits = own.unionByName(std).join(F.broadcast(rates.select(F.col("num").alias("rn"), F.col("den").alias("rd")).limit(64))).groupBy("tier", "num", "den", "o").agg(F.every(N.divides(F.col("den") / F.col("num"), F.col("rd") / F.col("rn"))).alias("all")).where("all")
-    usual = rates.orderBy(F.desc("clips"), "first_path").limit(1).select("num", "den", F.lit(3).alias("tier"), F.lit(0.0).alias("o"))
-    return fits.drop("all").unionByName(usual).orderBy("tier", "o").limit(1).select("num", "den")
+    known = rates.groupBy("num", "den").agg(F.sum("clips").alias("clips"), F.min("first_path").alias("first_path"))
+    every = known.agg(F.collect_list(F.struct("num", "den")).alias("every")).where(F.size("every") > 0)  # one row, of the batch's different rates
+    own = F.transform("every", lambda r: F.struct(r["num"].alias("num"), r["den"].alias("den"), F.lit(1).alias("tier"), (-r["den"] / r["num"]).alias("o")))
+    std = F.array(*[F.struct(F.lit(n).alias("num"), F.lit(d).alias("den"), F.lit(2).alias("tier"), F.lit(d / n).alias("o")) for _, n, d in p.rates])
+    all_fit = lambda c: F.forall("every", lambda r: N.divides(c["den"] / c["num"], r["den"] / r["num"]))
+    fits = every.select(F.explode(F.filter(F.concat(own, std), all_fit)).alias("x")).select("x.*")
+    usual = known.orderBy(F.desc("clips"), "first_path").limit(1).select("num", "den", F.lit(3).alias("tier"), F.lit(0.0).alias("o"))
+    return fits.unionByName(usual).orderBy("tier", "o").limit(1).select("num", "den")
 
 
 def clip_rates(clips: DataFrame, p: Timeline = Timeline()) -> DataFrame:
@@ -35,8 +40,7 @@ def layout(clips: DataFrame, markers: DataFrame, rate: DataFrame, p: Timeline =
     last = markers.groupBy("path").agg(F.max("t").alias("last"))
     known = clips.join(last, "path", "left").withColumn("d", F.when(F.col("duration") > 0, F.col("duration")).otherwise(F.coalesce("last", F.lit(0.0)) + 1.0))
     sized = known.join(F.broadcast(rate)).withColumn("dur_frames", N.frames_needed(F.col("d"), F.col("num"), F.col("den"), p))
-    before = F.sum("dur_frames").over(Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
-    return sized.select("path", "num", "den", F.coalesce(before, F.lit(0)).alias("offset_frames"), "dur_frames")
+    return in_order(sized.select("path", "num", "den", "dur_frames"), ["path"], "dur_frames", "layout").select("path", "num", "den", F.col("_before").alias("offset_frames"), "dur_frames")
 
 
 def clean_markers(markers: DataFrame, cap: int | None = None) -> DataFrame:
@@ -48,6 +52,17 @@ def clean_markers(markers: DataFrame, cap: int | None = None) -> DataFrame:
     return one.withColumn("_r", F.row_number().over(w.orderBy("t", "label"))).withColumn("dropped", F.greatest(F.lit(0), F.count(F.lit(1)).over(w) - cap)).where(F.col("_r") <= cap).select("path", "t", "label", "dropped")
 
 
+def peak_markers(videos: DataFrame, p: Timeline = Timeline(), most: int = Energy.peak_max) -> DataFrame:
+    """videos(path, energy_bucket, energy_peaks) -> (path, t, label): the first peaks of clips that have energy."""
+    some = videos.where(F.col("energy_bucket").isNotNull())
+    return some.select("path", F.explode(F.slice("energy_peaks", 1, most)).alias("t"), F.lit(p.peak_label).alias("label"))
+
+
+def all_markers(named: DataFrame, peaks: DataFrame) -> DataFrame:
+    """The markers(path, t, label) of both sources, each once; a clip of either source is on the timeline."""
+    return named.select("path", "t", "label").unionByName(peaks.select("path", "t", "label")).distinct()
+
+
 def foreign_markers(existing: DataFrame, own_names: DataFrame) -> DataFrame:
     """existing(path, t, label) that aren't ours; names are compared as they are written to disk."""
     ours = own_names.select(T.marker_name(F.col("name")).alias("_n")).distinct()
@@ -69,8 +84,7 @@ def edl_rows(lay: DataFrame, markers: DataFrame, p: Timeline = Timeline()) -> Da
     """(n, path, label, tc_in, tc_out, color)."""
     spf, num, den = F.col("num") / F.col("den"), F.col("num"), F.col("den")
     at = F.col("offset_frames") * spf + F.col("at")
-    n = F.row_number().over(Window.orderBy("path", "t", "label"))
-    rows = placed(lay, markers).withColumn("n", n)
+    rows = in_order(placed(lay, markers), ["path", "t", "label"], name="events").withColumnRenamed("_n", "n")
     return rows.select("n", "path", "label", N.timecode(N.frame(at, num, den), num, den).alias("tc_in"), N.timecode(N.frame(at + spf, num, den), num, den).alias("tc_out"), color(F.col("label"), p).alias("color"))
 
 
@@ -95,7 +109,7 @@ def fcpxml(lay: DataFrame, markers: DataFrame, starts: DataFrame, size: tuple[in
     spf = num / den
     named = lay.join(starts, "path", "left").withColumn("start_sec", F.coalesce("start_sec", F.lit(0.0))).withColumn("name", T.xml(P.display_name(F.col("path"))))
     marks = placed(lay, markers).select("path", "t", "label", "at").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("t", "label", "at"))).alias("ms"))
-    rows = named.join(marks, "path", "left").withColumn("i", F.row_number().over(Window.orderBy("path")))
+    rows = in_order(named.join(marks, "path", "left"), ["path"], name="clips").withColumnRenamed("_n", "i")
     frame_at = lambda sec: N.rational(N.frame(sec, num, den), num, den)
     tick = N.rational(F.lit(1), num, den)
     inner = F.array_join(F.transform(F.coalesce("ms", F.array().cast("array<struct<t:double,label:string,at:double>>")), lambda m: F.concat(F.lit('\n        <marker start="'), frame_at(F.col("start_sec") + m["at"]), F.lit('" duration="'), tick, F.lit('" value="'), T.xml(m["label"]), F.lit('"/>'))), "")

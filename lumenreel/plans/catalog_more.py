@@ -220,36 +220,44 @@ def _clips(s, d):
     return A.videos(s, d).select("path", F.element_at(fps, (F.col("id") % 4).cast("int")).alias("fps"), F.when(F.col("id") % 10 == 0, 0.0).otherwise(F.bround(F.col("duration_sec") / 100_000, 3)).alias("duration"))
 
 
-def _all_markers(s, d, faces=None):
-    t = F.bround(F.col("timestamp_sec") / 90_000, 3)
-    return (A.faces(s, d) if faces is None else faces).join(A.people(s, d), "cluster_id").join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id").select("path", t.alias("t"), F.col("name").alias("label")).distinct()
-
-
 def _markers(s, d):
-    """Those of every seventh face, as in _TL: for the queries that have an SQL twin."""
-    return _all_markers(s, d, A.faces(s, d).where("id % 7 = 0"))
+    t = F.bround(F.col("timestamp_sec") / 90_000, 3)
+    return A.faces(s, d).join(A.people(s, d), "cluster_id").join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id").select("path", t.alias("t"), F.col("name").alias("label")).distinct()
 
 
 def _rate(s, d):
     return timeline.timeline_rate(timeline.clip_rates(_clips(s, d)))
 
 
-def _lay(s, d, markers=None):
-    return timeline.layout(_clips(s, d), _markers(s, d) if markers is None else markers, _rate(s, d))
+def _lay(s, d):
+    return timeline.layout(_clips(s, d), _markers(s, d), _rate(s, d))
 
 
-_TL = """, cp AS (SELECT path, CASE WHEN id % 10 = 0 THEN 0.0 ELSE round_even(duration_sec / 100000, 3) END AS duration FROM videos),
-mk AS (SELECT DISTINCT path, round_even(timestamp_sec / 90000, 3) AS t, name AS label FROM faces JOIN people USING (cluster_id) JOIN videos ON videos.id = video_id WHERE faces.id % 7 = 0),
-ly AS (SELECT path, 1001 AS num, 60000 AS den, df AS dur_frames, coalesce(sum(df) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_frames FROM (SELECT cp.path, CAST(greatest(1, ceil((CASE WHEN duration > 0 THEN duration ELSE coalesce(m, 0.0) + 1.0 END) / (CAST(1001 AS DOUBLE) / 60000) - 0.001)) AS BIGINT) AS df FROM cp LEFT JOIN (SELECT path, max(t) AS m FROM mk GROUP BY path) USING (path))),
-pm AS (SELECT ly.*, t, label, least(t, greatest(dur_frames * (CAST(1001 AS DOUBLE) / 60000) - CAST(1001 AS DOUBLE) / 60000, 0.0)) AS pos FROM ly JOIN mk USING (path))"""
-_TC = "printf('%02d:%02d:%02d:%02d', CAST({0} // 60 // 3600 AS BIGINT), CAST({0} // 60 // 60 % 60 AS BIGINT), CAST({0} // 60 % 60 AS BIGINT), CAST({0} % 60 AS BIGINT))"
+_STANDARD = ", ".join(f"({r}, {n}, {d})" for r, n, d in Timeline().rates)
+#: rt: the batch's rate by the rule; clip rates are the nearest standard ones.
+_RATE = f""", sr AS (SELECT * FROM (VALUES {_STANDARD}) t(nominal, num, den)),
+fr AS (SELECT path, CASE id % 4 WHEN 0 THEN 29.97 WHEN 1 THEN 59.94 WHEN 2 THEN CAST(30000 AS DOUBLE) / 1001 ELSE 59.9 END AS fps FROM videos),
+nr AS (SELECT path, num, den FROM fr, sr QUALIFY row_number() OVER (PARTITION BY path ORDER BY abs(fps - nominal), nominal) = 1),
+cr AS (SELECT num, den, count(*) AS clips, min(path) AS first_path FROM nr GROUP BY num, den),
+cd AS (SELECT num, den, 1 AS tier, -CAST(den AS DOUBLE) / num AS o FROM cr UNION ALL SELECT num, den, 2, CAST(den AS DOUBLE) / num FROM sr),
+ft AS (SELECT num, den, tier, o FROM (SELECT cd.*, (CAST(cd.den AS DOUBLE) / cd.num) / (CAST(cr.den AS DOUBLE) / cr.num) AS q FROM cd, cr) GROUP BY ALL HAVING bool_and(abs(q - round_even(q, 0)) < 1e-6 AND round_even(q, 0) >= 1)),
+rt AS (SELECT num, den FROM (SELECT * FROM ft UNION ALL (SELECT num, den, 3, 0.0 FROM cr ORDER BY clips DESC, first_path LIMIT 1)) ORDER BY tier, o LIMIT 1)"""
+_TL = _RATE + """, cp AS (SELECT path, CASE WHEN id % 10 = 0 THEN 0.0 ELSE round_even(duration_sec / 100000, 3) END AS duration FROM videos),
+mk AS (SELECT DISTINCT path, round_even(timestamp_sec / 90000, 3) AS t, name AS label FROM faces JOIN people USING (cluster_id) JOIN videos ON videos.id = video_id),
+ly AS (SELECT path, num, den, CAST(num AS DOUBLE) / den AS spf, df AS dur_frames, coalesce(sum(df) OVER (ORDER BY path ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offset_frames FROM (SELECT cp.path, num, den, CAST(greatest(1, ceil((CASE WHEN duration > 0 THEN duration ELSE coalesce(m, 0.0) + 1.0 END) / (CAST(num AS DOUBLE) / den) - 0.001)) AS BIGINT) AS df FROM cp CROSS JOIN rt LEFT JOIN (SELECT path, max(t) AS m FROM mk GROUP BY path) USING (path))),
+pm AS (SELECT ly.*, t, label, least(t, greatest(dur_frames * spf - spf, 0.0)) AS pos FROM ly JOIN mk USING (path))"""
+_TC = "printf('%02d:%02d:%02d:%02d', CAST({0} // {1} // 3600 AS BIGINT), CAST({0} // {1} // 60 % 60 AS BIGINT), CAST({0} // {1} % 60 AS BIGINT), CAST({0} % {1} AS BIGINT))"
+_FR = "CAST(round(CAST(den AS DOUBLE) / num) AS BIGINT)"
 
 
-@_query("SELECT 1001 AS num, 60000 AS den")
+@_query(None)
 def timeline_rate(s, d):
     return _rate(s, d)
 
 
+_SQL["timeline_rate"] = _with(_RATE, "SELECT num, den FROM rt", "videos")
+
+
 @_query(None)
 def timeline_layout(s, d):
     return _lay(s, d).select("path", "offset_frames", "dur_frames")
@@ -263,12 +271,13 @@ def edl_rows(s, d):
     return timeline.edl_rows(_lay(s, d), _markers(s, d)).withColumn("n", F.col("n").cast("bigint"))
 
 
-_AT = "CAST(round_even((offset_frames * (CAST(1001 AS DOUBLE) / 60000) + pos{0}) * 60000 / 1001, 0) AS BIGINT)"
-_SQL["edl_rows"] = _with(_TL, "SELECT row_number() OVER (ORDER BY path, t, label) AS n, path, label, " + _TC.format(_AT.format("")) + " AS tc_in, " + _TC.format(_AT.format(" + CAST(1001 AS DOUBLE) / 60000")) + " AS tc_out, CASE WHEN label = 'Energy peak' THEN 'Yellow' ELSE 'Blue' END AS color FROM pm", "faces", "people", "videos")
+_AT = "CAST(round_even((offset_frames * spf + pos{0}) * den / num, 0) AS BIGINT)"
+_EDL = f"SELECT row_number() OVER (ORDER BY path, t, label) AS n, path, label, {_TC.format(_AT.format(''), _FR)} AS tc_in, {_TC.format(_AT.format(' + spf'), _FR)} AS tc_out, CASE WHEN label = 'Energy peak' THEN 'Yellow' ELSE 'Blue' END AS color FROM pm"
+_SQL["edl_rows"] = _with(_TL, _EDL, "faces", "people", "videos")
 
 
 def _starts(s, d):
-    return A.videos(s, d).where("id % 3 = 0").select("path", N.timecode_seconds(F.format_string("%02d:%02d:%02d;%02d", F.col("id") % 24, F.col("id") % 60, (F.col("id") * 7) % 60, F.col("id") % 60), F.lit(60000.0) / 1001).alias("start_sec"))
+    return A.videos(s, d).select("path", N.timecode_seconds(F.format_string("%02d:%02d:%02d;%02d", F.col("id") % 24, F.col("id") % 60, (F.col("id") * 7) % 60, F.col("id") % 60), F.lit(60000.0) / 1001).alias("start_sec"))
 
 
 _DF = "((((id % 24) * 60 + id % 60) * 60 + (id * 7) % 60) * 60 + id % 60 - 4 * ((id % 24) * 60 + id % 60 - ((id % 24) * 60 + id % 60) // 10)) / (CAST(60000 AS DOUBLE) / 1001)"
@@ -279,29 +288,40 @@ def fcpxml_times(s, d):
     return timeline.fcpxml_times(_lay(s, d), _starts(s, d))
 
 
-_SQL["fcpxml_times"] = _with(_TL + f", sx AS (SELECT path, {_DF} AS start_sec FROM videos WHERE id % 3 = 0)", "SELECT path, CAST(CAST(offset_frames AS BIGINT) * 1001 AS VARCHAR) || '/60000s' AS \"offset\", CAST(CAST(round_even(coalesce(start_sec, 0.0) * 60000 / 1001, 0) AS BIGINT) * 1001 AS VARCHAR) || '/60000s' AS start, CAST(dur_frames * 1001 AS VARCHAR) || '/60000s' AS duration FROM ly LEFT JOIN sx USING (path)", "faces", "people", "videos")
+_RT = "CAST(CAST({} AS BIGINT) * num AS VARCHAR) || '/' || CAST(den AS VARCHAR) || 's'"
+_SX = f", sx AS (SELECT path, {_DF} AS start_sec FROM videos)"
+_SQL["fcpxml_times"] = _with(_TL + _SX, f"SELECT path, {_RT.format('offset_frames')} AS \"offset\", {_RT.format('round_even(coalesce(start_sec, 0.0) * den / num, 0)')} AS start, {_RT.format('dur_frames')} AS duration FROM ly LEFT JOIN sx USING (path)", "faces", "people", "videos")
 
 
-@_query(f"SELECT path, round({_DF}, 6) AS start_sec FROM videos WHERE id % 3 = 0", "videos")
+@_query(f"SELECT path, round({_DF}, 6) AS start_sec FROM videos", "videos")
 def timecode_seconds(s, d):
     return _starts(s, d).withColumn("start_sec", F.round("start_sec", 6))
 
 
 @_query(None)
 def fcpxml_text(s, d):
-    m = _all_markers(s, d)
-    return timeline.fcpxml(_lay(s, d, m), m, _starts(s, d))
+    return timeline.fcpxml(_lay(s, d), _markers(s, d), _starts(s, d))
 
 
 @_query(None)
 def edl_text(s, d):
-    m = _all_markers(s, d)
-    return timeline.edl(_lay(s, d, m), m)
+    return timeline.edl(_lay(s, d), _markers(s, d))
+
+
+_SQL["edl_text"] = _with(_TL + f", ed AS ({_EDL})", "SELECT 'TITLE: Markers' || chr(10) || 'FCM: NON-DROP FRAME' || chr(10) || chr(10) || string_agg(printf('%03d', n) || '  001      V     C        ' || tc_in || ' ' || tc_out || ' ' || tc_in || ' ' || tc_out || chr(10) || ' |C:ResolveColor' || color || ' |M:' || " + _STRIP.format("translate(label, '|' || chr(10), '- ')") + " || ' |D:1' || chr(10), chr(10) ORDER BY n) AS text FROM ed HAVING count(*) > 0", "faces", "people", "videos")
 
 
 @_query(None)
 def marker_table(s, d):
-    return timeline.marker_table(_all_markers(s, d))
+    return timeline.marker_table(_markers(s, d))
+
+
+@_query(None)
+def marker_sources(s, d):
+    return timeline.all_markers(_markers(s, d), timeline.peak_markers(A.videos(s, d)))
+
+
+_SQL["marker_sources"] = _with(_TL, "SELECT path, t, label FROM mk UNION SELECT path, energy_peaks[1] AS t, 'Energy peak' AS label FROM videos WHERE energy_bucket IS NOT NULL AND len(energy_peaks) > 0", "faces", "people", "videos")
 
 
 @_query(None)
@@ -447,9 +467,9 @@ def assign_clusters(s, d):
     return state.assign_clusters(f, f.where("id % 3 = 0").select("id", F.lit(7).alias("cluster_id"))).select("id", "cluster_id")
 
 
-@_query("SELECT name, regexp_replace(name, '-[^-]*$', '') AS prefix, stamp FROM (SELECT 'backup-' || CAST(o_orderkey AS VARCHAR) AS name, o_orderkey AS stamp FROM orders WHERE o_custkey % 100 = 1) ORDER BY stamp DESC OFFSET 3")
+@_query("SELECT name, regexp_replace(name, '-[^-]*$', '') AS prefix, stamp FROM (SELECT 'backup-' || CAST(o_orderkey AS VARCHAR) AS name, o_orderkey AS stamp FROM orders) ORDER BY stamp DESC OFFSET 3")
 def backup_retention(s, d):
-    o = A.table(s, d, "orders").where("o_custkey % 100 = 1")
+    o = A.table(s, d, "orders")
     return state.expired(o.select(F.concat(F.lit("backup-"), F.col("o_orderkey").cast("string")).alias("name")))
 
 

@@ -6,28 +6,11 @@ row of a key counts. Checkpoints and output live in the shared folder.
 
 from __future__ import annotations
 
-import atexit
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clustering, state
-
-
-def _folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/lumenreel-streams"
-    path = f"{root.rstrip('/')}/lumenreel/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # noqa: BLE001  the session may be gone at exit
-        pass
+from ..storage import scratch
 
 
 def utc(spark: SparkSession) -> SparkSession:
@@ -64,7 +47,7 @@ def windows(stream: DataFrame, keys: list[str], size: str = "1 second", late: st
 def drain(result: DataFrame, mode: str, keys: list[str], name: str) -> str:
     """Runs a stream over what there is; returns the folder of its rows, by batch."""
     spark = result.sparkSession
-    out, memory = _folder(spark, name), _folder(spark, f"{name}-checkpoint")
+    out, memory = scratch(spark, name), scratch(spark, f"{name}-checkpoint")
 
     def save(df: DataFrame, number: int) -> None:
         df.write.mode("overwrite").parquet(f"{out}/batch={number}")
