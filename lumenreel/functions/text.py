@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -123,3 +125,27 @@ def json_peaks(c: Column) -> Column:
 def rejections(c: Column) -> Column:
     """[[path, tag], ...] as an array of pairs; null where it can't be read."""
     return F.from_json(c, "array<array<string>>")
+
+
+def explained(message: Column, explanations: Sequence[tuple[Sequence[str], str]]) -> Column:
+    """The explanation of the first entry of which any part occurs in the message, any case; the message itself if none does. Entries are the
+    caller's: (parts, explanation)."""
+    low = F.lower(message)
+    out = F.when(F.lit(False), message)
+    for parts, said in explanations:
+        out = out.when(reduce(lambda a, b: a | b, [low.contains(p.lower()) for p in parts]), F.lit(said))
+    return out.otherwise(message)
+
+
+def token_ids(c: Column, encode: Callable[[], Callable[[str], list[int]]], start: int, end: int, length: int = 77) -> Column:
+    """Texts as a fixed number of ids for a text encoder: start, the cleaned text's ids, end, then zeros; long ones are cut so that the end
+    stays. encode() is called once a worker and returns the tokenizer; a null text is an empty one."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ids = encode()
+        for b in batches:
+            rows = [[start, *ids(t or "")[: length - 2], end] for t in b]
+            yield pd.Series([r + [0] * (length - len(r)) for r in rows])
+
+    return run(clean_prompt(F.coalesce(c, F.lit(""))))

@@ -202,3 +202,47 @@ def failures(results: DataFrame) -> DataFrame:
     """results(failed) -> one row: total, failed, ok, partial (some failed and some not)."""
     t = results.agg(F.count("*").alias("total"), F.count_if("failed").alias("failed"))
     return t.select("total", "failed", (F.col("total") - F.col("failed")).alias("ok"), F.col("failed").between(1, F.col("total") - 1).alias("partial"))
+
+
+def existence(videos: DataFrame, faces: DataFrame, frames: DataFrame, version: int) -> DataFrame:
+    """(id, scanned, clustered, embedded, energy, current): what there is of each clip, by semi-joins on the distinct ids of each side."""
+    some = lambda df, name: df.select(F.col("video_id").alias("id")).distinct().withColumn(name, F.lit(True))
+    known = videos.join(some(clustered(faces), "_c"), "id", "left").join(some(frames, "_e"), "id", "left")
+    has = F.col("energy_bucket").isNotNull()
+    return known.select("id", F.coalesce("scan_complete", F.lit(False)).alias("scanned"), F.col("_c").isNotNull().alias("clustered"), F.col("_e").isNotNull().alias("embedded"), has.alias("energy"), (has & F.coalesce(F.col("energy_version") == version, F.lit(False))).alias("current"))
+
+
+def tagged_totals(videos: DataFrame, tagged: DataFrame) -> DataFrame:
+    """One row on a tagging run: total clips, tagged clips, and the first tagged path's file and tags (best first; null if there is none)."""
+    per = tags_by_clip(tagged, videos)
+    first = per.agg(F.count("*").alias("tagged"), F.min_by(F.struct(P.basename(F.col("path")).alias("file"), "tags"), "path").alias("s"))
+    return videos.agg(F.count("*").alias("total")).join(F.broadcast(first)).select("total", "tagged", F.col("s.file").alias("file"), F.col("s.tags").alias("tags"))
+
+
+def undeclared(emitted: DataFrame, declared: DataFrame) -> DataFrame:
+    """(event): events that are emitted and not declared, once each."""
+    return emitted.select("event").distinct().join(declared.select("event"), "event", "left_anti")
+
+
+def need_embedding(videos: DataFrame, frames: DataFrame) -> DataFrame:
+    """(id, path) of clips without any frame embedding."""
+    return videos.join(frames.select(F.col("video_id").alias("id")), "id", "left_anti").select("id", "path")
+
+
+def labeler_search(summary: DataFrame, query: str) -> DataFrame:
+    """Clusters of a summary(cluster_id, n, name) whose number or name holds the query, any case."""
+    q = query.strip().lower()
+    return summary.where(F.col("cluster_id").cast("string").contains(q) | F.lower("name").contains(q))
+
+
+def view_counts(views: DataFrame) -> DataFrame:
+    """(view, clusters) of a labeler_view."""
+    return views.groupBy("view").agg(F.count("*").alias("clusters"))
+
+
+def scoped_representatives(faces: DataFrame, videos: DataFrame, roots: list[str] | None, n: int = 9, seed: str = "0") -> DataFrame:
+    """n faces of each cluster from clips in scope; of a cluster that has none there, from all clips."""
+    inside = videos.select(F.col("id").alias("video_id"), P.under(F.col("path"), roots).alias("_in"))
+    marked = clustered(faces).join(inside, "video_id", "left").withColumn("_in", F.coalesce("_in", F.lit(False)))
+    some = marked.groupBy("cluster_id").agg(F.max("_in").alias("_some"))
+    return representatives(marked.join(some, "cluster_id").where(F.col("_in") | ~F.col("_some")).drop("_in", "_some"), n, seed)

@@ -521,15 +521,13 @@ def crop_boxes(s, d):
 
 @_query("SELECT cluster_id, n, name FROM (SELECT cluster_id, count(*) AS n, any_value(name) AS name FROM faces LEFT JOIN people USING (cluster_id) WHERE cluster_id >= 0 GROUP BY cluster_id) WHERE contains(CAST(cluster_id AS VARCHAR), 'ra') OR contains(lower(name), 'ra')", "faces", "people")
 def labeler_search(s, d):
-    q = "ra"
-    return library.cluster_summary(A.faces(s, d), A.people(s, d)).where(F.col("cluster_id").cast("string").contains(q) | F.lower("name").contains(q))
+    return library.labeler_search(library.cluster_summary(A.faces(s, d), A.people(s, d)), " RA")
 
 
 @_query("SELECT tag, path FROM (SELECT tag, path, row_number() OVER (PARTITION BY tag ORDER BY score, path) AS r FROM auto_tags JOIN videos ON videos.id = video_id) WHERE r > 6", "videos", "auto_tags")
 def rest_of_clips(s, d):
     t = A.auto_tags(s, d).join(A.videos(s, d).select(F.col("id").alias("video_id"), "path"), "video_id")
-    shown = tagging.rollup(t).select("tag", F.explode("weakest").alias("path"))
-    return t.select("tag", "path").join(shown, ["tag", "path"], "left_anti")
+    return tagging.rest(t)
 
 
 @_query("SELECT den AS rate_den, count(*) AS clips FROM (SELECT CASE WHEN id % 4 IN (0, 2) THEN 30000 ELSE 60000 END AS den FROM videos) GROUP BY den", "faces", "videos")
@@ -539,8 +537,7 @@ def rate_histogram(s, d):
 
 @_query("SELECT id, path FROM videos WHERE id NOT IN (SELECT video_id FROM frames) AND id % 11 <> 0", "faces", "videos", "frames")
 def needs_embedding(s, d):
-    v = A.videos(s, d).where("id % 11 != 0").select("id", "path")
-    return v.join(A.frames(s, d).select(F.col("video_id").alias("id")), "id", "left_anti")
+    return library.need_embedding(A.videos(s, d).where("id % 11 != 0"), A.frames(s, d))
 
 
 @_query("SELECT video_id, timestamp_sec, vec_id FROM frames WHERE video_id = 7", "frames")
@@ -570,3 +567,67 @@ def ids_and_ages(s, d):
 def detection_filter(s, d):
     e = A.table(s, d, "events").select("event_id", F.greatest(F.lit(1), F.rint("value").cast("int") % 40 - 20).alias("w"), (F.col("value") / 100).alias("score"))
     return e.where("score >= 0.5")
+
+
+# what there is, totals, runs -----------------------------------------------------------------------------------------
+
+
+@_query("SELECT id, scan_complete AS scanned, id IN (SELECT video_id FROM faces WHERE cluster_id >= 0) AS clustered, id IN (SELECT video_id FROM frames) AS embedded, energy_bucket IS NOT NULL AS energy, energy_bucket IS NOT NULL AND energy_version = 2 AS current FROM videos", "faces", "videos", "frames")
+def existence(s, d):
+    return library.existence(A.videos(s, d), A.faces(s, d), A.frames(s, d), 2)
+
+
+@_query("SELECT (SELECT count(*) FROM videos) AS total, count(*) AS tagged, regexp_extract(min(path), '[^/]+$', 0) AS file, arg_min(tags, path) AS tags FROM (SELECT path, array_to_string(list(tag ORDER BY score DESC, tag), '; ') AS tags FROM auto_tags JOIN videos ON videos.id = video_id GROUP BY path)", "videos", "auto_tags")
+def tagged_totals(s, d):
+    return library.tagged_totals(A.videos(s, d), A.auto_tags(s, d)).withColumn("tags", F.array_join("tags", "; "))
+
+
+@_query("SELECT DISTINCT event_type AS event FROM events WHERE event_type NOT IN ('click', 'view')")
+def undeclared_events(s, d):
+    declared = s.createDataFrame([("click",), ("view",), ("never",)], "event string")
+    return library.undeclared(A.table(s, d, "events").select(F.col("event_type").alias("event")), declared)
+
+
+@_query("SELECT view, count(*) AS clusters FROM (SELECT CASE WHEN name IS NOT NULL AND name <> '' THEN 'labeled' WHEN n >= 3 THEN 'needs' ELSE 'other' END AS view FROM (SELECT cluster_id, count(*) AS n, any_value(name) AS name FROM faces LEFT JOIN (SELECT * FROM people WHERE cluster_id <> 2) USING (cluster_id) WHERE cluster_id >= 0 GROUP BY cluster_id)) GROUP BY view", "faces", "people")
+def labeler_counts(s, d):
+    return library.view_counts(library.labeler_view(library.cluster_summary(A.faces(s, d), A.people(s, d).where("cluster_id != 2"))))
+
+
+@_query("SELECT id, cluster_id, rank FROM (SELECT f.id, cluster_id, row_number() OVER (PARTITION BY cluster_id ORDER BY md5(CAST(f.id AS VARCHAR) || ':0'), f.id) AS rank FROM faces f JOIN videos v ON v.id = video_id WHERE cluster_id >= 0 AND (path = '/lib/3' OR starts_with(path, '/lib/3/') OR path = '/lib/1' OR starts_with(path, '/lib/1/') OR cluster_id NOT IN (SELECT cluster_id FROM faces JOIN videos ON videos.id = video_id WHERE path = '/lib/3' OR starts_with(path, '/lib/3/') OR path = '/lib/1' OR starts_with(path, '/lib/1/')))) WHERE rank <= 9", "faces", "videos")
+def representatives_scoped(s, d):
+    return library.scoped_representatives(A.faces(s, d), A.videos(s, d), A.ROOTS).select("id", "cluster_id", F.col("rank").cast("bigint").alias("rank"))
+
+
+@_query(None)
+def tag_run(s, d):
+    stored = A.videos(s, d).select(F.col("id").alias("video_id"), F.lit("old").alias("tag"), F.lit(0.5).alias("score"))
+    return tagging.tag_run(A.frames(s, d), _prompts(s, d), stored).withColumn("score", F.round("score", 6))
+
+
+_SQL["tag_run"] = _with(_FP + _rel(Tagging()), "SELECT video_id, tag, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, tag) AS rank FROM kp) WHERE rank <= 3 UNION ALL SELECT id, 'old', 0.5 FROM videos WHERE id NOT IN (SELECT video_id FROM frames)", "faces", "videos", "frames")
+
+
+@_query("SELECT event_id, CASE WHEN event_type = 'click' OR event_type = 'signup' THEN 'someone came' WHEN event_type = 'view' THEN 'someone looked' ELSE event_type END AS said FROM events")
+def explained_errors(s, d):
+    said = T.explained(F.col("event_type"), [(("CLICK", "sign"), "someone came"), (("view",), "someone looked")])
+    return A.table(s, d, "events").select("event_id", said.alias("said"))
+
+
+@_query("SELECT id, id % 2 = 0 OR scan_complete AS scan_complete FROM videos", "videos")
+def completion_flags(s, d):
+    v = A.videos(s, d)
+    return state.mark_complete(v, v.where("id % 2 = 0")).select("id", "scan_complete")
+
+
+@_query("SELECT id, array_to_string(CASE WHEN id % 2 = 0 THEN ['new', 'old ' || CAST(id AS VARCHAR)] ELSE written_keywords END, '; ') AS keywords FROM videos", "videos")
+def keyword_record(s, d):
+    v = A.videos(s, d)
+    lines = F.concat(F.lit("new\n\nold "), F.col("id").cast("string"), F.lit("\n"))
+    return state.set_keywords(v, v.where("id % 2 = 0").select("id", T.from_lines(lines).alias("keywords"))).select("id", F.array_join("written_keywords", "; ").alias("keywords"))
+
+
+@_query("SELECT name, arg_max(v, event_id) AS value FROM (SELECT event_id, event_type AS name, CAST(value AS VARCHAR) AS v FROM events) GROUP BY name")
+def settings(s, d):
+    e = A.table(s, d, "events").select("event_id", F.col("event_type").alias("name"), F.col("value").cast("string").alias("value"))
+    last = e.groupBy("name").agg(F.max_by("value", "event_id").alias("value"))
+    return state.upsert(s.createDataFrame([("click", "before"), ("view", "before")], "name string, value string"), last, "name")

@@ -19,6 +19,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import numbers as N
 from ..functions import paths as P
 from ..functions import text as T
+from ..operators.library import need_embedding
+from ..operators.vectors import ensemble
 from ..params import Media, Timeline
 
 PROBE = "struct<streams:array<struct<codec_type:string,codec_tag_string:string,width:int,height:int,duration:string,nb_frames:string,r_frame_rate:string,avg_frame_rate:string,side_data_list:array<struct<rotation:string>>,tags:struct<rotate:string,timecode:string>>>,format:struct<duration:string,tags:struct<timecode:string>>>"
@@ -128,6 +130,8 @@ def finder_tag(entry: Column) -> Column:
 
 
 EVENT = "__EVENT__ "
+#: Seconds of sound in a row.
+SECONDS = 60
 
 
 def event_lines(lines: DataFrame, schema: str, prefix: str = EVENT) -> DataFrame:
@@ -188,17 +192,18 @@ class FrameSource(DataSource):
 
 
 def sound_levels(pcm: DataFrame, rate: int = 16_000) -> DataFrame:
-    """pcm(path, samples binary of little-endian int16) -> (path, sec, db) of each full second."""
+    """pcm(path, samples binary of little-endian int16, begin: the row's first second, 0 if there is no such column) -> (path, sec, db) of each full second."""
+    begin = F.col("begin") if "begin" in pcm.columns else F.lit(0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for path, raw in zip(b["path"], b["samples"], strict=True):
+            for path, at, raw in zip(b["path"], b["begin"], b["samples"], strict=True):
                 x = np.frombuffer(raw, "<i2").astype(np.float64) / 32768
                 n = len(x) // rate
                 ms = (x[: n * rate].reshape(n, rate) ** 2).mean(1) if n else np.zeros(0)
-                yield pd.DataFrame({"path": path, "sec": np.arange(n, dtype=np.int32), "db": 20 * np.log10(np.sqrt(ms + 1e-12) + 1e-9)})
+                yield pd.DataFrame({"path": path, "sec": at + np.arange(n, dtype=np.int32), "db": 20 * np.log10(np.sqrt(ms + 1e-12) + 1e-9)})
 
-    return pcm.select("path", "samples").mapInPandas(run, "path string, sec int, db double")
+    return pcm.select("path", begin.alias("begin"), "samples").mapInPandas(run, "path string, sec int, db double")
 
 
 def timeline_clips(meta: DataFrame, p: Timeline = Timeline()) -> DataFrame:
@@ -229,3 +234,62 @@ def next_frames(frames: DataFrame) -> DataFrame:
     """Pairs of neighbouring frames of a clip: (path, t, before, pixels)."""
     w = Window.partitionBy("path").orderBy("t")
     return frames.withColumn("before", F.lag("pixels").over(w)).where("before is not null").select("path", "t", "before", "pixels")
+
+
+def encode_frames(frames: DataFrame, model, key: str = "path") -> DataFrame:
+    """(key, t, embedding) of frames(key, t, h, w, pixels) by an image encoder that the caller supplies: model() is called once a worker and returns a
+    function from a list of arrays to rows of a matrix; vectors of unit length."""
+    kind = dict(frames.dtypes)[key]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = model()
+        for b in batches:
+            x = np.asarray(encode([np.frombuffer(p, np.uint8).reshape(h, w, -1) for p, h, w in zip(b["pixels"], b["h"], b["w"], strict=True)]), np.float32)
+            yield pd.DataFrame({key: b[key], "t": b["t"], "embedding": list(x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8))})
+
+    return frames.select(key, "t", "h", "w", "pixels").mapInPandas(run, f"{key} {kind}, t double, embedding array<float>")
+
+
+def encode_texts(tags: DataFrame, model) -> DataFrame:
+    """tags(tag) -> (tag, prompt): the mean unit vector of a tag's sentences, by a text encoder that the caller supplies, called as in encode_frames with
+    a list of texts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encode = model()
+        for b in batches:
+            x = np.asarray(encode(b["text"].tolist()), np.float64)
+            yield pd.DataFrame({"tag": b["tag"], "embedding": list(x)})
+
+    each = tags.select("tag", F.explode(T.prompts(F.col("tag"))).alias("text")).mapInPandas(run, "tag string, embedding array<double>")
+    return ensemble(each, ["tag"], "embedding").withColumnRenamed("embedding", "prompt")
+
+
+def backfill(videos: DataFrame, stored: DataFrame, frames_of, model) -> DataFrame:
+    """stored(video_id, t, embedding) with the embeddings of clips that had none: frames_of(clips(id, path)) gives their frames(id, t, h, w, pixels)."""
+    new = encode_frames(frames_of(need_embedding(videos, stored)), model, "id").withColumnRenamed("id", "video_id")
+    return stored.unionByName(new)
+
+
+def pictures(spark: SparkSession, paths: list[str], fps: float = 1.0, side: int = Media.longest_side, gray: bool = False) -> DataFrame:
+    """Frames of clips through the source clipframes: one clip a partition."""
+    spark.dataSource.register(FrameSource)
+    return spark.read.format("clipframes").option("paths", json.dumps(paths)).option("fps", fps).option("side", side).option("gray", str(gray).lower()).load()
+
+
+def pcm(paths: DataFrame, rate: int = 16_000) -> DataFrame:
+    """(path, samples) of a clip's sound as mono little-endian int16 by ffmpeg, SECONDS at a time in whole seconds, so that sound_levels can take each row on its own;
+    a clip without sound gives no row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = shutil.which("ffmpeg")
+        if tool is None:
+            raise RuntimeError("ffmpeg must be installed on the workers")
+        for b in batches:
+            for path in b["path"]:
+                with subprocess.Popen([tool, "-v", "error", "-i", path, "-vn", "-ac", "1", "-ar", str(rate), "-f", "s16le", "-"], stdout=subprocess.PIPE) as p:
+                    at = 0
+                    while raw := p.stdout.read(2 * rate * SECONDS):
+                        yield pd.DataFrame({"path": [path], "begin": [at], "samples": [raw]})
+                        at += SECONDS
+
+    return paths.select("path").mapInPandas(run, "path string, begin int, samples binary")

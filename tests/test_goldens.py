@@ -172,5 +172,38 @@ def test_nearest_is_naive(spark):
     points = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(p)], "id long, embedding array<double>")
     cents = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster_id int, centroid array<double>")
     want = np.linalg.norm(p[:, None] - c, axis=2).argmin(1).tolist()
-    for f in (vectors.nearest, lambda a, b: vectors.nearest_blocks(a, b, block=4)):
+    for f in (vectors.nearest, lambda a, b: vectors.nearest_blocks(a, b, block=4), lambda a, b: vectors.nearest(a, b, most=8)):
         assert [r["cluster_id"] for r in f(points, cents).orderBy("id").collect()] == want
+
+
+def test_vectors_of_any_shape(spark):
+    frames = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 2.0]), (2, None), (2, []), (2, [1.0, None]), (3, [1.0, 1.0, 1.0]), (None, [1.0, 0.0])], "video_id int, embedding array<double>")
+    prompts = spark.createDataFrame([("a", [0.0, 1.0]), ("b", [2.0, 0.0]), ("c", [1.0, 1.0, 1.0])], "tag string, prompt array<double>")
+    want = {(1, "a"): 1.0, (1, "b"): 1.0, (3, "c"): 1.0, (None, "a"): 0.0, (None, "b"): 1.0}
+    for most in (vectors.BROADCAST_COMPONENTS, 2):
+        got = {(r["video_id"], r["tag"]): r["score"] for r in vectors.frame_scores(frames.where("not exists(embedding, x -> x is null) or embedding is null"), prompts, most).collect()}
+        assert got == pytest.approx(want)
+    assert vectors.frame_scores(frames, prompts).where("video_id = 2").count() == 0
+    assert vectors.frame_scores(frames.where("false"), prompts).count() == 0 and vectors.frame_scores(frames, prompts.where("false")).count() == 0
+    cents = spark.createDataFrame([(7, [0.0, 0.0]), (3, [2.0, 0.0]), (9, [1.0, 1.0, 1.0])], "cluster_id int, centroid array<double>")
+    points = frames.withColumnRenamed("video_id", "id").where("id is not null")
+    for f in (vectors.nearest, vectors.nearest_blocks):
+        got = {tuple(r) for r in f(points.where("id != 2"), cents).collect()}
+        assert got == {(1, 3, 1.0), (3, 9, 0.0)}  # a tie
+
+
+def test_codecs(spark):
+    v = spark.createDataFrame([([1.5, -2.0, 65504.0],), (None,), ([],)], "v array<float>")
+    assert [r[0] for r in v.select(vectors.from_f16(vectors.to_f16("v"))).collect()] == [[1.5, -2.0, 65504.0], None, []]
+
+
+def test_best_share_is_the_plain_ranking(spark):
+    import random
+
+    rng = random.Random(5)
+    rows = [(v, t, round(rng.random(), rng.choice([1, 2, 5]))) for v in range(60) for t in range(6) if rng.random() < 0.8]
+    for share in (0.05, 0.3, 0.5, 1.0):
+        want = {(v, t) for t in range(6) for v, _, _ in sorted((r for r in rows if r[1] == t), key=lambda r: (-r[2], r[0]))[: max(1, int(60 * share))]}
+        df = spark.createDataFrame([(*r, 60) for r in rows], "video_id int, tag int, score double, n long")
+        for bins in (4096, 3):
+            assert kept(tagging._best_share(df, share, bins)) == want
