@@ -1,7 +1,7 @@
 """Changes of stored relations as pure functions old rows -> new rows, and a snapshot store that commits them.
 
-A snapshot is a folder v=<n>; the largest number in the folder CURRENT is the one that counts. One writer at a time; readers keep the version they
-opened. Updates are anti-joins and unions; foreign keys cascade by hand.
+A version is a file in the folder CURRENT that names the folders v=<n> it consists of; the largest number counts. So an append writes what is
+new only. One writer at a time; readers keep the version they opened. Updates are anti-joins and unions; foreign keys cascade by hand.
 """
 
 from __future__ import annotations
@@ -139,17 +139,54 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(p)]
         return max((int(n) for n in names if n.isdigit()), default=None)
 
+    def parts(self, table: str, version: int) -> list[int]:
+        """The folders that a version consists of."""
+        p = self._path(f"{self.root}/{table}/CURRENT/{version}")
+        size = self._fs.getFileStatus(p).getLen()
+        stream = self._fs.open(p)
+        try:
+            text = bytes(stream.readNBytes(int(size))).decode()
+        finally:
+            stream.close()
+        return [int(x) for x in text.split(",") if x] or [version]
+
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
         v = self.current(table) if version is None else version
-        return None if v is None else self.spark.read.parquet(f"{self.root}/{table}/v={v}")
+        return None if v is None else self.spark.read.parquet(*[f"{self.root}/{table}/v={n}" for n in self.parts(table, v)])
 
     def commit(self, table: str, df: DataFrame) -> int:
         """Writes df as the next version, then lets it count; old versions past `keep` go."""
+        v = self._write(table, df)
+        return self._publish(table, v, [v])
+
+    def append(self, table: str, df: DataFrame, most: int = 64) -> int:
+        """The next version is the current one and df; nothing that is stored is written again, but once in `most` appends all is put into one folder."""
+        now = self.current(table)
+        if now is None:
+            return self.commit(table, df)
+        parts = self.parts(table, now)
+        if len(parts) >= most:
+            return self.commit(table, self.read(table, now).unionByName(df, allowMissingColumns=True))
+        v = self._write(table, df)
+        return self._publish(table, v, [*parts, v])
+
+    def _write(self, table: str, df: DataFrame) -> int:
         v = max([-1, *self.versions(table)]) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
-        self._fs.mkdirs(self._path(f"{self.root}/{table}/CURRENT"))
-        self._fs.createNewFile(self._path(f"{self.root}/{table}/CURRENT/{v}"))  # creating one file is atomic; the largest counts
-        for old in self.versions(table)[: -self.keep]:
-            self._fs.delete(self._path(f"{self.root}/{table}/v={old}"), True)
-            self._fs.delete(self._path(f"{self.root}/{table}/CURRENT/{old}"), False)
+        return v
+
+    def _publish(self, table: str, v: int, parts: list[int]) -> int:
+        folder = f"{self.root}/{table}/CURRENT"
+        self._fs.mkdirs(self._path(folder))
+        out = self._fs.create(self._path(f"{folder}/_{v}"), True)
+        out.write(bytearray(",".join(map(str, parts)).encode()))
+        out.close()
+        self._fs.rename(self._path(f"{folder}/_{v}"), self._path(f"{folder}/{v}"))  # the largest number counts
+        numbers = sorted(int(n) for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if n.isdigit())
+        for old in numbers[: -self.keep]:
+            self._fs.delete(self._path(f"{folder}/{old}"), False)
+        used = {p for n in numbers[-self.keep :] for p in self.parts(table, n)}
+        for old in self.versions(table):
+            if old not in used:
+                self._fs.delete(self._path(f"{self.root}/{table}/v={old}"), True)
         return v

@@ -66,11 +66,11 @@ def not_downloaded(stats: DataFrame, listing: DataFrame) -> DataFrame:
     return empty.union(gone).distinct()
 
 
-def probe(paths: DataFrame) -> DataFrame:
-    """(path, json, error) by ffprobe."""
+def probe(paths: DataFrame, tools: str | None = None) -> DataFrame:
+    """(path, json, error) by ffprobe, from the folder tools or the path."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = shutil.which("ffprobe")
+        tool = shutil.which("ffprobe", path=tools)
         for b in batches:
             rows = []
             for path in b["path"]:
@@ -145,12 +145,14 @@ class _Clip(InputPartition):
 
 
 class FrameReader(DataSourceReader):
-    """Frames of clips by ffmpeg, one clip a partition. Options: paths (JSON list), fps, longest side, gray."""
+    """Frames of clips by ffmpeg, one clip a partition. Options: paths (JSON list), fps, longest side, gray, tools (a folder on the workers that
+    holds ffmpeg and ffprobe; else they are looked for on the path)."""
 
     def __init__(self, options):
         self.paths = json.loads(options.get("paths", "[]"))
         self.fps, self.side = float(options.get("fps", 1.0)), int(options.get("side", Media.longest_side))
         self.gray = options.get("gray", "false").lower() == "true"
+        self.tools = options.get("tools") or None
 
     def partitions(self):
         return [_Clip(p) for p in self.paths] or [_Clip("")]
@@ -158,7 +160,7 @@ class FrameReader(DataSourceReader):
     def read(self, partition):
         if not partition.path:
             return
-        tool, ask = shutil.which("ffmpeg"), shutil.which("ffprobe")
+        tool, ask = shutil.which("ffmpeg", path=self.tools), shutil.which("ffprobe", path=self.tools)
         if tool is None or ask is None:
             raise RuntimeError("ffmpeg and ffprobe must be installed on the workers")
         shown = json.loads(subprocess.run([ask, "-v", "error", "-select_streams", "v:0", "-show_streams", "-show_format", "-of", "json", partition.path], capture_output=True, text=True, check=True).stdout)
@@ -270,18 +272,18 @@ def backfill(videos: DataFrame, stored: DataFrame, frames_of, model) -> DataFram
     return stored.unionByName(new)
 
 
-def pictures(spark: SparkSession, paths: list[str], fps: float = 1.0, side: int = Media.longest_side, gray: bool = False) -> DataFrame:
+def pictures(spark: SparkSession, paths: list[str], fps: float = 1.0, side: int = Media.longest_side, gray: bool = False, tools: str | None = None) -> DataFrame:
     """Frames of clips through the source clipframes: one clip a partition."""
     spark.dataSource.register(FrameSource)
-    return spark.read.format("clipframes").option("paths", json.dumps(paths)).option("fps", fps).option("side", side).option("gray", str(gray).lower()).load()
+    return spark.read.format("clipframes").option("paths", json.dumps(paths)).option("fps", fps).option("side", side).option("gray", str(gray).lower()).option("tools", tools or "").load()
 
 
-def pcm(paths: DataFrame, rate: int = 16_000) -> DataFrame:
+def pcm(paths: DataFrame, rate: int = 16_000, tools: str | None = None) -> DataFrame:
     """(path, samples) of a clip's sound as mono little-endian int16 by ffmpeg, SECONDS at a time in whole seconds, so that sound_levels can take each row on its own;
     a clip without sound gives no row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = shutil.which("ffmpeg")
+        tool = shutil.which("ffmpeg", path=tools)
         if tool is None:
             raise RuntimeError("ffmpeg must be installed on the workers")
         for b in batches:

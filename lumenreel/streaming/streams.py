@@ -34,7 +34,8 @@ def _glob(path: str) -> str:
 
 
 def appearances(stream: DataFrame, keys: list[str], gap: str = "10 seconds", late: str = "1 hour") -> DataFrame:
-    """(keys, start, n): sessions; events exactly a gap apart are one session."""
+    """(keys, start, n): sessions; events exactly a gap apart are one session. In append mode a session comes out, and its state goes, once the
+    watermark has passed its end."""
     w = F.session_window("ts", gap)
     return stream.withWatermark("ts", late).groupBy(*keys, w.alias("w")).agg(F.min("ts").alias("start"), F.count("*").alias("n")).select(*keys, "start", "n")
 
@@ -79,19 +80,21 @@ def drained_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 def drained_edits(spark: SparkSession, d: str) -> DataFrame:
-    """A log of label edits, the last write of a cluster wins."""
+    """A log of label edits, the last write of a cluster wins. The state is a row a cluster, as large as the table of people that it keeps, and
+    an edit may come at any time, so it has no watermark."""
     s = utc(spark)
     e = events(s, f"{d}/events.parquet").groupBy(F.col("user_id").alias("cluster_id")).agg(F.max_by("event_type", "event_id").alias("name"))
     return latest(spark, drain(e, "update", ["cluster_id"], "stream-edits"), ["cluster_id"], False)
 
 
 def ingest(stream: DataFrame, store: state.SnapshotStore, checkpoint: str, table: str = "faces"):
-    """Appends what a stream brings to a stored table, a snapshot a batch; ids that the table has already are skipped, so a repeated
-    batch adds nothing."""
+    """Appends what a stream brings to a stored table, a version a batch; only new rows are written. Ids that the table has already are
+    skipped, so a repeated batch adds nothing."""
 
     def save(df: DataFrame, number: int) -> None:
         old = store.read(table)
-        store.commit(table, df if old is None else old.unionByName(df.join(old.select("id"), "id", "left_anti")))
+        new = df.dropDuplicates(["id"])
+        store.append(table, new if old is None else new.join(old.select("id"), "id", "left_anti").select(old.columns))
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

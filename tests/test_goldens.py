@@ -207,3 +207,24 @@ def test_best_share_is_the_plain_ranking(spark):
         df = spark.createDataFrame([(*r, 60) for r in rows], "video_id int, tag int, score double, n long")
         for bins in (4096, 3):
             assert kept(tagging._best_share(df, share, bins)) == want
+
+
+def test_scope_labels_and_folders():
+    assert P.scope_label(None) == "everything" and P.scope_label(["/x/May/"]) == "May"
+    assert P.scope_label(["/x/May/a.mov", "/x/May/b.mov"]) == "2 clip(s) in May" and P.scope_label(["/x/a", "/y/b"]) == "2 item(s)"
+    assert P.export_folder([("/x/May", True)]) == "/x/May" and P.export_folder([("/x/May/a.mov", False), ("/x/April/b.mov", False)]) == "/x"
+    assert P.export_folder([("/a/x.mov", False), ("/b/y.mov", False)]) == "/a" and P.export_folder([]) is None
+
+
+def test_json_columns(spark):
+    got = one(spark, T.json_roots(F.lit('["/a","/b"]')), T.json_peaks(F.lit("[1, 2.5]")), T.json_peaks(F.lit("{oops")), T.rejections(F.lit('[["/a","dog"]]')), T.rejections(F.lit("oops")), T.html(F.lit("<a href='x'>&")))
+    assert list(got) == [["/a", "/b"], [1.0, 2.5], [], [["/a", "dog"]], None, "&lt;a href=&#39;x&#39;&gt;&amp;"]
+
+
+def test_numbers_in_order(spark):
+    from lumenreel.storage import in_order
+
+    df = spark.createDataFrame([(f"p{i:03d}", i) for i in range(200)], "path string, n long").repartition(7)
+    got = in_order(df, ["path"], "n").orderBy("path").collect()
+    assert [(r["_n"], r["_before"]) for r in got] == [(i + 1, i * (i - 1) // 2) for i in range(200)]
+    assert in_order(df.where("false"), ["path"], "n").count() == 0

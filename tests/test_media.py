@@ -79,3 +79,119 @@ def test_sound(spark):
     x = (np.sin(np.arange(40_000)) * 16384).astype("<i2").tobytes()
     got = media.sound_levels(spark.createDataFrame([("/a", bytearray(x))], "path string, samples binary")).collect()
     assert len(got) == 2 and abs(got[0]["db"] - 20 * np.log10(0.5 / 2**0.5)) < 0.1
+
+
+PROBE = """#!{python}
+import json, sys
+path = sys.argv[-1]
+if "broken" in path:
+    sys.stderr.write("no such stream")
+    sys.exit(1)
+print(json.dumps({{"streams": [{{"codec_type": "video", "width": 8, "height": 4, "r_frame_rate": "30/1"}}], "format": {{"duration": "2.0"}}}}))
+"""
+DECODE = """#!{python}
+import sys
+out = sys.stdout.buffer
+if "-vn" in sys.argv:
+    out.write(bytes([0, 64]) * (16000 * 3))
+else:
+    depth = 1 if "gray" in sys.argv else 3
+    for i in range(9):
+        out.write(bytes([i]) * (8 * 4 * depth))
+"""
+
+
+def tools(folder):
+    import sys
+
+    for name, text in (("ffprobe", PROBE), ("ffmpeg", DECODE)):
+        (folder / name).write_text(text.format(python=sys.executable))
+        (folder / name).chmod(0o755)
+    return str(folder)
+
+
+def test_frames_by_a_stub_tool(spark, tmp_path):
+    t = tools(tmp_path)
+    got = media.pictures(spark, ["/a.mov", "/b.mov"], tools=t).orderBy("path", "frame").collect()
+    # two seconds and one more, at a frame a second
+    assert [(r["path"], r["frame"], r["t"]) for r in got] == [(p, i, float(i)) for p in ("/a.mov", "/b.mov") for i in range(4)]
+    assert all((r["h"], r["w"], len(r["pixels"]), r["pixels"][0]) == (4, 8, 96, r["frame"]) for r in got)
+    gray = media.pictures(spark, ["/a.mov"], fps=4.0, gray=True, tools=t).collect()
+    assert len(gray) == 9 and {len(r["pixels"]) for r in gray} == {32}
+    assert media.pictures(spark, []).count() == 0
+    clips = spark.createDataFrame([("/a.mov", 2.0), ("/c.mov", 9.0)], "path string, duration double")
+    short = {r["path"]: (r["got"], r["short"]) for r in media.quality(media.pictures(spark, ["/a.mov", "/b.mov"], tools=t), clips).collect()}
+    assert short == {"/a.mov": (4, False), "/c.mov": (0, True)}
+    pairs = media.next_frames(media.pictures(spark, ["/a.mov"], tools=t)).orderBy("t").collect()
+    assert [(r["before"][0], r["pixels"][0]) for r in pairs] == [(0, 1), (1, 2), (2, 3)]
+
+
+def test_probe_and_sound_by_a_stub_tool(spark, tmp_path):
+    t = tools(tmp_path)
+    paths = spark.createDataFrame([("/a.mov",), ("/broken.mov",)], "path string")
+    got = {r["path"]: r for r in media.probe(paths, t).collect()}
+    assert got["/broken.mov"]["json"] is None and "no such" in got["/broken.mov"]["error"] and json.loads(got["/a.mov"]["json"])["format"]["duration"] == "2.0"
+    levels = media.sound_levels(media.pcm(paths.limit(1), tools=t)).orderBy("sec").collect()
+    assert [r["sec"] for r in levels] == [0, 1, 2] and all(abs(r["db"] - 20 * __import__("math").log10(0.5)) < 0.01 for r in levels)
+
+
+def test_stat(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    got = {r["path"]: r for r in media.stat(spark.createDataFrame([(str(tmp_path / "a"),), ("/no/such",)], "path string")).collect()}
+    assert got[str(tmp_path / "a")]["size"] == 3 and got[str(tmp_path / "a")]["on_disk"] and not got["/no/such"]["on_disk"]
+
+
+def test_models_of_the_caller(spark, tmp_path):
+    import numpy as np
+
+    frames = media.pictures(spark, ["/a.mov"], tools=tools(tmp_path))
+
+    def faces():
+        return lambda x: [(1, 2, 0, 3, 0.9, [3.0, 4.0]), (0, 0, 5, 5, 0.4, [1.0, 0.0])]
+
+    got = media.detect(frames, faces).collect()
+    assert len(got) == 4 and all((r["w"], r["h"]) == (1, 3) and np.allclose(r["embedding"], [0.6, 0.8]) for r in got)
+
+    def images():
+        return lambda xs: [[float(x.mean()) + 1.0, 0.0] for x in xs]
+
+    clips = spark.createDataFrame([(1, "/a.mov"), (2, "/b.mov")], "id int, path string")
+    had = spark.createDataFrame([(2, 0.0, [1.0, 0.0])], "video_id int, t double, embedding array<float>")
+
+    def frames_of(c):
+        t = str(tmp_path)
+        return media.pictures(spark, [r["path"] for r in c.collect()], tools=t).join(c, "path")
+
+    after = media.backfill(clips, had, frames_of, images)
+    assert sorted((r["video_id"], tuple(r["embedding"])) for r in after.collect()) == [(1, (1.0, 0.0))] * 4 + [(2, (1.0, 0.0))]
+
+    def texts():
+        return lambda xs: [[float("beach" in x), 1.0] for x in xs]
+
+    prompts = {r["tag"]: r["prompt"] for r in media.encode_texts(spark.createDataFrame([("beach",), ("dog",)], "tag string"), texts).collect()}
+    assert np.allclose(prompts["beach"], [0.5**0.5, 0.5**0.5]) and np.allclose(prompts["dog"], [0.0, 1.0])
+
+
+def test_token_ids(spark):
+    from lumenreel.functions import text as T
+
+    def encode():
+        return lambda t: [10 + len(w) for w in t.split()]
+
+    df = spark.createDataFrame([("  A  dog\n",), (None,), ("x " * 100,)], "t string").select(T.token_ids(F.col("t"), encode, 1, 2, 8).alias("i"))
+    assert [r[0] for r in df.collect()] == [[1, 11, 13, 2, 0, 0, 0, 0], [1, 2, 0, 0, 0, 0, 0, 0], [1, 11, 11, 11, 11, 11, 11, 2]]
+
+
+def test_writers_and_sidecars(spark, tmp_path):
+    plan = spark.createDataFrame([("/a.mov", ["x", "y"]), ("/b.mov", [])], "path string, keywords array<string>")
+    got = {r["path"]: r["a"] for r in plan.select("path", sinks.keyword_arguments(F.col("keywords")).alias("a")).collect()}
+    assert got["/a.mov"] == ["-XMP-dc:Subject=x, y", "-Keys:Keywords=x,y"]
+    ran = {r["path"]: (r["failed"], r["error"]) for r in sinks.run_tool(plan, lambda row: "boom" if row["path"] == "/b.mov" else None).collect()}
+    assert ran == {"/a.mov": (False, None), "/b.mov": (True, "boom")}
+    marks = spark.createDataFrame([("/m/a.mov", 1.5, "A & B"), ("/m/a.mov", 0.25, "C")], "path string, t double, label string")
+    row = sinks.sidecar(marks).first()
+    assert row["path"] == "/m/a.xmp" and row["text"].index(">250<") < row["text"].index(">1500<") and "A &amp; B" in row["text"]
+    own = spark.createDataFrame([(row["text"],), ("<x/>",)], "t string").select(sinks.own_sidecar(F.col("t"))).collect()
+    assert [r[0] for r in own] == [True, False]
+    kept = sinks.stale_exports(spark.createDataFrame([("/k/m.edl",), ("/o/m.edl",), ("/o/mine.txt",)], "path string"), ["/k"], ["m.edl"])
+    assert [r[0] for r in kept.collect()] == ["/o/m.edl"]
