@@ -84,7 +84,10 @@ def edl_rows(lay: DataFrame, markers: DataFrame, p: Timeline = Timeline()) -> Da
     """(n, path, label, tc_in, tc_out, color)."""
     spf, num, den = F.col("num") / F.col("den"), F.col("num"), F.col("den")
     at = F.col("offset_frames") * spf + F.col("at")
-    rows = in_order(placed(lay, markers), ["path", "t", "label"], name="events").withColumnRenamed("_n", "n")
+    # a clip's events are numbered in the clip, after the events of the clips before it
+    rows = placed(lay, markers).withColumn("_i", F.row_number().over(Window.partitionBy("path").orderBy("t", "label")))
+    before = in_order(lay.select("path").join(markers.groupBy("path").agg(F.count("*").alias("c")), "path"), ["path"], "c", "events").select("path", "_before")
+    rows = rows.join(before, "path").withColumn("n", F.col("_before") + F.col("_i"))
     return rows.select("n", "path", "label", N.timecode(N.frame(at, num, den), num, den).alias("tc_in"), N.timecode(N.frame(at + spf, num, den), num, den).alias("tc_out"), color(F.col("label"), p).alias("color"))
 
 

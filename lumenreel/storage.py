@@ -47,12 +47,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def in_order(df: DataFrame, order: list[str], value: str | None = None, name: str = "in-order") -> DataFrame:
+#: Rows that one task numbers; more are dealt by ranges.
+ONE_TASK = 1 << 16
+
+
+def in_order(df: DataFrame, order: list[str], value: str | None = None, name: str = "in-order", one_task: int = ONE_TASK) -> DataFrame:
     """df with _n (its row's number from 1 in the order) and, for a value column, _before (the value's sum over the rows before).
 
-    Rows are dealt by ranges of the order and numbered within their range; only a count and a sum of each range meet on the
-    driver, at most as many as there are shuffle partitions. Rows are stored once, so that both passes see the same ranges. Rows
-    that are equal in the order are numbered in any order."""
+    df is stored and counted. Up to one_task rows are numbered by one window. More are dealt by ranges of the order and numbered
+    within their range; only a count and a sum of each range meet on the driver, at most as many as there are shuffle partitions.
+    Rows that are equal in the order are numbered in any order."""
+    df = stored(df, name)
+    if df.count() <= one_task:
+        w = Window.orderBy(*order)
+        out = df.withColumn("_n", F.row_number().over(w).cast("bigint"))
+        return out.withColumn("_before", F.coalesce(F.sum(value).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) if value else out
+    # stored with their numbers, so that both passes see the same ranges
     rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
     rows = stored(rows, name).withColumn("_part", F.shiftright("_id", 33))
     sums = [F.count("*").alias("n"), (F.sum(value) if value else F.lit(0)).alias("v")]

@@ -225,6 +225,7 @@ def test_numbers_in_order(spark):
     from lumenreel.storage import in_order
 
     df = spark.createDataFrame([(f"p{i:03d}", i) for i in range(200)], "path string, n long").repartition(7)
-    got = in_order(df, ["path"], "n").orderBy("path").collect()
-    assert [(r["_n"], r["_before"]) for r in got] == [(i + 1, i * (i - 1) // 2) for i in range(200)]
-    assert in_order(df.where("false"), ["path"], "n").count() == 0
+    for most in (1 << 16, 0):
+        got = in_order(df, ["path"], "n", one_task=most).orderBy("path").collect()
+        assert [(r["_n"], r["_before"]) for r in got] == [(i + 1, i * (i - 1) // 2) for i in range(200)]
+        assert in_order(df.where("false"), ["path"], "n", one_task=most).count() == 0
