@@ -10,8 +10,12 @@ Tokenisation: the vocabulary of byte_bpe_50k.json is applied from its rank file
 are the same as those of tokenizers' encode_batch(add_special_tokens=False) over that file (tested), at a fifth of the
 time. They are held as little-endian uint32 bytes.
 
-Cases: a null text is empty and packs as its end id 0 alone; empty input gives no rows; repeated rows are packed
-each on its own; extra columns are not read.
+Documents are packed with every token loss-bearing. Conversations give an example an assistant turn, the turn before it as its
+prompt, whose loss-bearing tokens are the reply's, so that tokens, segments and loss bind on their own.
+
+Cases: a null text is empty and packs as its end id 0 alone; empty input gives no rows; repeated rows and rows that share an
+id are packed each on its own; rows without an id are packed with a null doc_id; a text longer than a sequence is cut into
+full sequences and a rest; of examples of one size the first to arrive is placed first; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -72,7 +76,8 @@ def pack(examples: Iterator[tuple[object, int, int]], limits: Limits = Limits(),
 
     Examples with more tokens or loss than a whole sequence allows are cut into full pieces first (with cut=False they
     are an error). At most `waiting` remainders wait at a time, in a size-ordered table, so memory is bounded. The one
-    last sequence of a task is cut to descending powers of two, which need no padding.
+    last sequence of a task is cut to descending powers of two, which need no padding; so are others that have too many segments to be
+    full, where loss can't bind.
     """
     seq = count = order = 0
     none = limits.tokens + limits.loss + 1  # the size of a slot that holds nothing
@@ -150,7 +155,8 @@ def pack(examples: Iterator[tuple[object, int, int]], limits: Limits = Limits(),
     while pool:
         got = one_sequence()
         total = sum(x[2] for x in got)
-        if total == limits.tokens or not cut:
+        # where the loss can't bind, whatever isn't full is cut to powers of two; else only the last sequence
+        if total == limits.tokens or not cut or limits.loss < limits.tokens and pool:
             yield from emit(got, seq)
             seq += 1
             continue
@@ -204,5 +210,46 @@ def pack_documents(docs: DataFrame, limits: Limits = Limits(), path: str | None
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
 
 
+PACKED = "conv_id long, turn long, start long, length long, tokens long, loss long, sequence_id long, offset long"
+
+
+def pack_conversations(turns: DataFrame, limits: Limits = Limits(segments=16, loss=768), path: str | None = None) -> DataFrame:
+    """PACKED: a row a piece of an assistant turn (conv_id, turn), of turns(conv_id, turn, role, text). An example is the text of the turn before, if
+    that is no assistant's, and the reply with its end id; the reply's tokens bear loss. Of several rows for one turn before, the first by text counts.
+    Turns find the one before by an equi-join on (conv_id, turn), so a long conversation isn't gathered in one task. Null texts are
+    empty; rows without a conversation, turn or role are left out."""
+    known = turns.where("conv_id is not null and turn is not null and role is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    before = known.where("role != 'assistant'").groupBy("conv_id", (F.col("turn") + 1).alias("turn")).agg(F.min("text").alias("prompt"))
+    examples = known.where("role = 'assistant'").join(before, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("prompt", F.lit("")).alias("prompt"), F.col("text").alias("reply"))
+    cached: list[ByteBpe] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not cached:
+            cached.append(ByteBpe(path))
+        bpe, base = cached[0], TaskContext.get().partitionId() << 40
+
+        def sizes() -> Iterator[tuple[tuple, int, int]]:
+            for b in batches:
+                for conv, turn, prompt, reply in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                    loss = len(bpe.ids(reply)) // 4 + 1
+                    tokens = len(bpe.ids(prompt)) // 4 + loss
+                    yield (conv, turn, tokens, loss), tokens, loss
+
+        rows: list[tuple] = []
+        for (conv, turn, tokens, loss), start, n, seq, at in pack(sizes(), limits):
+            rows.append((conv, turn, start, n, tokens, loss, base + seq, at))
+            if len(rows) >= 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[c.split()[0] for c in PACKED.split(", ")])
+
+    return examples.mapInArrow(run, PACKED)
+
+
+def packed_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_conversations(read(spark, sf_dir, "conversations"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"))
