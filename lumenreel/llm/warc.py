@@ -10,7 +10,8 @@ tasks that run twice leave nothing. Paths may be on any filesystem that pyarrow
 
 Cases: null payloads are empty; a record without an id or target gets an empty header value, read back as null; empty input gives no files
 and no rows; of equal payloads the record with the largest id is the response (all of them, if that id repeats), records without an
-id revisit it; with no id among them all are responses; extra columns are not read.
+id revisit it; with no id among them all are responses; very long payloads are written whole (a member of 4 GB or more carries no
+size and is inflated to find its end); extra columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage
 
 from .common import cut, read, scratch, small_side
 
@@ -82,6 +83,8 @@ class _Member:
             raise ValueError(f"no gzip member at byte {at}")
         if start[3] & 4:
             end = 12 + struct.unpack("<H", start[10:12])[0]
+            while len(start) < end and (x := f.read(end - len(start))):  # an extra field may be longer than a step
+                start += x
             p = 12
             while p + 4 <= end:
                 n = struct.unpack("<H", start[p + 2 : p + 4])[0]
@@ -232,8 +235,8 @@ class Written(WriterCommitMessage):
         self.temporary, self.final = temporary, final
 
 
-class WarcWriter(DataSourceWriter):
-    """Rows with record_type, record_id, target_uri, refers_to and payload."""
+class WarcWriter(DataSourceArrowWriter):
+    """Rows with record_type, record_id, target_uri, refers_to and payload; they arrive as Arrow batches."""
 
     def __init__(self, options):
         self.uri = options["path"]
@@ -245,10 +248,12 @@ class WarcWriter(DataSourceWriter):
         message = Written(f"{path}/.{uuid.uuid4().hex}.tmp", f"{path}/part-{part:06d}.warc.gz")
         some = False
         with fs.open_output_stream(message.temporary) as f:
-            for r in iterator:
-                payload = r["payload"]
-                f.write(record(r["record_type"], r["record_id"], r["target_uri"], r["refers_to"], payload.encode("utf-8", "surrogatepass") if isinstance(payload, str) else bytes(payload or b"")))
-                some = True
+            for b in iterator:
+                columns = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("record_type", "record_id", "target_uri", "refers_to")]
+                for kind, number, uri, other, payload in zip(*columns, b.column(b.schema.get_field_index("payload")), strict=True):
+                    payload = payload.as_py()
+                    f.write(record(kind, number, uri, other, payload.encode("utf-8", "surrogatepass") if isinstance(payload, str) else payload or b""))
+                    some = True
         if not some:
             fs.delete_file(message.temporary)
         return message if some else Written("", "")
@@ -313,8 +318,10 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     page_records(read(spark, sf_dir, "pages")).write.format("warc").mode("append").save(path)
     page = lambda c: F.regexp_extract(c, r"(-?[0-9]+)$", 1).try_cast("long")
-    found = read_warc(spark, path, "record_id string, record_type string, refers_to string, payload_digest string, payload_length long", verify=True)
-    return found.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+    columns = "record_id string, record_type string, refers_to string, payload_digest string, payload_length long"
+    responses = read_warc(spark, path, columns, verify=True).where("record_type = 'response'")  # payloads inflated and held against their digests
+    revisits = read_warc(spark, path, columns).where("record_type = 'revisit'")  # from headers alone; the type test is in the source in both
+    return responses.unionByName(revisits).select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), "payload_digest", "record_type", page("refers_to").alias("refers_to"))
 
 
 OP8_SQL = """
