@@ -251,14 +251,17 @@ def similar_links(docs: DataFrame, n: int, least: float) -> DataFrame:
 
 
 def _classes(docs: DataFrame, n: int, least: float | None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of every row, and (fp, n_copies, class, component_id): class is a fingerprint of the component."""
+    """(doc_id, fp) of every row, and (fp, n_copies, class, component_id): class is a fingerprint of the component. Both are stored, so that
+    the partition of a fingerprint that very many rows share can be split where they are joined."""
     fps = cut(fingerprints(docs, n), "simhash-fp")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "simhash-reps")
     near = links(reps.select("fp"))
     comp = components(near if least is None else near.union(similar_links(docs, n, least)), "simhash-cc")
-    first = comp.join(reps, comp.node == reps.fp).groupBy("root").agg(F.min("rep").alias("least"))
-    known = comp.join(first, "root").select(F.col("node").alias("fp"), "root", "least")
-    return fps, reps.join(known, "fp", "left").select("fp", "n_copies", F.coalesce("root", "fp").alias("class"), F.coalesce("least", "rep").alias("component_id"))
+    own = cut(reps.join(comp, comp.node == reps.fp, "left").select("fp", "rep", "n_copies", F.coalesce("root", "fp").alias("class")), "simhash-own")
+    first = cut(own.groupBy("class").agg(F.min("rep").alias("component_id")), "simhash-first")
+    classes = cut(own.join(first, "class").select("fp", "n_copies", "class", "component_id"), "simhash-of")
+    forget(comp, own, first, reps)
+    return fps, classes
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
