@@ -37,6 +37,9 @@ def test_components(spark):
         s.join(a, b)
     got = {r["node"]: r["root"] for r in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: s.find(x) for e in edges for x in e if any(y != x for f in edges if x in f for y in f)}
+    path = [(i, i + 1) for i in range(3000)]  # a long path takes many rounds
+    rng.shuffle(path)
+    assert {r["root"] for r in common.components(spark.createDataFrame(path, "a long, b long")).select("root").distinct().collect()} == {0}
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
@@ -127,6 +130,65 @@ def test_pack_documents(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_pack_of_rows_without_or_with_shared_ids(spark):
+    got = Counter()
+    data = [(None, "a b", None, None, 0, 0, 0), (None, None, None, None, 0, 0, 0), (7, "x", None, None, 0, 0, 0), (7, "x", None, None, 0, 0, 0), (7, "y z", None, None, 0, 0, 0), (8, "word " * 9000, None, None, 0, 0, 0)]
+    for r in packing.pack_documents(docs(spark, data)).collect():
+        got[r["doc_id"]] += r["length"]
+    bpe = packing.ByteBpe()
+    want = Counter()
+    for d, t, *_ in data:
+        want[d] += len(bpe.ids(t or "")) // 4 + 1
+    assert got == want
+
+
+def test_tokens_of_random_strings():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(9)
+    t, bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.ByteBpe()
+    t.encode_special_tokens = True
+    alphabet = "ab zé日ß½²①\t\n\r '.-_<|>0١\u0301\u200d😀\u00a0"
+    for _ in range(3000):
+        x = "".join(rng.choice(alphabet) if rng.random() < 0.8 else chr(rng.choice([rng.randrange(32, 0xD800), rng.randrange(0xE000, 0x11000)])) for _ in range(rng.randrange(30)))
+        assert np.frombuffer(bpe.ids(x), "<u4").tolist() == t.encode(x, add_special_tokens=False).ids, ascii(x)
+
+
+def test_packed_conversations(spark):
+    rng = random.Random(6)
+    words = lambda n: " ".join(rng.choice(["one", "two", "three", "Étion"]) for _ in range(n))
+    data = [(c, t, "assistant" if t % 2 else "user", words(rng.choice([1, 30, 200, 900]))) for c in range(40) for t in range(6)]
+    data += [(90, 0, "assistant", "alone"), (91, 0, "user", None), (91, 1, "assistant", None), (92, 1, "assistant", "x"), (92, 0, "user", "b"), (92, 0, "user", "a"), (None, 1, "assistant", "x"), (93, None, "assistant", "x"), (93, 1, None, "x")]
+    turns = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("prompt", F.lit("clash")).withColumn("tokens", F.lit(5)).repartition(3)
+    limits = packing.Limits(256, 5, 100)
+    bpe = packing.ByteBpe()
+    n = lambda x: len(bpe.ids(x or "")) // 4
+    said = {}
+    for c, t, r, x in data:
+        if c is not None and t is not None and r == "user":
+            said[c, t] = min(x or "", said.get((c, t), x or ""))
+    want = {(c, t): (n(said.get((c, t - 1), "")) + n(x) + 1, n(x) + 1) for c, t, r, x in data if r == "assistant" and c is not None and t is not None}
+    seqs, done = defaultdict(list), Counter()
+    for r in packing.pack_conversations(turns, limits).collect():
+        key = r["conv_id"], r["turn"]
+        assert (r["tokens"], r["loss"]) == want[key]
+        done[key] += r["length"]
+        seqs[r["sequence_id"]].append((r["offset"], r["length"], max(0, r["start"] + r["length"] - max(r["start"], r["tokens"] - r["loss"]))))
+    assert done == Counter({k: t for k, (t, _) in want.items()})
+    for p in seqs.values():
+        assert [o for o, _, _ in sorted(p)] == [sum(x[1] for x in sorted(p)[:i]) for i in range(len(p))]
+        assert sum(x[1] for x in p) <= 256 and len(p) <= 5 and sum(x[2] for x in p) <= 100
+    assert any(sum(x[2] for x in p) == 100 and sum(x[1] for x in p) < 256 for p in seqs.values())  # the loss limit binds alone
+    real = packing.packed_conversations(spark, "/root/testdata/sf0.01").collect()
+    tasks, used = {r["sequence_id"] >> 40 for r in real}, len({r["sequence_id"] for r in real})
+    pieces = {(r["conv_id"], r["turn"]): (r["tokens"], r["loss"]) for r in real}
+    least = max(sum(t for t, _ in pieces.values()) / 1024, sum(b for _, b in pieces.values()) / 768)
+    print(used, least, len(tasks))
+    assert used <= 1.1 * least + 10 * len(tasks)  # a task's last sequence is cut to powers of two
+    assert packing.pack_conversations(turns.where("false")).count() == 0
+
+
 @pytest.mark.parametrize("cut", [True, False])
 def test_pack_keeps_limits(cut):
     rng = random.Random(5)
@@ -261,6 +323,51 @@ def test_line_dedup(spark, monkeypatch, chunk):
     assert linededup.dedup(empty(spark)).count() == 0
 
 
+def test_line_query_against_a_plain_version(spark, tmp_path):
+    data = rows(3)
+    docs(spark, data).drop("key", "node").write.parquet(f"{tmp_path}/documents.parquet")
+    gone = plain_lines(data)
+    first = {}  # of each class, over all lines in order
+    s, names = Sets(), {}
+    for d, t, *_ in sorted((r for r in data if r[0] is not None), key=lambda r: r[0]):
+        for i, n in linededup.lines_of(t):
+            names[d, i] = n
+    texts = sorted(set(names.values()))
+    sets = {n: frozenset(n[j : j + linededup.SHINGLE] for j in range(max(1, len(n) - linededup.SHINGLE + 1))) for n in texts}
+    for i, a in enumerate(texts):
+        for b in texts[:i]:
+            both = len(sets[a] & sets[b])
+            if both >= 0.8 * (len(sets[a]) + len(sets[b]) - both) - 1e-9:
+                s.join(a, b)
+    for k in sorted(names):
+        first.setdefault(s.find(names[k]), k)
+    want = []
+    for d, t, *_ in data:
+        lost = sorted(gone[d]) if d is not None else []
+        text = t if d is None or t is None else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in lost)
+        want.append((d, len(t.split("\n")) if t else 0, len(lost), [(i, *first[s.find(names[d, i])]) for i in lost], hashlib.sha256((text or "").encode()).hexdigest()))
+    got = [(r["doc_id"], r["n_lines"], r["n_removed"], [tuple(x) for x in r["duplicates"]], r["kept_sha256"]) for r in linededup.op4_line_dedup(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    text = "a line that is long enough to be alike\nanother line\n\na third line here"
+    data = [(1, text, None, None, 0, 0, 0), (2, text, None, None, 0, 0, 0), (2, text, None, None, 0, 0, 0), (None, text, None, None, 0, 0, 0), (3, "\n".join(["same line again and again"] * 20_000), None, None, 0, 0, 0)]
+    got = sorted(((r["doc_id"], r["text"]) for r in linededup.dedup(docs(spark, data)).collect()), key=str)
+    assert got == sorted([(1, text), (2, ""), (2, ""), (3, "same line again and again"), (None, text)], key=str)
+
+
+def test_a_hot_line_is_a_row_a_chunk(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(linededup, "HELD", 100)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array([f"the line in every document\nown line {i} of it" for i in range(1000)])], names=["doc_id", "text"])
+    out = pa.Table.from_batches(linededup._lines(iter([batch])))
+    hot = linededup.node("the line in every document")
+    assert out.num_rows == 1000 + 20 and sum(r == hot for r in out["node"].to_pylist()) == 20
+    assert sum(len(x) for x in out["of"].to_pylist()) == 2000 and sum(x is not None for x in out["norm"].to_pylist()) == 1001
+
+
 def test_line_query(spark):
     r = linededup.op4_line_dedup(spark, D)
     assert r.count() == spark.read.parquet(f"{D}/documents.parquet").count()
@@ -293,6 +400,19 @@ def plain_substring(data):
     return sorted(out, key=str)
 
 
+def test_substring_of_shared_ids_and_hot_windows(spark, monkeypatch):
+    rng = random.Random(2)
+    hot = " ".join(f"h{i}" for i in range(25))
+    data = [(i, f"{hot} " + " ".join(f"w{rng.randrange(30)}" for _ in range(40)), None, None, 0, 0, 0) for i in range(60)]
+    want = plain_substring(data)
+    for held in (substring.HELD_BYTES, 400):
+        monkeypatch.setattr(substring, "HELD_BYTES", held)
+        monkeypatch.setattr(substring, "GROUP", 8)
+        assert sorted((tuple(r)[:4] for r in substring.remove_repeats(docs(spark, data)).collect()), key=str) == want
+    twice = [(5, hot, None, None, 0, 0, 0), (5, hot, None, None, 0, 0, 0), (6, hot, None, None, 0, 0, 0), (None, hot, None, None, 0, 0, 0)]
+    assert sorted(((r["doc_id"], r["n_removed"]) for r in substring.remove_repeats(docs(spark, twice)).collect()), key=str) == [(5, 0), (5, 0), (6, 25), (None, 0)]
+
+
 @pytest.mark.parametrize("group", [4096, 2])
 def test_substring(spark, monkeypatch, group):
     monkeypatch.setattr(substring, "GROUP", group)

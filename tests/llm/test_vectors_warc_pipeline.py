@@ -44,6 +44,15 @@ def test_topk(spark, monkeypatch, scale):
     assert topk.top_k(emb.where("vec_id >= 900"), F.lit(True)).count() == 0
 
 
+def test_topk_of_shared_ids_and_clashing_columns(spark):
+    data = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 1.0]), (1, [1.0, 1.0]), (3, [2.0, 0.5])]
+    emb = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for c in ("dim", "v", "block", "ids", "mat", "n", "top", "slot", "state", "row", "score", "rank"):
+        emb = emb.withColumn(c, F.lit("clash"))
+    got = topk.top_k(emb, F.col("vec_id") == 0, 10).collect()
+    assert sorted(tuple(r) for r in got) == sorted([(0, 1, 3, 128 * 64), (0, 2, 1, 4096), (0, 3, 1, 4096), (0, 1, 1, 4096), (0, 2, 1, 4096), (0, 3, 3, 32 * 64)])
+
+
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://d", ""), (5, "http://e\r\nx", "é" * 5000), (6, "u", "x" * 300_000), (None, "n", "<p>same</p>"), (None, "m", "only"), (2, "http://b", "<p>same</p>")]
 
 
@@ -125,6 +134,31 @@ def test_pipeline_stages(spark):
     assert sorted(map(tuple, run.select("doc_id", "start", "length", "ids_crc32").collect())) == sorted(map(tuple, packed.select("doc_id", "start", "length", "ids_crc32").collect()))
 
 
+def test_pipeline_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, shared ids and clashing names."""
+    clash = ["key", "node", "fp", "cell", "root", "class", "component_id", "gone", "of", "_id", "marks", "n", "held_out", "score", "first", "lo", "norm"]
+    base = spark.read.parquet(f"{D}/documents.parquet")
+    bench = spark.read.parquet(f"{D}/benchmark.parquet").first()["text"]
+    some = base.limit(20).collect()
+    line = "a very ordinary sentence that stands here once more "
+    odd = [(None, line * 5, None, None, None), (None, None, None, None, None), (9001, None, "en", "s", 0), (9002, "", None, "s", None), (9003, " \n\t\n", None, None, 3), (9004, "x", None, None, 1), (9005, f"before {bench} after", "en", "s", 0), (9006, " ".join(f"w{i % 977}" for i in range(150_000)), "en", "s", 0)]
+    odd += [(9007, line * 3, "en", "s", 0)] * 3 + [(9007, "another text under the same id, with words of its own", "en", "s", 0)]
+    docs = spark.createDataFrame([tuple(r) for r in some] + odd, base.schema).repartition(3)
+    for c in clash:
+        docs = docs.withColumn(c, F.lit(1))
+    columns, n = docs.columns, docs.count()
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = cut(stage(spark, docs, D), "test-odd")
+        assert docs.columns == columns and docs.count() <= n, name
+        n = docs.count()
+        seen[name] = {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert {9001, 9002, 9004, 9005, 9006, 9007, None} <= seen["line dedup"] and 9005 not in seen["benchmark decontamination"]
+    assert docs.where("doc_id = 9007").count() == 2  # three equal rows are one, and the text of its own stays
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, D)
+    assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     docs = spark.read.parquet(f"{D}/documents.parquet").where("false")
     for _, stage in corpus_pipeline.STAGES:
