@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
@@ -93,6 +94,34 @@ def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least reachable index of each of n nodes under links a-b."""
+    label = np.arange(n)
+    while True:
+        lo = np.minimum(label[a], label[b])
+        new = label.copy()
+        for x in (a, b, label[a], label[b]):
+            np.minimum.at(new, x, lo)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def spanning(n: int, a: np.ndarray, b: np.ndarray, chunk: np.ndarray, cross: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what a-b connect among the n nodes of a cell. A cross cell holds two chunks of a group, each of which has a cell of its
+    own: there only what joins components of the two comes out, so that a large group's cells don't all return what one has told."""
+    if not cross:
+        root = forest(n, a, b)
+        i = np.flatnonzero(root != np.arange(n))
+        return i, root[i]
+    own = chunk[a] == chunk[b]
+    label = forest(n, a[own], b[own])
+    root = forest(n, label[a[~own]], label[b[~own]])
+    i = np.flatnonzero((root != np.arange(n)) & (label == np.arange(n)))
+    return i, root[i]
+
+
 def components(edges: DataFrame, name: str = "cc", a: str = "a", b: str = "b") -> DataFrame:
     """Distributed union-find: (node long, root long) for every node of edges(a long, b long); root is the least node
     of the component.

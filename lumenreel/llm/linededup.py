@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, forget, read, small_side
+from .common import components, cut, forget, read, small_side, spanning
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 14, 4
@@ -253,41 +253,29 @@ def similar_pairs(sets: list[np.ndarray], least: float = SIMILARITY, columns: in
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cell, node, norm) sorted by cell -> links (a, b) that span what is similar in each cell."""
+    """Rows (cell, node, norm, chunk, cross) sorted by cell and node -> links (a, b) that span what is similar in each cell."""
+    links: list[tuple[int, int]] = []
+    cell, ids, sets, chunks, across = None, [], [], [], False
 
-    def forest(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        if len(ids) < 2:
-            return
-        if len(ids) == 2:
-            if similar(*sets):
-                yield ids[0], ids[1]
+    def close() -> None:
+        if len(ids) < 2 or len(ids) == 2 and not similar(*sets):
             return
-        root = list(range(len(ids)))
-
-        def top(i: int) -> int:
-            while root[i] != i:
-                root[i] = i = root[root[i]]
-            return i
+        i, j = similar_pairs(sets) if len(ids) > 2 else (np.array([0]), np.array([1]))
+        links.extend((ids[x], ids[y]) for x, y in zip(*(x.tolist() for x in spanning(len(ids), i, j, np.array(chunks), across)), strict=True))
 
-        for i, j in zip(*(x.tolist() for x in similar_pairs(sets)), strict=True):
-            if (x := top(i)) != (y := top(j)):
-                root[max(x, y)] = min(x, y)
-                yield ids[i], ids[j]
-
-    cell, ids, sets = None, [], []
-    links: list[tuple[int, int]] = []
     for b in batches:
-        for c, i, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist()), strict=True):
+        for c, i, n, chunk, cross in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2).to_pylist()), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
             if c != cell:
-                links += forest(ids, sets)
-                cell, ids, sets = c, [], []
+                close()
+                cell, ids, sets, chunks, across = c, [], [], [], cross
             if not ids or ids[-1] != i:
                 ids.append(i)
                 sets.append(n)
+                chunks.append(chunk)
         if links:
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
-            links = []
-    links += forest(ids, sets)
+            links.clear()
+    close()
     if links:
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*links, strict=True)], names=["a", "b"])
 
@@ -304,7 +292,7 @@ def similar_links(norms: DataFrame) -> DataFrame:
         cut(cand.join(groups, "key"), "line-members").join(texts, "node")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", "norm")
+        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "node", "norm", F.col("c").alias("chunk"), (F.col("c") != F.col("o")).alias("cross"))
     )
     links = cut(cells.repartition("cell").sortWithinPartitions("cell", "node").mapInArrow(_verified, "a long, b long"), "line-links")
     forget(cand, groups, need, texts)

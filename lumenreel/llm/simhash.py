@@ -19,7 +19,7 @@ give no rows; extra columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import linededup
-from .common import components, cut, forget, read, small_side
+from .common import components, cut, forest, forget, read, small_side, spanning
 
 WORDS, SEED, BITS = 3, 42, 3
 LEAF, CHUNK = 16, 2048
@@ -45,21 +45,34 @@ def _signed(x: int) -> int:
 MASKS = [_signed(sum(((1 << n) - 1) << at for at, n in (a, b))) for i, a in enumerate(_BLOCKS) for b in _BLOCKS[i + 1 :]]
 
 
-def fingerprint(text: str | None, n: int = WORDS) -> int:
-    """Unsigned 64-bit SimHash; words are runs without ASCII white space, shingles count as often as they occur."""
-    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
-    if not words:
-        return 0
+def _words(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []
+
+
+def _shingles(words: list[bytes], n: int) -> Iterator[np.ndarray]:
+    """64-bit hashes of a text's shingles in order, in blocks; the text has words."""
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     k = min(n, len(words))
     stop = ends[k - 1 :].tolist()
     start = [0, *(ends[: len(words) - k] + 1).tolist()]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for at in range(0, len(start), 65_536):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : at + 65_536], stop[at : at + 65_536], strict=True)], "<u8")
+        yield np.array([digest(joined[a:b], SEED) for a, b in zip(start[at : at + 65_536], stop[at : at + 65_536], strict=True)], "<u8")
+
+
+def _majority(blocks: Iterable[np.ndarray]) -> int:
+    ones, count = np.zeros(64, np.int64), 0
+    for h in blocks:
         ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(start), bitorder="little").view("<u8")[0])
+        count += len(h)
+    return int(np.packbits(2 * ones > count, bitorder="little").view("<u8")[0])
+
+
+def fingerprint(text: str | None, n: int = WORDS) -> int:
+    """Unsigned 64-bit SimHash; words are runs without ASCII white space, shingles count as often as they occur."""
+    words = _words(text)
+    return _majority(_shingles(words, n)) if words else 0
 
 
 def fingerprints(docs: DataFrame, n: int = WORDS) -> DataFrame:
@@ -78,20 +91,6 @@ def gray_rank(c: Column) -> Column:
     return reduce(lambda x, k: x.bitwiseXOR(F.shiftrightunsigned(x, k)), (1, 2, 4, 8, 16, 32), c)
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least reachable index of each of n nodes under links a-b."""
-    label = np.arange(n)
-    while True:
-        lo = np.minimum(label[a], label[b])
-        new = label.copy()
-        for x in (a, b, label[a], label[b]):
-            np.minimum.at(new, x, lo)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def group_links(fp: np.ndarray, limit: int = BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
     """Links (i, j) within one group of Gray-ordered fingerprints (uint64), by search of a hierarchical index."""
     n = len(fp)
@@ -175,11 +174,6 @@ def links(distinct: DataFrame, chunk: int = CHUNK) -> DataFrame:
     return cells.repartition("cell").sortWithinPartitions("cell", gray_rank(F.col("fp")), "fp").mapInArrow(_tree_links, "a long, b long")
 
 
-def shingle_set(words: list[bytes], n: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles; the text has words."""
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(words[i : i + n]), SEED) for i in range(max(1, len(words) - n + 1))], np.uint64))
-
-
 def band_keys(shingles: np.ndarray) -> np.ndarray:
     """int64[band] of one set."""
     v = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -190,78 +184,99 @@ def band_keys(shingles: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
-def _sets(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, str, np.ndarray]]:
-    """(hash of the words, text, shingles) of texts with words."""
-    for t in batch.column(0):
-        text = t.as_py()
-        if words := text.encode("utf-8", "surrogatepass").translate(_LOWER).split() if text else []:
-            yield _signed(xxhash.xxh64_intdigest(b" ".join(words))), text, shingle_set(words, n)
+HASHED = "doc_id long, fp long, node long, text_hash long, keys array<long>"
 
 
-def similar_links(docs: DataFrame, n: int, least: float) -> DataFrame:
-    """(a long, b long): links between the fingerprints of texts whose shingle sets have a Jaccard similarity of least or more."""
+def hashed(docs: DataFrame, n: int) -> DataFrame:
+    """HASHED for every row: the fingerprint, a hash of the words and one of the text, and the MinHash band keys of the shingles, from one
+    computation of their hashes; node is null and keys are empty without words."""
 
-    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, band_keys(x)) for i, _, x in _sets(b, n)]
-            keys = np.concatenate([np.zeros(0, np.int64), *[k for _, k in got]])
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(np.array([i for i, _ in got], np.int64), linededup.BANDS))], names=["key", "node"])
+            fps, nodes, keys = [], [], []
+            for t in b.column(1):
+                if words := _words(t.as_py()):
+                    h = list(_shingles(words, n))
+                    fps.append(_signed(_majority(h)))
+                    nodes.append(_signed(xxhash.xxh64_intdigest(b" ".join(words))))
+                    keys.append(band_keys(np.unique(np.concatenate(h))))
+                else:
+                    fps.append(0)
+                    nodes.append(None)
+                    keys.append(np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64()), pa.array(nodes, pa.int64()), b.column(2), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "node", "text_hash", "keys"])
+
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash")).mapInArrow(run, HASHED)
+
+
+def similar_links(docs: DataFrame, table: DataFrame, n: int, least: float) -> DataFrame:
+    """(a long, b long): links between the fingerprints of texts whose shingle sets have a Jaccard similarity of least or more; table is hashed(docs),
+    stored. Only texts that share a band with another are read again; stored."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [(i, _signed(fingerprint(t, n)), x.tobytes()) for i, t, x in _sets(b, n)]
+            got = []
+            for t in b.column(0):
+                if not (words := _words(t.as_py())):
+                    continue
+                h = list(_shingles(words, n))
+                got.append((_signed(xxhash.xxh64_intdigest(b" ".join(words))), _signed(_majority(h)), np.unique(np.concatenate(h)).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array([g[j] for g in got], k) for j, k in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["node", "fp", "shingles"])
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def of(fps: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
-            i, j = linededup.similar_pairs(found, least)
+        cell, fps, found, chunks, across = None, [], [], [], False
+
+        def of() -> pa.RecordBatch:
             fp = np.array(fps, np.int64)
-            root = forest(len(fp), i, j)
-            i = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[root[i]])], names=["a", "b"])
+            i, j = spanning(len(fp), *linededup.similar_pairs(found, least), np.array(chunks), across)
+            return pa.RecordBatch.from_arrays([pa.array(fp[i]), pa.array(fp[j])], names=["a", "b"])
 
-        cell, fps, found = None, [], []
         for b in batches:
-            for c, f, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            for c, f, x, chunk, cross in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
                 if c != cell:
                     if len(fps) > 1:
-                        yield of(fps, found)
-                    cell, fps, found = c, [], []
+                        yield of()
+                    cell, fps, found, chunks, across = c, [], [], [], cross
                 fps.append(f)
                 found.append(np.frombuffer(x.as_py(), np.uint64))
+                chunks.append(chunk)
         if len(fps) > 1:
-            yield of(fps, found)
+            yield of()
 
-    text = docs.select(F.col("text").cast("string").alias("text"))
-    keys = text.mapInArrow(bands, "key long, node long").repartition("key").sortWithinPartitions("key")
+    keys = table.select(F.explode("keys").alias("key"), "node").repartition("key").sortWithinPartitions("key")
     cand = cut(keys.mapInArrow(linededup._shared, "key long, node long"), "simhash-candidates")
     groups = cand.groupBy("key").agg(*linededup.group_sums())
     groups = cut(groups.groupBy("n", "x0", "x1", "x2", "x3").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / linededup.CHUNK).cast("int").alias("n")), "simhash-groups")
     need = cut(cand.select("node").distinct(), "simhash-need")
-    known = cut(text.mapInArrow(sets, "node long, fp long, shingles binary").join(small_side(need), "node", "left_semi").groupBy("node").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), "simhash-sets")
+    wanted = cut(table.select("node", "text_hash").join(small_side(need), "node", "left_semi").select("text_hash").distinct(), "simhash-wanted")
+    text = docs.select(F.col("text").cast("string").alias("text")).where("text is not null").withColumn("text_hash", F.xxhash64("text"))
+    again = text.join(small_side(wanted), "text_hash", "left_semi").select("text")
+    known = cut(again.mapInArrow(sets, "node long, fp long, shingles binary").groupBy("node").agg(F.min("fp").alias("fp"), F.min("shingles").alias("shingles")), "simhash-sets")
     cells = (  # a node meets its set once a key, before it is dealt to the cells of its group
         cut(cand.join(groups, "key"), "simhash-members").join(known, "node")
         .withColumn("c", F.pmod(F.xxhash64("node"), F.col("n")).cast("int"))
         .withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "shingles")
+        .select(F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")).alias("cell"), "fp", "shingles", F.col("c").alias("chunk"), (F.col("c") != F.col("o")).alias("cross"))
     )
+    # links of texts: at most a spanning forest of each cell
     links = cut(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(verified, "a long, b long"), "simhash-links")
-    forget(cand, groups, need, known)
+    forget(cand, groups, need, wanted, known)
     return links
 
 
 def _classes(docs: DataFrame, n: int, least: float | None) -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp) of every row, and (fp, n_copies, class, component_id): class is a fingerprint of the component. Both are stored, so that
     the partition of a fingerprint that very many rows share can be split where they are joined."""
-    fps = cut(fingerprints(docs, n), "simhash-fp")
+    fps = cut(fingerprints(docs, n) if least is None else hashed(docs, n), "simhash-fp")
     reps = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies")), "simhash-reps")
     near = links(reps.select("fp"))
-    comp = components(near if least is None else near.union(similar_links(docs, n, least)), "simhash-cc")
+    comp = components(near if least is None else near.union(similar_links(docs, fps, n, least)), "simhash-cc")
     own = cut(reps.join(comp, comp.node == reps.fp, "left").select("fp", "rep", "n_copies", F.coalesce("root", "fp").alias("class")), "simhash-own")
     first = cut(own.groupBy("class").agg(F.min("rep").alias("component_id")), "simhash-first")
     classes = cut(own.join(first, "class").select("fp", "n_copies", "class", "component_id"), "simhash-of")
     forget(comp, own, first, reps)
-    return fps, classes
+    return fps.select("doc_id", "fp"), classes
 
 
 def near_duplicates(docs: DataFrame, n: int = WORDS, least: float | None = None) -> DataFrame:
