@@ -2,9 +2,11 @@
 
 Training takes a bounded sample of labelled rows (SAMPLE) and works on the driver. Tokens of toxic documents are
 labelled toxic if the token or one of its prefixes is tied to toxic documents by a likelihood-ratio test that
-allows for the number of features tried; near-copies in the sample count once there. The CRF has two states, weights
+allows for the number of features tried; where a feature also turns up by chance in clean documents, its least number of
+times in a document that ties it is taken (TIMES). Near-copies in the sample count once there. The CRF has two states, weights
 for a token's word, prefixes and suffix, and transition weights; it is trained on windows of tokens by the exact gradient
-(forward-backward). A document's score is a logistic function, fitted on the sample, of the expected number of toxic tokens.
+(forward-backward). A document's score is a logistic function, fitted on the sample, of the expected number of toxic tokens and the
+number of all tokens, both as logarithms, so that a chance token in a long text doesn't count like two in a short one.
 
 Scoring is a narrow scan of whole texts; the chain runs over a text from its first token to its last. The ratio of the two
 states' forward values obeys a one-line recursion whose step is a Moebius map, so the steps of a run of SPAN tokens are one 2 x 2
@@ -41,6 +43,8 @@ SPAN, PART = 64, 400_000
 REJECT = 0.3
 #: Share of toxic documents among those with a feature, from which the feature can mark a token for training.
 PURE = 0.9
+#: Times up to which a feature's number in a document is told apart when it is tied to toxic ones.
+TIMES = 4
 #: Marginals below it don't count in a document's score.
 LEAST = 0.1
 #: Token types a worker remembers the weight of.
@@ -61,7 +65,7 @@ class Model:
     weights: dict[str, float]  # by feature: toxic over clean
     bias: float
     chain: np.ndarray  # 2 x 2 weights of a step from state to state
-    scale: tuple[float, float]  # slope and intercept of the score
+    scale: tuple[float, float, float]  # of the score: slopes of the columns of _inputs()
     constant: float | None = None  # the score where nothing could be learned
 
     def emission(self, word: str) -> float:
@@ -194,36 +198,56 @@ def _one_of_each(docs: list[list[str]]) -> list[int]:
     return kept
 
 
-def associated(docs: list[list[str]], toxic: list[int]) -> set[str]:
-    """Features tied to toxic documents beyond what chance gives among so many features."""
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for w, y in zip(docs, toxic, strict=True):
-        counts[y].update({f for x in set(w) for f in features(x)})
+def associated(docs: list[list[str]], toxic: list[int]) -> dict[str, int]:
+    """Features tied to toxic documents beyond what chance gives among so many, each with the least times (1 to TIMES) that
+    a document must hold it."""
     n1 = sum(toxic)
     n0 = len(toxic) - n1
     if not n1 or not n0:
-        return set()
-    need = np.log(len(counts[0].keys() | counts[1].keys()) + 1) + 2
-    found = set()
-    for f, a in counts[1].items():
-        b = counts[0][f]
-        p, base = a / (a + b), n1 / (n0 + n1)
+        return {}
+    base = n1 / (n0 + n1)
+    held = Counter(x for w, y in zip(docs, toxic, strict=True) if y for x in _pairs(w, features))
+    tried = {f for x in {x for w in docs for x in w} for f in features(x)}
+    need = np.log(len(tried) + sum(k > 1 for _, k in held) + 1) + 2
+    held = {x: a for x, a in held.items() if a * np.log(1 / base) >= need}  # others fail even if no clean document holds them
+    names = {f for f, _ in held}
+    of = _Known(lambda word: [f for f in features(word) if f in names], KNOWN)
+    clean = Counter(x for w, y in zip(docs, toxic, strict=True) if not y for x in _pairs(w, of.__getitem__) if x in held)
+    found: dict[str, int] = {}
+    for (f, k), a in held.items():
+        b = clean[f, k]
+        p = a / (a + b)
         if p >= max(PURE, base) and a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0) >= need:
-            found.add(f)
+            found[f] = min(k, found.get(f, k))
     return found
 
 
+def _times(words: list[str], of) -> Counter:
+    """How often each feature occurs; of: the features of a word."""
+    out: Counter = Counter()
+    for x, n in Counter(words).items():
+        for f in of(x):
+            out[f] += n
+    return out
+
+
+def _pairs(words: list[str], of) -> Iterator[tuple[str, int]]:
+    """(feature, k) for each k up to TIMES such that the feature occurs k times or more."""
+    return ((f, k) for f, n in _times(words, of).items() for k in range(1, min(n, TIMES) + 1))
+
+
 def train(texts: list[str], toxic: list[int], rounds: int = 40, seed: int = 7) -> Model:
     zero = np.zeros((2, 2))
     if len(set(toxic)) < 2:
-        return Model({}, 0.0, zero, (0.0, 0.0), float(np.mean(toxic)) if toxic else 0.0)
+        return Model({}, 0.0, zero, (0.0, 0.0, 0.0), float(np.mean(toxic)) if toxic else 0.0)
     docs = [tokens_of(t) for t in texts]
     some = _one_of_each(docs)
     ties = associated([docs[i] for i in some], [toxic[i] for i in some])
     rng = np.random.default_rng(seed)
     seqs: list[tuple[list[str], np.ndarray]] = []
     for i in some:
-        y = np.array([toxic[i] and any(f in ties for f in features(w)) for w in docs[i]], np.int8)
+        marks = {f for f, n in _times(docs[i], features).items() if n >= ties.get(f, n + 1)} if toxic[i] else set()
+        y = np.array([any(f in marks for f in features(w)) for w in docs[i]], np.int8)
         seqs += [(docs[i][k : k + TRAIN_WINDOW], y[k : k + TRAIN_WINDOW]) for k in range(0, len(y), TRAIN_WINDOW)]
     hit = [k for k, (_, y) in enumerate(seqs) if y.any()]
     rest = [k for k, (_, y) in enumerate(seqs) if not y.any()]
@@ -262,29 +286,33 @@ def train(texts: list[str], toxic: list[int], rounds: int = 40, seed: int = 7) -
         gc, gb = seen - joint - 0.5 * chain, miss.sum() - 0.5 * bias
         ada_w, ada_c, ada_b = ada_w + g**2, ada_c + gc**2, ada_b + gb**2
         weight, chain, bias = weight + 0.5 * g / np.sqrt(ada_w), chain + 0.2 * gc / np.sqrt(ada_c), bias + 0.2 * gb / np.sqrt(ada_b)
-    model = Model({f: float(weight[k]) for f, k in names.items() if abs(weight[k]) > 1e-4}, float(bias), chain, (1.0, 0.0))
-    x, y = expected(model, docs), np.array(toxic, float)
-    slope, cut = 1.0, 0.0
-    for _ in range(30):  # Newton's steps for the logistic fit, with a weak pull to (1, 0)
-        q = 1 / (1 + np.exp(-np.clip(slope * x + cut, -30, 30)))
-        v = q * (1 - q)
-        h = np.array([[(v * x * x).sum() + 1, (v * x).sum()], [(v * x).sum(), v.sum() + 1]])
-        step = np.linalg.solve(h, np.array([((y - q) * x).sum() - (slope - 1), (y - q).sum() - cut]))
-        slope, cut = slope + step[0], cut + step[1]
-    model.scale = (float(slope), float(cut))
+    model = Model({f: float(weight[k]) for f, k in names.items() if abs(weight[k]) > 1e-4}, float(bias), chain, (1.0, 0.0, 0.0))
+    x, y = _inputs(expected(model, docs), docs), np.array(toxic, float)
+    rest = np.array(model.scale)
+    scale = rest.copy()
+    for _ in range(30):  # Newton's steps for the logistic fit, with a weak pull to rest
+        q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
+        h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(3)
+        scale = scale + np.linalg.solve(h, x.T @ (y - q) - (scale - rest))
+    model.scale = tuple(float(k) for k in scale)
     return model
 
 
+def _inputs(x: np.ndarray, docs: list[list[str]]) -> np.ndarray:
+    """What a score is a logistic function of, a row a document; the length counts as far as there are toxic tokens."""
+    return np.stack([np.log1p(x), np.log1p([len(w) for w in docs]) * x / (1 + x), np.ones(len(docs))], 1)
+
+
 def expected(model: Model, docs: list[list[str]], known: dict[str, float] | None = None, tokens: bool = False):
-    """log of (expected number of toxic tokens + 0.001) of each document, over tokens of LEAST at least, so that length
-    alone adds nothing; with tokens, also each document's marginals."""
+    """Expected number of toxic tokens of each document, over tokens of LEAST at least, so that length alone adds nothing; with
+    tokens, also each document's marginals."""
     known = _Known(model.emission, KNOWN) if known is None else known
     n = np.array([len(w) for w in docs], np.int64)
     e = np.fromiter((x for w in docs for x in map(known.__getitem__, w)), float, int(n.sum()))
     p = marginals(e, n, model.chain)
     ends = np.cumsum(n)
     total = np.concatenate([[0.0], np.cumsum(np.where(p >= LEAST, p, 0.0))])
-    x = np.log(np.maximum(total[ends] - total[ends - n], 0) + 1e-3)
+    x = np.maximum(total[ends] - total[ends - n], 0)
     return (x, np.split(p, ends[:-1])) if tokens else x
 
 
@@ -319,7 +347,7 @@ class Scorer:
 
         def send() -> None:
             x, p = expected(m, docs, self.known, True)
-            scores[part] = 1 / (1 + np.exp(-np.clip(m.scale[0] * x + m.scale[1], -30, 30)))
+            scores[part] = 1 / (1 + np.exp(-np.clip(_inputs(x, docs) @ np.array(m.scale), -30, 30)))
             if want_spans:
                 for i, q in zip(part, p, strict=True):
                     spans[i] = self.spans(texts[i], q)

@@ -75,7 +75,7 @@ def test_the_chain_runs_over_whole_texts():
 
 
 def test_scores_do_not_depend_on_how_texts_are_grouped():
-    model = toxicity.Model({"vile": 6.0, "vil*": 1.0}, -4.0, np.array([[0.5, -0.5], [-0.5, 0.5]]), (1.0, 0.0))
+    model = toxicity.Model({"vile": 6.0, "vil*": 1.0}, -4.0, np.array([[0.5, -0.5], [-0.5, 0.5]]), (1.0, 0.0, 0.0))
     texts = ["word " * 3000 + "Vile", None, "", "vile vile", "x"] * 3
     want, spans = toxicity.Scorer(model)(texts, True)
     for part in (1, 100, 5000):
@@ -92,7 +92,7 @@ def test_long_texts_are_scored_in_bounded_memory():
 import resource, sys
 import numpy as np
 from lumenreel.llm import toxicity
-m = toxicity.Scorer(toxicity.Model({"vile": 6.0}, -4.0, np.zeros((2, 2)), (1.0, 0.0)))
+m = toxicity.Scorer(toxicity.Model({"vile": 6.0}, -4.0, np.zeros((2, 2)), (1.0, 0.0, 0.0)))
 before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
 m(["some word or other " * 5000] * 512, True)
 print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
@@ -154,6 +154,25 @@ def test_toxicity(spark):
     assert {r["score"] for r in toxicity.score(docs(spark), none).collect()} == {0.0} and toxicity.score(empty(spark), none).count() == 0
 
 
+def test_features_that_clean_documents_hold_by_chance():
+    rng = random.Random(5)
+    vocab = [f"w{i}" for i in range(300)]
+
+    def text(n, bad):
+        w = [rng.choice(vocab) for _ in range(n)]
+        for _ in range(bad):
+            w.insert(rng.randrange(len(w) + 1), "grim" + "".join(rng.choice("abcdefghij") for _ in range(3)))
+        return " ".join(w)
+
+    toxic = [int(i % 8 == 0) for i in range(800)]
+    texts = [text(rng.randint(20, 200), 3 if y else int(i % 8 == 1)) for i, y in enumerate(toxic)]
+    ties = toxicity.associated([toxicity.tokens_of(t) for t in texts], toxic)
+    assert ties["grim*"] > 1 and not any(f.startswith("w") for f in ties)
+    m = toxicity.train(texts, toxic)
+    got, _ = toxicity.Scorer(m)([text(100, 3) for _ in range(50)] + [text(100, 1) for _ in range(50)] + ["", None, "w1"], False)
+    assert (got[:50] >= toxicity.REJECT).mean() >= 0.95 and (got[50:] < toxicity.REJECT).mean() >= 0.95 and max(got[-3:]) < toxicity.REJECT
+
+
 def plain_base(t):
     out = []
     for k in pii.KINDS:
