@@ -47,6 +47,8 @@ PURE = 0.9
 TIMES = 4
 #: Marginals below it don't count in a document's score.
 LEAST = 0.1
+#: Weight of the logistic fit's pull to (1, 0, 0); its inputs span about a unit.
+PULL = 0.02
 #: Token types a worker remembers the weight of.
 KNOWN = 300_000
 
@@ -198,9 +200,9 @@ def _one_of_each(docs: list[list[str]]) -> list[int]:
     return kept
 
 
-def associated(docs: list[list[str]], toxic: list[int]) -> dict[str, int]:
+def associated(docs: list[list[str]], toxic: list[int], stands_for: tuple[float, float] = (1.0, 1.0)) -> dict[str, int]:
     """Features tied to toxic documents beyond what chance gives among so many, each with the least times (1 to TIMES) that
-    a document must hold it."""
+    a document must hold it; stands_for: the labelled rows that a clean and a toxic document of the sample stand for."""
     n1 = sum(toxic)
     n0 = len(toxic) - n1
     if not n1 or not n0:
@@ -216,8 +218,8 @@ def associated(docs: list[list[str]], toxic: list[int]) -> dict[str, int]:
     found: dict[str, int] = {}
     for (f, k), a in held.items():
         b = clean[f, k]
-        p = a / (a + b)
-        if p >= max(PURE, base) and a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0) >= need:
+        p, share = a / (a + b), a * stands_for[1] / (a * stands_for[1] + b * stands_for[0])
+        if p >= base and share >= PURE and a * np.log(p / base) + (b * np.log((1 - p) / (1 - base)) if b else 0) >= need:
             found[f] = min(k, found.get(f, k))
     return found
 
@@ -236,13 +238,14 @@ def _pairs(words: list[str], of) -> Iterator[tuple[str, int]]:
     return ((f, k) for f, n in _times(words, of).items() for k in range(1, min(n, TIMES) + 1))
 
 
-def train(texts: list[str], toxic: list[int], rounds: int = 40, seed: int = 7) -> Model:
+def train(texts: list[str], toxic: list[int], stands_for: tuple[float, float] = (1.0, 1.0), rounds: int = 40, seed: int = 7) -> Model:
+    """stands_for: as in associated(); where classes were drawn at different rates, scores are still those of the labelled rows."""
     zero = np.zeros((2, 2))
     if len(set(toxic)) < 2:
         return Model({}, 0.0, zero, (0.0, 0.0, 0.0), float(np.mean(toxic)) if toxic else 0.0)
     docs = [tokens_of(t) for t in texts]
     some = _one_of_each(docs)
-    ties = associated([docs[i] for i in some], [toxic[i] for i in some])
+    ties = associated([docs[i] for i in some], [toxic[i] for i in some], stands_for)
     rng = np.random.default_rng(seed)
     seqs: list[tuple[list[str], np.ndarray]] = []
     for i in some:
@@ -288,12 +291,13 @@ def train(texts: list[str], toxic: list[int], rounds: int = 40, seed: int = 7) -
         weight, chain, bias = weight + 0.5 * g / np.sqrt(ada_w), chain + 0.2 * gc / np.sqrt(ada_c), bias + 0.2 * gb / np.sqrt(ada_b)
     model = Model({f: float(weight[k]) for f, k in names.items() if abs(weight[k]) > 1e-4}, float(bias), chain, (1.0, 0.0, 0.0))
     x, y = _inputs(expected(model, docs), docs), np.array(toxic, float)
+    v = np.where(y > 0, stands_for[1], stands_for[0])
     rest = np.array(model.scale)
     scale = rest.copy()
     for _ in range(30):  # Newton's steps for the logistic fit, with a weak pull to rest
         q = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
-        h = (x * (q * (1 - q))[:, None]).T @ x + np.eye(3)
-        scale = scale + np.linalg.solve(h, x.T @ (y - q) - (scale - rest))
+        h = (x * (v * q * (1 - q))[:, None]).T @ x + PULL * np.eye(3)
+        scale = scale + np.linalg.solve(h, x.T @ (v * (y - q)) - PULL * (scale - rest))
     model.scale = tuple(float(k) for k in scale)
     return model
 
@@ -328,7 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, ch
     some = known.where(F.when(F.col("y") == 1, pick < int(1e6 * min(1, sample[1] / max(1, n.get(1, 0))))).otherwise(pick < int(1e6 * min(1, sample[0] / max(1, n.get(0, 0))))))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") <= chars).join(F.broadcast(some), "doc_id").collect()
     rows = sorted(((r["doc_id"], r["text"], r["y"]) for r in rows))
-    return train([r[1] for r in rows], [r[2] for r in rows])
+    drawn = Counter(r[2] for r in rows)
+    return train([r[1] for r in rows], [r[2] for r in rows], tuple(max(1.0, n.get(y, 0) / max(1, drawn[y])) for y in (0, 1)))
 
 
 class Scorer:
