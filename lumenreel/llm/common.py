@@ -8,7 +8,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, StringType, StructType
 
@@ -90,6 +90,30 @@ def small_side(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if measured_bytes(df) <= BROADCAST_BYTES else df
 
 
+#: Rows of a key that one task sums up in earlier().
+FAN = 1024
+
+
+def earlier(df: DataFrame, keys: list[str], at: str, value: str, how: str, top: int, fan: int = FAN) -> DataFrame:
+    """df (at most one row of keys and at; at from 0 to top) with _before: what the rows of the same keys at a smaller `at` come to, their sum of value or
+    the last that isn't null; null if there are none.
+
+    Windows go over at most `fan` neighbouring places; the windows' totals are treated the same way, so there are log(top) / log(fan) levels and no task
+    holds more than `fan` rows of a key, however many there are."""
+    pick = {"sum": F.sum, "last": lambda c: F.last(c, ignorenulls=True)}[how]
+    rows = (Window.unboundedPreceding, -1)
+    if top < fan:
+        return df.withColumn("_before", pick(value).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(at).rowsBetween(*rows)))
+    up = f"{at}_up"
+    inner = df.withColumn(up, F.floor(F.col(at) / fan)).withColumn("_in", pick(value).over(Window.partitionBy(*keys, up).orderBy(at).rowsBetween(*rows)))
+    total = F.sum(value) if how == "sum" else F.max_by(value, F.when(F.col(value).isNotNull(), F.col(at)))
+    blocks = df.groupBy(*keys, F.floor(F.col(at) / fan).alias(up)).agg(total.alias("_total"))
+    outer = earlier(blocks, keys, up, "_total", how, top // fan, fan).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate([*keys, up])], F.col("_before").alias("_outer"))
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate([*keys, up])]
+    both = F.when(F.col("_in").isNull(), F.col("_outer")).when(F.col("_outer").isNull(), F.col("_in")).otherwise(F.col("_in") + F.col("_outer")) if how == "sum" else F.coalesce("_in", "_outer")
+    return inner.join(outer, same, "left").select(*df.columns, both.alias("_before"))
+
+
 def lower_ascii(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 

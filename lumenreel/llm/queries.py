@@ -10,6 +10,7 @@ from .decontaminate import OP3_SQL, op3_decontaminate
 from .langid import op2_langid
 from .linededup import op4_line_dedup
 from .packing import op9_packing, packed_conversations
+from .patternpack import op12_pattern_packing
 from .pii import op6_pii
 from .simhash import op5_simhash
 from .substring import OP10_SQL, op10_substring
@@ -19,7 +20,7 @@ from .warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_topk": op1_topk, "op2_langid": op2_langid, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_substring": op10_substring, "packed_conversations": packed_conversations}
+    return {"op1_topk": op1_topk, "op2_langid": op2_langid, "op3_decontaminate": op3_decontaminate, "op4_line_dedup": op4_line_dedup, "op5_simhash": op5_simhash, "op6_pii": op6_pii, "op7_toxicity": op7_toxicity, "op8_warc": op8_warc, "op9_packing": op9_packing, "op10_substring": op10_substring, "op12_pattern_packing": op12_pattern_packing, "packed_conversations": packed_conversations}
 
 
 def oracle_sql() -> dict[str, str]:
