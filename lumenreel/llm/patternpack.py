@@ -18,13 +18,15 @@ columns are not read.
 
 from __future__ import annotations
 
+import array
 import bisect
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +36,8 @@ from .common import cut, earlier, read
 LIMIT = 2048
 #: Most pieces in an enumerated pattern, and steps of the fit.
 DEPTH, STEPS = 3, 200
-#: Characters of a text that are split into words at a time, entries of a worker's tables, and bytes of a word that is kept in them.
-SLICE, KEPT, KEPT_BYTES = 1 << 20, 1 << 19, 64
+#: Characters of a text that are split into words at a time, entries of a worker's tables of words and of their parts, and bytes of a word that is kept.
+SLICE, KEPT, PARTS_KEPT, KEPT_BYTES = 1 << 20, 3 << 18, 1 << 19, 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part long, nth long"
 _TYPES = {"long": pa.int64(), "int": pa.int32()}
@@ -56,8 +58,9 @@ class WordBpe(dict):
     """Ids of a text as little-endian uint32 bytes. Maps a word's UTF-8 bytes to its ids; a missing word is split as the tokenizer's file says and
     its parts are encoded by the tokenizer's model, or, outside printing Latin-1, the word by the tokenizer as a whole."""
 
-    PARTS = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
-    PLAIN = regex.compile("[\x21-\x7e\xa1-\xff]*")
+    PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
+    PLAIN = re.compile("[\x21-\x7e\xa1-\xff]*")
+    SIMPLE = re.compile(rb"([a-z]+)([!-&(-/:-@\[-`{-~]*)")  # letters, then signs without an apostrophe
 
     def __init__(self, path: str | None = None):
         import public_tokenizers
@@ -66,29 +69,41 @@ class WordBpe(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path("word_bpe_49k.json"))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.model, self.letters, self.parts = self.tokenizer.model, _byte_letters(), {}
-
-    def _part(self, part: str) -> bytes:
-        got = self.parts.get(part)
-        if got is None:
-            got = np.array([t.id for t in self.model.tokenize("".join(self.letters[b] for b in part.encode()))], "<u4").tobytes()
-            if len(self.parts) >= KEPT:
-                self.parts.clear()
-            self.parts[part] = got
+        self.tokenize, self.letters, self.parts = self.tokenizer.model.tokenize, _byte_letters(), {}
+
+    def _part(self, part: bytes) -> bytes:
+        letters = part.decode() if part.isascii() else part.decode("latin-1").translate(self.letters)  # printing ASCII stands for itself
+        a = array.array("I", [t.id for t in self.tokenize(letters)])
+        if sys.byteorder == "big":
+            a.byteswap()
+        if len(self.parts) >= PARTS_KEPT:
+            self.parts.clear()
+        self.parts[part] = got = a.tobytes()
         return got
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if len(word) > KEPT_BYTES or not self.PLAIN.fullmatch(text):
-            got = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if len(word) > KEPT_BYTES:
+            return self._whole(word.decode("utf-8", "replace"))
+        parts = self.parts
+        if m := self.SIMPLE.fullmatch(word.lower()):
+            a, b = m.groups()
+            got = parts.get(a) or self._part(a)
+            if b:
+                got += parts.get(b) or self._part(b)
         else:
-            got = b"".join(map(self._part, self.PARTS.findall(text.lower())))
-        if len(word) <= KEPT_BYTES:
-            if len(self) >= KEPT:
-                self.clear()
-            self[word] = got
+            text = word.decode("utf-8", "replace")
+            if self.PLAIN.fullmatch(text):
+                got = b"".join([parts.get(p) or self._part(p) for p in map(str.encode, self.PARTS.findall(text.lower()))])
+            else:
+                got = self._whole(text)
+        if len(self) >= KEPT:
+            self.clear()
+        self[word] = got
         return got
 
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
     def ids(self, text: str) -> bytes:
         get = self.__getitem__
         if len(text) <= SLICE:
