@@ -209,7 +209,7 @@ def solve(marked: DataFrame, fan: int = 1024) -> DataFrame:
     top = marked.agg(F.max("part")).first()[0] or 0
     ends = marked.groupBy("source", "part").agg(F.max(F.when(F.col("kind") <= ABORT, F.col("at"))).alias("at"))
     ends = ends.withColumn("end", F.when(F.col("at").isNotNull(), F.struct(F.col("part").alias("p"), F.col("at").alias("a"))))
-    before = cut(earlier(ends.drop("at"), ["source"], "part", "end", "last", top, fan).select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.col("_before").alias("_b")), "translog-before")
+    before = cut(earlier(ends.drop("at"), ["source"], "part", "end", "last", top, fan).select(F.col("source").alias("_s"), F.col("part").alias("_p"), F.col("_before").alias("_b")), "translog-before").hint("merge")  # ranges grow with the log: nothing is broadcast
     known = marked.where("tat is not null")
     # of a range's records only those before its first marker of their source
     loose = marked.where("tat is null").join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("part") == F.col("_p")))
@@ -225,7 +225,7 @@ def states(marked: DataFrame, solved: DataFrame, commits: int = COMMITS, fan: in
         return marked.sparkSession.createDataFrame([], _STATES)
     epochs = -(-total // commits)
     counts = marked.groupBy("part").agg(F.count_if(F.col("kind") == COMMIT).alias("n"))
-    offset = cut(earlier(counts, [], "part", "n", "sum", top, fan).select(F.col("part").alias("_p"), F.coalesce("_before", F.lit(0)).alias("_c")), "translog-commits")
+    offset = cut(earlier(counts, [], "part", "n", "sum", top, fan).select(F.col("part").alias("_p"), F.coalesce("_before", F.lit(0)).alias("_c")), "translog-commits").hint("merge")
     kept = solved.where(F.col("what") == CHANGE).join(offset, F.col("cpart") == F.col("_p"))
     epoch = (F.floor((F.col("_c") + F.col("nth") - 1) / commits) + 1).cast("long")
     last = kept.groupBy(epoch.alias("epoch"), "key").agg(F.max_by(F.struct("value"), F.struct("cpart", "nth", "part", "at")).alias("v"))
@@ -235,7 +235,7 @@ def states(marked: DataFrame, solved: DataFrame, commits: int = COMMITS, fan: in
     ends = last.groupBy(F.col("block").alias("_b"), F.col("key").alias("_k")).agg(F.max_by("v", "epoch").alias("v"))
     ends = ends.withColumn("block", F.col("_b") + 1).withColumnRenamed("_k", "key")  # what a block leaves is there in the next
     grid = spark.range(blocks).select(F.col("id").alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(KEYS - 1))).alias("_k"))
-    held = grid.join(ends.select("block", "key", "v"), (F.col("_b") == F.col("block")) & (F.col("_k") == F.col("key")), "left").select(F.col("_b").alias("block"), F.col("_k").alias("key"), "v")
+    held = grid.join(ends.select("block", "key", "v").hint("merge"), (F.col("_b") == F.col("block")) & (F.col("_k") == F.col("key")), "left").select(F.col("_b").alias("block"), F.col("_k").alias("key"), "v")
     held = earlier(held, ["key"], "block", "v", "last", blocks, fan).select("block", "key", F.coalesce("v", "_before").alias("v"))
     carry = held.select("block", (F.col("block") * BLOCK).alias("epoch"), "key", F.col("v.value").alias("value"))
     marks = spark.range(1, epochs + 1).select(F.floor((F.col("id") - 1) / BLOCK).cast("long").alias("block"), F.col("id").alias("epoch"), F.lit(None).cast("int").alias("key"), F.lit(None).cast("long").alias("value"))
@@ -259,7 +259,7 @@ def records(docs: DataFrame, labels: DataFrame) -> DataFrame:
     r = h % 23
     kind = F.when(r < 2, COMMIT).when(r == 2, ABORT).when(r < 5, SAVE).when(r < 7, BACK).otherwise(CHANGE)
     key = (F.floor(h / 100) % KEYS).cast("int")
-    toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct()
+    toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("_t")).distinct().hint("merge")
     rows = docs.where("doc_id is not null").select("source", F.col("doc_id").cast("long").alias("id"), kind.cast("int").alias("kind"), key.alias("key"), F.crc32(F.concat(key.cast("string"), F.lit(":"), F.col("text")).cast("binary")).alias("value"))
     rows = rows.join(toxic, F.col("id") == F.col("_t"), "left")
     change = F.col("kind") == CHANGE
