@@ -2,9 +2,9 @@
 
 1. Sketch. Each task hashes all its words and phrases into a count-min sketch of one row (CELLS saturating 8-bit counters, a fixed size) and sends its blocks;
    blocks are summed, and a bit a cell, whether it reached the least count, is all that goes on: CELLS / 8 bytes, a broadcast of a fixed size. A phrase whose
-   bit is clear can't be frequent enough; a wider sketch lets fewer others pass, and results don't depend on it.
-2. Scan. A task reads its texts in shards of about SHARD words. The phrases of a shard whose bit is set are compiled into one pyahocorasick automaton a language. Its
-   symbols are the shard's words, and a delimiter that is in no phrase stands between pieces, so that no match starts within a word or reaches over a delimiter. The
+   bit, or a part's, is clear can't be frequent enough; a wider sketch lets fewer others pass, and results don't depend on it.
+2. Scan. A task reads its texts in shards of about SHARD words. The phrases of a shard whose bit is set are compiled into one pyahocorasick automaton a language. Words
+   are spelled by their numbers, and a delimiter that is in no phrase stands between pieces, so that no match starts within a word or reaches over a delimiter. The
    automaton counts all matches, overlaps included. Counts of shards are summed in a shuffle; only then the threshold applies.
 3. Scores. Each candidate meets the counts of its parts in one join on (language, part); a stored table on both sides lets a part that is in very many candidates
    be split. Arithmetic is in decimals of 38 digits, exact while counts stay below 10^16.
@@ -35,13 +35,14 @@ LONGEST, LEAST, TOP, INSIDE = 3, 10, 2000, 50
 #: log2 of the sketch's cells, and of a block's.
 CELLS, BLOCK = 27, 16
 #: Words of a shard, different words at which it ends too, bytes split at a time, and symbols scanned at a time.
-SHARD, DIFFERENT, SLICE, STEP = 4_000_000, 1 << 20, 1 << 20, 250_000
+SHARD, DIFFERENT, SLICE, STEP = 6_000_000, 1 << 20, 1 << 20, 250_000
 
 #: What becomes of each byte: A-Z lower case, tab a space, a delimiter 0xFF, which is in no UTF-8 text.
 _TABLE = bytes(0xFF if c in b".,;:!?\n\x0b\x0c\r" else 0x20 if c == 9 else c + 32 if 65 <= c <= 90 else c for c in range(256))
 _EDGE = re.compile(rb"[ \t.,;:!?\n\x0b\x0c\r]")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 _BITS = 21  # of a word's number in a shard
+_DIGIT = 6  # of a letter that spells word numbers for the automaton
 
 _COUNTS = "lang string, words int, phrase binary, n long"
 _ARROW = pa.schema([("lang", pa.string()), ("words", pa.int32()), ("phrase", pa.binary()), ("n", pa.int64())])
@@ -198,18 +199,38 @@ def sketch(plain: DataFrame, longest: int, least: int, cells: int = CELLS) -> np
     return bits
 
 
+def _symbols(numbers: np.ndarray, digits: int) -> str:
+    """Word numbers as text of so many letters each, one alphabet a place, so that a match can't start within a word; 0 is a delimiter in each place."""
+    places = [np.where(numbers > 0, 0x100 * (i + 1) + ((numbers >> (_DIGIT * (digits - 1 - i))) & ((1 << _DIGIT) - 1)), 1) for i in range(digits)]
+    return np.stack(places, -1).astype("<u4").tobytes().decode("utf-32-le")
+
+
 def _matches(codes: np.ndarray, keys: np.ndarray, k_of: np.ndarray, skip: int, longest: int) -> np.ndarray:
-    """Occurrences of each phrase (keys: its word numbers, _BITS each, first word highest) that end at `skip` or later, overlaps included."""
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+    """Occurrences of each phrase (keys: its word numbers, _BITS each, first word highest) that end at `skip` or later, overlaps included.
+
+    Words that are in no phrase stand as delimiters; the others are numbered anew, frequent ones first, and spelled in letters of a small alphabet, since
+    the automaton looks through the branches of a node one by one."""
     low = (1 << _BITS) - 1
-    for v, (key, k) in enumerate(zip(keys.tolist(), k_of.tolist(), strict=True)):
-        machine.add_word(tuple((key >> (_BITS * i)) & low for i in range(k - 1, -1, -1)), v)
+    words = [np.stack([(keys[k_of == k] >> (_BITS * i)) & low for i in range(k - 1, -1, -1)], -1) for k in range(2, longest + 1)]
+    used = np.unique(np.concatenate([w.ravel() for w in words]))
+    seen = np.bincount(codes, minlength=int(codes.max(initial=0)) + 1)
+    number = np.zeros(len(seen), np.int64)
+    number[used[np.argsort(-seen[used], kind="stable")]] = np.arange(1, len(used) + 1)
+    digits = 1
+    while len(used) >> (_DIGIT * digits):
+        digits += 1
+    machine, v = ahocorasick.Automaton(ahocorasick.STORE_INTS), 0
+    for k, w in enumerate(words, 2):
+        text, size = _symbols(number[w].ravel(), digits), k * digits
+        for i in range(len(w)):
+            machine.add_word(text[i * size : (i + 1) * size], v)
+            v += 1
     machine.make_automaton()
-    counts = np.zeros(len(keys), np.int64)
+    counts, codes = np.zeros(len(keys), np.int64), number[codes]
     for at in range(0, len(codes), STEP):
         start = max(0, at - longest + 1)
-        found = np.fromiter(chain.from_iterable(machine.iter(tuple(codes[start : at + STEP].tolist()))), np.int64).reshape(-1, 2)
-        counts += np.bincount(found[found[:, 0] >= max(at, skip) - start, 1], minlength=len(keys))
+        found = np.fromiter(chain.from_iterable(machine.iter(_symbols(codes[start : at + STEP], digits))), np.int64).reshape(-1, 2)
+        counts += np.bincount(found[found[:, 0] >= (max(at, skip) - start) * digits, 1], minlength=len(keys))
     return counts
 
 
@@ -231,7 +252,12 @@ def phrase_counts(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, c
                 for k in range(1, longest + 1):
                     first = _grams(codes, k, skip)
                     c = _cells(codes, first, k, hashes, lang, cells)
-                    first = first[(bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0]
+                    passes = (bits[c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+                    if k > 1:  # what is frequent has frequent parts
+                        passes &= often[first] & often[first + 1]
+                    first = first[passes]
+                    often = np.zeros(len(codes) + 1, bool)
+                    often[first] = True
                     if k == 1:  # single words are counted as they are; only phrases need an automaton
                         got, n = np.unique(codes[first], return_counts=True)
                         rows_n += n.tolist()
