@@ -139,16 +139,20 @@ def _grams(codes: np.ndarray, k: int, skip: int) -> np.ndarray:
     for i in range(1, k):
         ok &= codes[i : n + i] > 0
     ok[: max(0, skip - k + 1)] = False
-    return np.flatnonzero(ok)
+    return np.flatnonzero(ok).astype(np.int32)
 
 
 def _cells(codes: np.ndarray, first: np.ndarray, k: int, hashes: np.ndarray, lang: str, cells: int) -> np.ndarray:
-    h = np.full(len(first), xxhash.xxh64_intdigest(lang.encode(), k), np.uint64)
-    for i in range(k):
-        h += hashes[codes[first + i]] * _MULTIPLIERS[i]
-        h ^= h >> np.uint64(29)
-        h *= _MULTIPLIERS[5]
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(64 - cells - 3)).astype(np.uint32) & np.uint32((1 << cells) - 1)
+    out, start = np.empty(len(first), np.uint32), np.uint64(xxhash.xxh64_intdigest(lang.encode(), k))
+    for at in range(0, len(first), STEP):  # so that what is held beside `out` stays small
+        own = first[at : at + STEP]
+        h = np.full(len(own), start, np.uint64)
+        for i in range(k):
+            h += hashes[codes[own + i]] * _MULTIPLIERS[i]
+            h ^= h >> np.uint64(29)
+            h *= _MULTIPLIERS[5]
+        out[at : at + STEP] = (h ^ (h >> np.uint64(32))) >> np.uint64(64 - cells - 3) & np.uint64((1 << cells) - 1)
+    return out
 
 
 def _plain(docs: DataFrame) -> DataFrame:
