@@ -1,8 +1,7 @@
 """Density clustering (HDBSCAN with leaf selection and a merge distance) and incremental assignment.
 
-A full pass over one set of points needs distances between all of them, in blocks, and runs in one task: fit() refuses more than
-LIMIT points. Larger sets first meet their existing clusters in assign(), which is a distributed nearest-centroid join, and only what is left
-over goes to fit(). After Campello, Moulavi and Sander (2013) and Malzer and Baum (2020).
+Up to LIMIT points are one bounded group and are clustered in one task by labels_of(); more go through density.fit(), which holds no more than a pair of
+groups anywhere. Both give the same labels. After Campello, Moulavi and Sander (2013) and Malzer and Baum (2020).
 """
 
 from __future__ import annotations
@@ -13,30 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..params import Clustering
+from . import density
 from .vectors import doubles, mean_vectors, nearest
 
-LIMIT = 20_000
-
-
-def _distances(x: np.ndarray, i: int | slice, y: np.ndarray | None = None) -> np.ndarray:
-    a, b = np.atleast_2d(x[i]), x if y is None else y
-    return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+#: Points that one task clusters; more are clustered by cells.
+LIMIT = 8_192
 
 
 def _spanning_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
-    """Edges (a, b, weight) of a minimum spanning tree under mutual reachability; the point itself counts among its neighbours."""
+    """Edges (a, b, weight) of the minimum spanning tree under mutual reachability, in the order (weight, a, b); the point itself counts among its neighbours."""
     n = len(x)
-    core = np.concatenate([np.partition(_distances(x, slice(k, k + 512)), min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1] for k in range(0, n, 512)])
-    best, source, open_ = np.full(n, np.inf), np.zeros(n, np.int64), np.ones(n, bool)
-    edges, at = np.zeros((n - 1, 3)), 0
-    for k in range(n - 1):
-        open_[at] = False
-        d = np.maximum(np.maximum(_distances(x, at)[0], core[at]), core)
-        nearer = open_ & (d < best)
-        best[nearer], source[nearer] = d[nearer], at
-        at = int(np.where(open_, best, np.inf).argmin())
-        edges[k] = source[at], at, best[at]
-    return edges[np.argsort(edges[:, 2], kind="stable")]
+    k = min(min_samples, n) - 1
+    core = np.concatenate([np.partition(density.distances(x[i : i + 512], x), k, axis=1)[:, k] for i in range(0, n, 512)])
+    a, b, w = density.tree(n, lambda i: np.maximum(np.maximum(density.distances(x[i : i + 1], x)[0], core[i]), core), np.arange(n))
+    a, b = np.minimum(a, b), np.maximum(a, b)
+    return np.stack([a, b, w], 1)[np.lexsort((b, a, w))]
 
 
 def labels_of(x: np.ndarray, p: Clustering = Clustering()) -> np.ndarray:
@@ -111,18 +101,24 @@ def _below(c: int, children: dict[int, list[int]]) -> list[int]:
     return out
 
 
-def fit(points: DataFrame, p: Clustering = Clustering(), first_label: int = 0) -> DataFrame:
-    """points(id, embedding) -> (id, cluster_id): labels from first_label on, -1 is noise."""
-    n = points.count()
-    if n > LIMIT:
-        raise ValueError(f"{n} points in one full pass; assign() them to known clusters first, or raise LIMIT")
+def fit(points: DataFrame, p: Clustering = Clustering(), first_label: int = 0, limit: int = LIMIT) -> DataFrame:
+    """points(id, embedding) -> (id, cluster_id): labels from first_label on, in the order of a cluster's least id; -1 is noise. Ids are distinct and vectors of
+    one dimension; a null vector, or one with nulls, is noise."""
+    points = points.select(F.col("id").cast("long").alias("id"), doubles(F.col("embedding")).alias("v"))
+    there = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
+    usable = points.where(there)
+    n = usable.count()
+    label = lambda c: F.coalesce(F.col(c) + first_label, F.lit(-1)).cast("int").alias("cluster_id")
+    if n > limit:
+        return points.select("id").join(density.fit(usable, p), "id", "left").select("id", label("cluster_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id")
-        labels = labels_of(np.array(pdf["embedding"].tolist()), p)
+        labels = labels_of(np.array(pdf["v"].tolist()), p)
         return pd.DataFrame({"id": pdf["id"].to_numpy(), "cluster_id": np.where(labels < 0, -1, labels + first_label).astype(np.int32)})
 
-    return points.select("id", doubles(F.col("embedding")).alias("embedding"), F.lit(0).alias("_all")).groupBy("_all").applyInPandas(lambda pdf: run(pdf), "id long, cluster_id int")
+    found = usable.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(lambda pdf: run(pdf), "id long, cluster_id int")
+    return found.unionByName(points.where(~there).select("id", F.lit(-1).alias("cluster_id")))
 
 
 def centroids(faces: DataFrame) -> DataFrame:
