@@ -232,10 +232,10 @@ def detect(frames: DataFrame, model, schema: str = "path string, t double, x int
     return frames.mapInPandas(run, schema)
 
 
-def next_frames(frames: DataFrame) -> DataFrame:
-    """Pairs of neighbouring frames of a clip: (path, t, before, pixels)."""
+def next_frames(frames: DataFrame, size: bool = False) -> DataFrame:
+    """Pairs of neighbouring frames of a clip: (path, t, before, pixels), with h and w if size is set."""
     w = Window.partitionBy("path").orderBy("t")
-    return frames.withColumn("before", F.lag("pixels").over(w)).where("before is not null").select("path", "t", "before", "pixels")
+    return frames.withColumn("before", F.lag("pixels").over(w)).where("before is not null").select("path", "t", *(["h", "w"] if size else []), "before", "pixels")
 
 
 def encode_frames(frames: DataFrame, model, key: str = "path") -> DataFrame:
