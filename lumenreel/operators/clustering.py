@@ -133,15 +133,32 @@ def assign(faces: DataFrame, p: Clustering = Clustering()) -> DataFrame:
     return near.withColumn("cluster_id", F.when(F.col("distance") < p.match_threshold, F.col("cluster_id")))
 
 
+def sums(faces: DataFrame) -> DataFrame:
+    """(cluster_id, n, total): what centroids are made of, so that batches add up without reading faces again."""
+    parts = faces.where("cluster_id >= 0").select("cluster_id", F.posexplode(doubles(F.col("embedding"))).alias("_i", "_x")).groupBy("cluster_id", "_i").agg(F.sum("_x").alias("_x"), F.count("*").alias("n"))
+    return parts.groupBy("cluster_id").agg(F.max("n").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("total"))
+
+
+def summed_centroids(total: DataFrame) -> DataFrame:
+    """(cluster_id, centroid) of any number of sums() of a cluster."""
+    parts = total.select("cluster_id", "n", F.posexplode("total").alias("_i", "_x")).groupBy("cluster_id", "_i").agg((F.sum("_x") / F.sum("n")).alias("_x"))
+    return parts.groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_x"))), lambda x: x["_x"]).alias("centroid"))
+
+
+def join_clusters(new: DataFrame, known: DataFrame, p: Clustering = Clustering()) -> DataFrame:
+    """(id, cluster_id) of new(id, embedding): those near a centroid of known(cluster_id, centroid) join its cluster, the rest form clusters with ids after the largest."""
+    near = nearest(new, known)
+    near = near.where(F.col("distance") < p.match_threshold).select("id", "cluster_id")
+    top = known.agg(F.coalesce(F.max("cluster_id"), F.lit(-1))).first()[0]
+    return near.unionByName(fit(new.join(near, "id", "left_anti").select("id", "embedding"), p, top + 1))
+
+
 def incremental(faces: DataFrame, p: Clustering = Clustering()) -> DataFrame:
     """(id, cluster_id) of faces that have none: those near a cluster join it, the rest form new ones with ids after the largest. Without
     any cluster so far all faces, noise too, are clustered anew."""
     if faces.where("cluster_id >= 0").isEmpty():
         return fit(faces.select("id", "embedding"), p)
-    near = assign(faces, p)
-    rest = faces.where("cluster_id is null").join(near.where("cluster_id is not null"), "id", "left_anti")
-    new = fit(rest.select("id", "embedding"), p, (faces.agg(F.coalesce(F.max("cluster_id"), F.lit(-1))).first()[0]) + 1)
-    return near.where("cluster_id is not null").select("id", "cluster_id").unionByName(new)
+    return join_clusters(faces.where("cluster_id is null").select("id", "embedding"), centroids(faces), p)
 
 
 def run_stats(assigned: DataFrame, known: int) -> DataFrame:

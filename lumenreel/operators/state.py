@@ -1,11 +1,19 @@
 """Changes of stored relations as pure functions old rows -> new rows, and a snapshot store that commits them.
 
-A version is a file in the folder CURRENT that names the folders v=<n> it consists of; the largest number counts. So an append writes what is
-new only. One writer at a time; readers keep the version they opened. Updates are anti-joins and unions; foreign keys cascade by hand.
+A version is a file in the folder CURRENT that names the folders v=<n> it consists of, with the range of their keys where it is known; the largest number
+counts. So an append writes what is new only, and changes to stored rows are a folder of the changed rows and of tombstones, merged when the table is read
+and put together with it once in a while. One writer at a time; a version's folders stay while it is one of the newest or someone holds a lease on it. Updates are
+anti-joins and unions; foreign keys cascade by hand.
 """
 
 from __future__ import annotations
 
+import contextlib
+import json
+import time
+import uuid
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -139,53 +147,152 @@ class SnapshotStore:
         names = [s.getPath().getName() for s in self._fs.listStatus(p)]
         return max((int(n) for n in names if n.isdigit()), default=None)
 
-    def parts(self, table: str, version: int) -> list[int]:
-        """The folders that a version consists of."""
-        p = self._path(f"{self.root}/{table}/CURRENT/{version}")
-        size = self._fs.getFileStatus(p).getLen()
+    def _text(self, path: str) -> str:
+        p = self._path(path)
         stream = self._fs.open(p)
         try:
-            text = bytes(stream.readNBytes(int(size))).decode()
+            return bytes(stream.readNBytes(int(self._fs.getFileStatus(p).getLen()))).decode()
         finally:
             stream.close()
-        return [int(x) for x in text.split(",") if x] or [version]
 
-    def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        v = self.current(table) if version is None else version
-        return None if v is None else self.spark.read.parquet(*[f"{self.root}/{table}/v={n}" for n in self.parts(table, v)])
+    def _put(self, path: str, text: str) -> None:
+        out = self._fs.create(self._path(path), True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def folders(self, table: str, version: int) -> list[dict]:
+        """The folders that a version consists of: n, and key, lo, hi where known; changes is set for one of changed rows."""
+        text = self._text(f"{self.root}/{table}/CURRENT/{version}")
+        return json.loads(text) if text.startswith("[") else [{"n": int(x)} for x in text.split(",") if x] or [{"n": version}]
 
-    def commit(self, table: str, df: DataFrame) -> int:
+    def parts(self, table: str, version: int) -> list[int]:
+        return [x["n"] for x in self.folders(table, version)]
+
+    def read(self, table: str, version: int | None = None, key: str | None = None, between: tuple | None = None) -> DataFrame | None:
+        """The table. With key and between = (least, largest), only rows with keys in that range: folders of other ranges aren't opened, and the
+        range is pushed into the scan of the others."""
+        v = self.current(table) if version is None else version
+        if v is None:
+            return None
+        own = list(enumerate(self.folders(table, v)))
+        apart = lambda x, lo, hi: x.get("lo") is not None and (x["lo"] > hi or x["hi"] < lo)
+
+        def load(entries: list[dict]) -> DataFrame:
+            df = self.spark.read.parquet(*[f"{self.root}/{table}/v={x['n']}" for x in entries])
+            return df if between is None else df.where(F.col(key).between(*between))
+
+        first = own[0][1]
+        if between is not None:
+            own = [(i, x) for i, x in own if x.get("key") != key or not apart(x, *between)]
+        changes = [(i, x) for i, x in own if x.get("changes")]
+        plain = [(i, x) for i, x in own if not x.get("changes")]
+        if not plain:
+            return load([first]).limit(0) if not changes else self._merged(load, load([first]).where(F.lit(False)), [], changes, apart)
+        return load([x for _, x in plain]) if not changes else self._merged(load, load([first]), plain, changes, apart)
+
+    def _merged(self, load, like: DataFrame, plain: list, changes: list, apart) -> DataFrame:
+        """Rows that no later change names, and each changed key's last state."""
+        by, out, groups = changes[0][1]["key"], [], {}
+        for i, x in plain:
+            later = tuple(j for j, y in changes if j > i and (y.get("lo") is None or not apart(x, y["lo"], y["hi"])))
+            groups.setdefault(later, []).append(x)
+        changed = [load([y]).withColumn("_at", F.lit(j)) for j, y in changes]
+        for later, entries in groups.items():
+            rows = load(entries)
+            for (j, _), c in zip(changes, changed, strict=True):
+                if j in later:
+                    rows = rows.join(c.select(by), by, "left_anti")
+            out.append(rows.select(like.columns))
+        every = changed[0]
+        for c in changed[1:]:
+            every = every.unionByName(c)
+        last = every.groupBy(by).agg(F.max_by(F.struct(*[c for c in like.columns if c != by], "_gone"), "_at").alias("_x")).where("not _x._gone")
+        out.append(last.select(by, "_x.*").select(like.columns))
+        df = out[0]
+        for x in out[1:]:
+            df = df.unionByName(x)
+        return df
+
+    def commit(self, table: str, df: DataFrame, key: str | None = None) -> int:
         """Writes df as the next version, then lets it count; old versions past `keep` go."""
         v = self._write(table, df)
-        return self._publish(table, v, [v])
+        return self._publish(table, v, [self._entry(table, v, key)])
 
-    def append(self, table: str, df: DataFrame, most: int = 64) -> int:
-        """The next version is the current one and df; nothing that is stored is written again, but once in `most` appends all is put into one folder."""
+    def append(self, table: str, df: DataFrame, most: int = 64, key: str | None = None) -> int:
+        """The next version is the current one and df, whose keys are new; nothing that is stored is written again, but once in `most` appends all is put into one folder."""
         now = self.current(table)
         if now is None:
-            return self.commit(table, df)
-        parts = self.parts(table, now)
+            return self.commit(table, df, key)
+        parts = self.folders(table, now)
         if len(parts) >= most:
-            return self.commit(table, self.read(table, now).unionByName(df, allowMissingColumns=True))
+            return self.commit(table, self.read(table, now).unionByName(df, allowMissingColumns=True), key)
         v = self._write(table, df)
-        return self._publish(table, v, [*parts, v])
+        return self._publish(table, v, [*parts, self._entry(table, v, key)])
+
+    def apply(self, table: str, df: DataFrame, key: str, most: int = 16) -> int:
+        """The next version has df's rows, one a key, in place of stored ones with the same key; those whose column _gone is true (if there is one) take theirs away.
+        Writes df only; once in `most` such changes all is put into one folder. One table has one key."""
+        df = df if "_gone" in df.columns else df.withColumn("_gone", F.lit(False))
+        now = self.current(table)
+        if now is None:
+            return self.commit(table, df.where("not _gone").drop("_gone"), key)
+        v = self._write(table, df)
+        v = self._publish(table, v, [*self.folders(table, now), self._entry(table, v, key) | {"key": key, "changes": True}])
+        return self.compact(table, key) if sum(x.get("changes", False) for x in self.folders(table, v)) >= most else v
+
+    def compact(self, table: str, key: str | None = None) -> int:
+        return self.commit(table, self.read(table), key)
+
+    def _entry(self, table: str, v: int, key: str | None) -> dict:
+        """A folder of the manifest, with the range of a key that is a number or a text."""
+        if key is None:
+            return {"n": v}
+        lo, hi = self.spark.read.parquet(f"{self.root}/{table}/v={v}").agg(F.min(key), F.max(key)).first()
+        return {"n": v, "key": key} | ({"lo": lo, "hi": hi} if isinstance(lo, (int, str)) else {})
+
+    @contextlib.contextmanager
+    def lease(self, table: str, hours: float = 24) -> Iterator[DataFrame | None]:
+        """The current table, whose folders stay until the block ends, or for so many hours if its process is lost."""
+        v, path = self.current(table), f"{self.root}/{table}/LEASES/{uuid.uuid4().hex}"
+        if v is None:
+            yield None
+            return
+        self._fs.mkdirs(self._path(f"{self.root}/{table}/LEASES"))
+        self._put(path, json.dumps({"version": v, "until": time.time() + 3600 * hours, "parts": self.parts(table, v)}))
+        try:
+            yield self.read(table, v)
+        finally:
+            self._fs.delete(self._path(path), False)
+
+    def _leased(self, table: str) -> tuple[set[int], set[int]]:
+        p = self._path(f"{self.root}/{table}/LEASES")
+        if not self._fs.exists(p):
+            return set(), set()
+        held = [json.loads(self._text(str(x.getPath()))) for x in self._fs.listStatus(p)]
+        held = [x for x in held if x["until"] > time.time()]
+        return {x["version"] for x in held}, {n for x in held for n in x["parts"]}
+
+    def restore(self, table: str, version: int) -> int:
+        """An older version becomes the next one again; its folders are named, not copied."""
+        v = max(self.versions(table)[-1], self.current(table)) + 1
+        return self._publish(table, v, self.folders(table, version))
 
     def _write(self, table: str, df: DataFrame) -> int:
-        v = max([-1, *self.versions(table)]) + 1
+        v = max([-1, *self.versions(table), *[x for x in [self.current(table)] if x is not None]]) + 1
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={v}")
         return v
 
-    def _publish(self, table: str, v: int, parts: list[int]) -> int:
+    def _publish(self, table: str, v: int, parts: list[dict]) -> int:
         folder = f"{self.root}/{table}/CURRENT"
         self._fs.mkdirs(self._path(folder))
-        out = self._fs.create(self._path(f"{folder}/_{v}"), True)
-        out.write(bytearray(",".join(map(str, parts)).encode()))
-        out.close()
+        self._put(f"{folder}/_{v}", json.dumps(parts))
         self._fs.rename(self._path(f"{folder}/_{v}"), self._path(f"{folder}/{v}"))  # the largest number counts
         numbers = sorted(int(n) for n in (s.getPath().getName() for s in self._fs.listStatus(self._path(folder))) if n.isdigit())
+        held, used = self._leased(table)
         for old in numbers[: -self.keep]:
-            self._fs.delete(self._path(f"{folder}/{old}"), False)
-        used = {p for n in numbers[-self.keep :] for p in self.parts(table, n)}
+            if old not in held:
+                self._fs.delete(self._path(f"{folder}/{old}"), False)
+        used |= {p for n in numbers[-self.keep :] for p in self.parts(table, n)}
         for old in self.versions(table):
             if old not in used:
                 self._fs.delete(self._path(f"{self.root}/{table}/v={old}"), True)

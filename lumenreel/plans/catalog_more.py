@@ -10,6 +10,7 @@ from ..functions import paths as P
 from ..functions import text as T
 from ..operators import clustering, energy, library, state, tagging, timeline, vectors
 from ..params import Clustering, Energy, Tagging, Timeline
+from ..storage import scratch
 from ..streaming import streams
 from . import adapter as A
 from .catalog import _SQL, _query, _STRIP, _with
@@ -200,6 +201,18 @@ def incremental_match(s, d):
     return clustering.assign(_vecs(s, d), _MATCH).withColumn("distance", F.round("distance", 6))
 
 
+@_query("SELECT vec_id AS id, CASE WHEN vec_id % 10 = 3 THEN CAST(-1 AS BIGINT) WHEN vec_id % 5 <> 0 THEN CAST(label AS BIGINT) END AS cluster_id FROM embeddings WHERE vec_id % 50 <> 7 UNION ALL SELECT vec_id + 1000000000, CAST(label AS BIGINT) FROM embeddings")
+def changed_assignments(s, d):
+    """A table of assignments, appended to, then changed and thinned out by folders of changes that are merged when it is read."""
+    base = _vecs(s, d).select("id", F.col("cluster_id").cast("bigint").alias("cluster_id"))
+    store = state.SnapshotStore(s, scratch(s, "changed-assignments"))
+    store.commit("a", base, "id")
+    store.apply("a", base.where("id % 10 = 3").withColumn("cluster_id", F.lit(5).cast("bigint")), "id")
+    store.append("a", A.table(s, d, "embeddings").select((F.col("vec_id") + 1_000_000_000).alias("id"), F.col("label").cast("bigint").alias("cluster_id")), key="id")
+    store.apply("a", base.where("id % 50 = 7 or id % 10 = 3").select("id", F.lit(-1).cast("bigint").alias("cluster_id"), (F.col("id") % 50 == 7).alias("_gone")), "id")
+    return store.read("a")
+
+
 @_query(None)
 def hdbscan_labels(s, d):
     return clustering.fit(_vecs(s, d).select("id", "embedding"), Clustering(epsilon=0.0))

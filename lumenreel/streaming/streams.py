@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import clustering, state
-from ..storage import scratch
+from ..params import Clustering
+from ..storage import scratch, stored
 
 
 def utc(spark: SparkSession) -> SparkSession:
@@ -87,26 +88,66 @@ def drained_edits(spark: SparkSession, d: str) -> DataFrame:
     return latest(spark, drain(e, "update", ["cluster_id"], "stream-edits"), ["cluster_id"], False)
 
 
+def _new(df: DataFrame, store: state.SnapshotStore, table: str) -> DataFrame | None:
+    """A batch's rows whose ids the table doesn't have, one an id; None if there are none. Of the table only folders and row groups whose ids lie in the batch's range
+    are read."""
+    df = stored(df.dropDuplicates(["id"]), "batch")
+    span = df.agg(F.min("id"), F.max("id")).first()
+    if span[0] is None:
+        return None
+    old = store.read(table, key="id", between=tuple(span))
+    new = df if old is None else stored(df.join(old.select("id"), "id", "left_anti"), "batch-new")
+    return None if new.isEmpty() else new
+
+
 def ingest(stream: DataFrame, store: state.SnapshotStore, checkpoint: str, table: str = "faces"):
     """Appends what a stream brings to a stored table, a version a batch; only new rows are written. Ids that the table has already are
-    skipped, so a repeated batch adds nothing."""
+    skipped, so a repeated batch adds nothing. Rows without an id are left out."""
 
     def save(df: DataFrame, number: int) -> None:
-        old = store.read(table)
-        new = df.dropDuplicates(["id"])
-        store.append(table, new if old is None else new.join(old.select("id"), "id", "left_anti").select(old.columns))
+        new = _new(df.where("id is not null"), store, table)
+        if new is not None:
+            now = store.current(table)
+            store.append(table, new if now is None else new.select(store.read(table, now).columns), key="id")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def assign(stream: DataFrame, store: state.SnapshotStore, checkpoint: str):
-    """Assigns incoming faces(id, embedding) to the stored clusters, forms new ones of the rest, and commits."""
+def assign(stream: DataFrame, store: state.SnapshotStore, checkpoint: str, p: Clustering = Clustering()):
+    """Assigns incoming faces(id, embedding) to clusters, forms new ones of the rest, and stores them: a batch reads the sums of each cluster's vectors
+    (table face_sums, a row a batch and cluster), not the faces, and writes its own rows. Stored faces without a cluster are assigned with the batch and stored as changes.
+    Only without any cluster so far all faces, noise too, are clustered anew. Sums are stored before faces, under the batch's number, so a batch that
+    runs again puts the same in their place."""
 
     def save(df: DataFrame, number: int) -> None:
-        known = store.read("faces")
-        new = df.withColumn("cluster_id", F.lit(None).cast("int"))
-        faces = new if known is None else known.unionByName(new.join(known.select("id"), "id", "left_anti"), allowMissingColumns=True)
-        if not faces.where("cluster_id is null").isEmpty():
-            store.commit("faces", state.assign_clusters(faces, clustering.incremental(faces)))
+        new = _new(df.where("id is not null").select("id", "embedding"), store, "faces")
+        if new is None:
+            return
+        known, total = store.read("faces"), store.read("face_sums")
+        if known is not None and total is None:
+            store.commit("face_sums", _keyed(clustering.sums(known), "first"), "key")
+            total = store.read("face_sums")
+        total = None if total is None else total.where(F.col("batch") != str(number))
+        pending = None if known is None else known.where("cluster_id is null")  # row groups without nulls are skipped
+        if total is None or total.isEmpty():
+            pending = None if known is None else known
+            every = new if known is None else known.select("id", "embedding").unionByName(new)
+            labels = clustering.fit(every, p)
+        else:
+            every = new if pending is None else pending.select("id", "embedding").unionByName(new)
+            labels = clustering.join_clusters(every, clustering.summed_centroids(total), p)
+        labels = stored(labels, "assign-labels")
+        rows = new.join(labels, "id")
+        changed = None if pending is None else stored(state.assign_clusters(pending, labels), "assign-changed")
+        all_ = rows.select("embedding", "cluster_id") if changed is None else rows.select("embedding", "cluster_id").unionByName(changed.select("embedding", "cluster_id"))
+        store.apply("face_sums", stored(_keyed(clustering.sums(all_), str(number)), "assign-sums"), "key")
+        if changed is not None and not changed.isEmpty():
+            store.apply("faces", changed, "id")
+        like = rows if known is None else known
+        store.append("faces", rows.select([F.col(c) if c in rows.columns else F.lit(None).cast(dict(like.dtypes)[c]).alias(c) for c in like.columns]), key="id")
 
     return stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _keyed(sums: DataFrame, batch: str) -> DataFrame:
+    return sums.select(F.concat_ws(":", F.lit(batch), "cluster_id").alias("key"), F.lit(batch).alias("batch"), "cluster_id", "n", "total")
