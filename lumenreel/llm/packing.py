@@ -8,7 +8,7 @@ first, and when nothing waiting fits, the best candidate is cut to fill the room
 
 Tokenisation: the vocabulary of byte_bpe_50k.json is applied from its rank file by tiktoken; ids
 are the same as those of tokenizers' encode_batch(add_special_tokens=False) over that file (tested), at a fifth of the
-time. They are held as little-endian uint32 bytes.
+time. A text with a run of over RUN white-space characters, which tiktoken can't take, goes to tokenizers and that file. They are held as little-endian uint32 bytes.
 
 Documents are packed with every token loss-bearing. Conversations give an example an assistant turn, the turn before it as its
 prompt, whose loss-bearing tokens are the reply's, so that tokens, segments and loss bind on their own.
@@ -23,6 +23,7 @@ from __future__ import annotations
 import array
 import base64
 import heapq
+import re
 import sys
 import zlib
 from collections.abc import Iterator
@@ -41,6 +42,9 @@ SEGMENTS = 64
 #: Examples that wait in a task for a place.
 WAITING = 2048
 END = b"\0\0\0\0"
+#: White space in a row from which tokenizers encodes a text; tiktoken ends with a stack overflow between 500,000 and a million.
+RUN = 100_000
+_LONG = re.compile(rf"\s{{{RUN},}}")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -57,8 +61,19 @@ class ByteBpe:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
+        self.whole = None
+
+    def _whole(self, text: str) -> list[int]:
+        if self.whole is None:
+            import public_tokenizers
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+            self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        return self.whole.encode(text, add_special_tokens=False).ids
+
     def ids(self, text: str) -> bytes:
-        a = array.array("I", self.encode(text))
+        a = array.array("I", self._whole(text) if len(text) >= RUN and _LONG.search(text) else self.encode(text))
         if sys.byteorder == "big":
             a.byteswap()
         return a.tobytes()
