@@ -109,7 +109,7 @@ def test_warc_of_nothing(spark, tmp_path):
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_same_as_sql(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "embeddings", "pages", "benchmark"):
+    for t in ("documents", "embeddings", "pages", "benchmark", "labels"):
         c.sql(f"create view {t} as select * from '{D}/{t}.parquet'")
     df = queries.queries()[name](spark, D)
     cols = sorted(df.columns)
