@@ -5,11 +5,12 @@ pushed into the source. Archives hold one gzip member per record, written with t
 the reader inflates a member only until its headers end, tests the filters, and where they fail, or where the schema asked for
 has no payload column, seeks past the rest. Members without the field (other writers' archives) are inflated to find their end.
 
-Writing: each task writes a file of its own under a temporary name; the driver renames the files of the attempts that won, so
-tasks that run twice leave nothing. Paths may be on any filesystem that pyarrow opens.
+Writing: each task writes a file of its own under a temporary name; the driver renames the files of the attempts that won and deletes what other
+attempts of the same write left. Names hold the write's own id, so an append keeps what is there; an overwrite deletes the archives that were
+there once its own files have their names. Paths may be on any filesystem that pyarrow opens.
 
-Cases: null payloads are empty; a record without an id or target gets an empty header value, read back as null; empty input gives no files
-and no rows; of equal payloads the record with the largest id is the response (all of them, if that id repeats), records without an
+Cases: null payloads are empty; a record without an id or target gets an empty header value, read back as null; white space in an id or
+target is written percent-encoded; empty input gives no files and no rows (an overwrite with it leaves no archive); of equal payloads the record with the largest id is the response (all of them, if that id repeats), records without an
 id revisit it; with no id among them all are responses; very long payloads are written whole (a member of 4 GB or more carries no
 size and is inflated to find its end); extra columns are not read.
 """
@@ -19,11 +20,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -49,6 +52,14 @@ def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return fs, path.rstrip("/")
 
 
+def archives(fs: pafs.FileSystem, path: str) -> list[pafs.FileInfo]:
+    """The archives under a folder, or the file itself."""
+    info = fs.get_file_info(path)
+    if info.is_file:
+        return [info]
+    return [x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.is_file and x.base_name.endswith(".warc.gz") and not x.base_name.startswith((".", "_"))]
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -57,7 +68,7 @@ def record(kind: str, record_id: str | None, uri: str | None, refers_to: str | N
     """One record as a gzip member; a revisit holds the response's HTTP headers only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + (payload if kind != "revisit" else b"")
-    clean = lambda x: "".join(x.split()) if x else ""  # noqa: E731  a header value can't hold line ends
+    clean = lambda x: re.sub(r"\s", lambda m: quote(m[0]), x) if x else ""  # noqa: E731  a header value can't hold line ends
     head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{clean(record_id)}>", f"WARC-Target-URI: {clean(uri)}", f"WARC-Date: {date}", f"WARC-Payload-Digest: sha1:{digest_of(payload)}"]
     if kind == "revisit":
         head += [f"WARC-Refers-To: <{clean(refers_to)}>", f"WARC-Profile: {REVISIT}"]
@@ -196,10 +207,8 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         fs, path = filesystem(self.uri)
         root = self.uri[: self.uri.rindex(path)] if path in self.uri else ""
-        info = fs.get_file_info(path)
-        found = [info] if info.is_file else [x for x in fs.get_file_info(pafs.FileSelector(path, recursive=True)) if x.is_file and x.base_name.endswith(".warc.gz") and not x.base_name.startswith((".", "_"))]
         out, size = [], self.most
-        for x in sorted(found, key=lambda x: x.path):
+        for x in sorted(archives(fs, path), key=lambda x: x.path):
             if size + x.size > self.most:
                 out.append([])
                 size = 0
@@ -238,14 +247,16 @@ class Written(WriterCommitMessage):
 class WarcWriter(DataSourceArrowWriter):
     """Rows with record_type, record_id, target_uri, refers_to and payload; they arrive as Arrow batches."""
 
-    def __init__(self, options):
+    def __init__(self, options, overwrite=False):
         self.uri = options["path"]
+        self.overwrite = overwrite
+        self.id = uuid.uuid4().hex  # of this write: tasks and the driver get copies of this object
 
     def write(self, iterator):
         fs, path = filesystem(self.uri)
         fs.create_dir(path, recursive=True)
         part = TaskContext.get().partitionId()
-        message = Written(f"{path}/.{uuid.uuid4().hex}.tmp", f"{path}/part-{part:06d}.warc.gz")
+        message = Written(f"{path}/.{self.id}-{uuid.uuid4().hex}.tmp", f"{path}/part-{part:06d}-{self.id}.warc.gz")
         some = False
         with fs.open_output_stream(message.temporary) as f:
             for b in iterator:
@@ -259,16 +270,24 @@ class WarcWriter(DataSourceArrowWriter):
         return message if some else Written("", "")
 
     def commit(self, messages):
-        fs, _ = filesystem(self.uri)
+        fs, path = filesystem(self.uri)
+        fs.create_dir(path, recursive=True)  # a write of no partitions has no task that made it
+        old = [x for x in archives(fs, path) if self.id not in x.base_name] if self.overwrite else []
         for m in messages:
             if m is not None and m.temporary:
                 fs.move(m.temporary, m.final)
+        for x in old:
+            fs.delete_file(x.path)
+        self._tidy(fs, path)
 
     def abort(self, messages):
-        fs, _ = filesystem(self.uri)
-        for m in messages:
-            if m is not None and m.temporary and fs.get_file_info(m.temporary).is_file:
-                fs.delete_file(m.temporary)
+        self._tidy(*filesystem(self.uri))
+
+    def _tidy(self, fs, path):
+        """Deletes the temporary files of this write."""
+        for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+            if x.is_file and x.base_name.startswith(f".{self.id}-"):
+                fs.delete_file(x.path)
 
 
 class WarcDataSource(DataSource):
@@ -283,7 +302,7 @@ class WarcDataSource(DataSource):
         return WarcReader(schema, self.options)
 
     def writer(self, schema, overwrite):
-        return WarcWriter(self.options)
+        return WarcWriter(self.options, overwrite)
 
 
 def register(spark: SparkSession) -> None:

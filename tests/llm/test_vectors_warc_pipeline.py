@@ -99,6 +99,41 @@ def test_warc_skips_payloads_and_reads_plain_members(tmp_path):
         list(warc.records(io.BytesIO(raw[0][:-2000]), len(raw[0]) - 2000, lambda f: True, True))
 
 
+def test_warc_appends_and_overwrites(spark, tmp_path):
+    """An append keeps the archives that are there, an overwrite replaces them, targets keep their white space, and nothing temporary stays."""
+    uri = f"file://{tmp_path}/w"
+    warc.register(spark)
+    some = lambda a, n: spark.range(a, a + n, 1, 2).selectExpr("'response' AS record_type", "concat('urn:x-page:', id) AS record_id", "concat('http://a b/', id) AS target_uri", "CAST(NULL AS STRING) AS refers_to", "encode(repeat('p', 9), 'UTF-8') AS payload")
+    ids = lambda: sorted(int(r[0].rsplit(":", 1)[1]) for r in warc.read_warc(spark, uri, "record_id string").collect())
+    some(0, 10).write.format("warc").mode("append").save(uri)
+    some(10, 10).write.format("warc").mode("append").save(uri)
+    assert ids() == list(range(20))
+    assert {r[0] for r in warc.read_warc(spark, uri, "target_uri string").collect()} == {f"http://a%20b/{i}" for i in range(20)}
+    some(40, 10).write.format("warc").mode("overwrite").save(uri)
+    assert ids() == list(range(40, 50))
+    left = [x.base_name for x in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(f"{tmp_path}/w"))]
+    assert len(left) == 2 and all(x.endswith(".warc.gz") for x in left)
+    some(0, 0).write.format("warc").mode("overwrite").save(uri)
+    assert ids() == []
+
+
+def test_warc_tasks_that_run_twice_leave_one_file(tmp_path, monkeypatch):
+    """A second attempt of a task, or one that died, leaves nothing beside the file of the attempt that won."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(warc, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": staticmethod(lambda: 3)}))}))
+    w = warc.WarcWriter({"path": str(tmp_path)})
+    batch = pa.RecordBatch.from_pylist([{"record_type": "response", "record_id": "a", "target_uri": "u", "refers_to": None, "payload": b"x"}], pa.schema({"record_type": pa.string(), "record_id": pa.string(), "target_uri": pa.string(), "refers_to": pa.string(), "payload": pa.binary()}))
+    first, second = w.write(iter([batch])), w.write(iter([batch]))
+    assert first.temporary != second.temporary
+    w.commit([second])
+    assert [x.name for x in tmp_path.iterdir()] == [second.final.rsplit("/", 1)[1]]
+    other = warc.WarcWriter({"path": str(tmp_path)})
+    other.write(iter([batch]))
+    other.abort([None])
+    assert [x.name for x in tmp_path.iterdir()] == [second.final.rsplit("/", 1)[1]]
+
+
 def test_warc_of_nothing(spark, tmp_path):
     uri = f"file://{tmp_path}/w"
     warc.register(spark)
