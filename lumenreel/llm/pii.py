@@ -12,7 +12,8 @@ Base patterns are written so that the regex engine never goes back over a run (p
 they match exactly what the plain ones in PLAIN do. Offsets are code points, summed from the pieces between matches.
 
 Cases: a null or empty text has no spans; rows that share an id are each answered, and repeated rows count as often in the
-votes; very long texts are searched whole, in time that grows as their length (runs are matched possessively); a candidate whose score is
+votes; very long texts are searched whole, in time that grows about as their length (runs are matched possessively, offsets are
+sums over blocks of matches, and overlaps are told from sorted spans); a candidate whose score is
 exactly 0 isn't added; empty tables give no rows and no labelers to train; extra columns are not read.
 """
 
@@ -65,21 +66,68 @@ FEATURES = (*VOTES, "size", "before")
 SETTLED = 1e-4
 
 SPAN = "struct<kind:string,start:int,end:int>"
+FOUND = "struct<kind:string,start:int,end:int,base:boolean,f:array<int>>"
+#: Rows of a block of _scan.
+BLOCK = 64
+
+
+def _let(value: Column, of) -> Column:
+    """of(value) with value computed once."""
+    return F.transform(F.array(value), of)[0]
+
+
+def _scan(rows: Column, start: Column, combine, measure: str, row) -> Column:
+    """row(state, x) for each x of an array, state being start combined with the measures of all that stand before x. Spark copies the state of an
+    aggregate at each step, so nothing gathers rows in one: blocks are summed up, and each row sums up its block's part and the blocks before."""
+
+    def upto(values: Column, n: Column, first: Column) -> Column:
+        return F.aggregate(F.slice(values, F.lit(1), n), first, combine)
+
+    def of_block(k: Column, before: Column) -> Column:
+        return _let(F.transform(k, lambda x: x[measure]), lambda ms: F.transform(k, lambda x, i: row(upto(ms, i, before), x)))
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda k: F.aggregate(F.transform(k, lambda x: x[measure]), start, combine))
+        return _let(sums, lambda t: F.flatten(F.transform(blocks, lambda k, b: _let(upto(t, b, start), lambda before: of_block(k, before)))))
+
+    def of_rows(all_rows: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.size(all_rows) / BLOCK).cast("int") - 1)), lambda b: F.slice(all_rows, b * BLOCK + 1, F.lit(BLOCK)))
+        return _let(blocks, of_blocks)
+
+    return _let(rows, of_rows)
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """array<struct<start, end, m, left, right>>: matches with the 24 characters before and the one after."""
     m, s = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
     rows = F.arrays_zip(m.alias("m"), F.slice(s, 1, F.size(m)).alias("l"), F.slice(s, 2, F.size(m)).alias("r"))
-    none = F.from_json(F.lit("[]"), "array<struct<start:int,end:int,m:string,left:string,right:string>>")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["pos"] + F.length(x["l"])
-        end = start + F.length(x["m"])
-        one = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"), F.right(x["l"], F.lit(24)).alias("left"), F.left(x["r"], F.lit(1)).alias("right"))
-        return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def measured(x: Column) -> Column:
+        free, own = F.length(x["l"]), F.length(x["m"])
+        return F.struct(x["m"].alias("m"), F.right(x["l"], F.lit(24)).alias("left"), F.left(x["r"], F.lit(1)).alias("right"), free.alias("free"), own.alias("own"), (free + own).alias("n"))
+
+    def placed(pos: Column, x: Column) -> Column:
+        return _let(pos + x["free"], lambda at: F.struct(at.alias("start"), (at + x["own"]).alias("end"), x["m"].alias("m"), x["left"].alias("left"), x["right"].alias("right")))
+
+    return _scan(F.transform(rows, measured), F.lit(0), lambda a, n: a + n, "n", placed)
+
+
+def _clear(strict: Column, broad: Column) -> Column:
+    """The broad candidates that overlap no strict one of their kind. Strict ones are disjoint, so of those that begin no later only the last can
+    overlap, and of the others only the first: a pass upwards and one downwards over the sorted spans tell."""
+    never = (1 << 31) - 1
+
+    def item(c: Column, base: bool) -> Column:
+        last, first = (c["end"], c["start"]) if base else (F.lit(-1), F.lit(never))
+        return F.struct(c["start"].alias("start"), F.lit(0 if base else 1).alias("turn"), c["end"].alias("end"), last.alias("last"), first.alias("first"), F.lit(True).alias("free"), c.alias("c"))
+
+    def flagged(x: Column, ok: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["turn"].alias("turn"), x["end"].alias("end"), x["last"].alias("last"), x["first"].alias("first"), (x["free"] & ok).alias("free"), x["c"].alias("c"))
 
-    return F.aggregate(rows, F.struct(F.lit(0).alias("pos"), none.alias("out")), add, lambda acc: acc["out"])
+    spans = F.array_sort(F.concat(F.transform(strict, lambda c: item(c, True)), F.transform(broad, lambda c: item(c, False))))
+    up = _scan(spans, F.lit(-1), lambda a, n: F.greatest(a, n), "last", lambda end, x: flagged(x, end <= x["start"]))
+    down = _scan(F.reverse(up), F.lit(never), lambda a, n: F.least(a, n), "first", lambda start, x: flagged(x, start >= x["end"]))
+    return F.transform(F.filter(F.reverse(down), lambda x: (x["turn"] == 1) & x["free"]), lambda x: x["c"])
 
 
 def _digits(m: Column) -> Column:
@@ -223,13 +271,14 @@ def detect(docs: DataFrame) -> DataFrame:
         each = F.transform(F.sequence(F.lit(1), F.lit(len(FEATURES) - 1)), lambda j: get(F.concat_ws("|", c["kind"], j.cast("string"), F.get(c["f"], j).cast("string"))))
         return F.aggregate(each, get(c["kind"]), lambda a, x: a + x)
 
-    base = F.filter("found", lambda c: c["base"])
-    clear = lambda c: ~F.exists(F.col("base"), lambda b: (b["kind"] == c["kind"]) & (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    added = F.filter("found", lambda c: ~c["base"] & clear(c) & (score(c) > 0))
     span = lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"))
     rank = F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (k, i)])
     order = lambda a: F.transform(F.array_sort(F.transform(a, lambda c: F.struct(rank[c["kind"]].alias("r"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind")))), span)
-    return found.select("doc_id", "found", base.alias("base")).select("doc_id", F.transform("base", span).alias("base"), order(F.concat("base", added)).alias("spans"))
+    of = lambda a, k: F.filter(a, lambda c: c["kind"] == k)
+    parts = found.select("doc_id", F.filter("found", lambda c: c["base"]).alias("base"), F.filter("found", lambda c: ~c["base"] & (score(c) > 0)).alias("accepted"))
+    clear = F.concat(*[_clear(of("base", k), of("accepted", k)) for k in KINDS])
+    added = F.when((F.size("accepted") == 0) | (F.size("base") == 0), F.col("accepted")).otherwise(clear)
+    return parts.select("doc_id", "base", added.alias("added")).select("doc_id", F.transform("base", span).alias("base"), order(F.concat("base", "added")).alias("spans"))
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,9 +4,11 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lumenreel.llm import langid, pii, toxicity
 
@@ -224,5 +226,50 @@ def test_query_digests(spark):
 
 
 def test_no_python_in_the_plan(spark):
-    plan = pii.candidates(docs(spark))._jdf.queryExecution().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for of in (pii.candidates, pii.detect):
+        plan = of(docs(spark))._jdf.queryExecution().toString()
+        assert not re.search("Python|Pandas|Arrow", plan), of.__name__
+
+
+def test_added_spans_against_all_pairs(spark):
+    """Of the accepted candidates those stay that overlap no base span of their kind, as a comparison of all pairs says; runs longer than a block too."""
+    rng = random.Random(5)
+    pieces = ["+1 212 555 0142", "212-555-0142", "+12125550142 212-555-0143", "jane (at) example dot com", "jane@example.com", "a@b.com [at] c [dot] de", "x", "4111111111111111", "4111.1111.1111.1111", "1.2.3.4", "1:2:3:4:5:6:7:8"]
+    data = [(i, " ".join(rng.choice(pieces) for _ in range(n)), None, None, 0, 0, 0) for i, n in enumerate([0, 1, 3, 20, 60, 400, 900, *[8] * 40])]
+    d = docs(spark, data)
+    found = {r["doc_id"]: r["found"] for r in pii.candidates(d).collect()}
+    got = {r["doc_id"]: r for r in pii.detect(d).collect()}
+    taken = 0
+    for i, r in got.items():
+        base, spans = {tuple(x) for x in r["base"]}, {tuple(x) for x in r["spans"]}
+        assert base == {(c["kind"], c["start"], c["end"]) for c in found[i] if c["base"]} and len(r["spans"]) == len(spans)
+        loose = {(c["kind"], c["start"], c["end"]) for c in found[i] if not c["base"]}
+        free = {c for c in loose if not any(b[0] == c[0] and b[1] < c[2] and c[1] < b[2] for b in base)}
+        assert spans - base <= free
+        taken += len(spans - base)
+    assert taken
+    everything = pii._clear(F.col("strict"), F.col("broad"))
+    kind = pii.FOUND
+    rows = []
+    for i in range(60):
+        at, strict = 0, []
+        for _ in range(rng.choice([0, 1, 5, 300])):
+            at += rng.randrange(0, 6)
+            strict.append(("k", at, at + rng.randrange(1, 5), True, [1]))
+            at = strict[-1][2]
+        broad = [("k", b, b + rng.randrange(1, 9), False, [0]) for b in sorted(rng.sample(range(1200), rng.choice([0, 1, 40, 600])))]
+        rows.append((i, strict, broad))
+    out = spark.createDataFrame(rows, f"i int, strict array<{kind}>, broad array<{kind}>").select("i", everything.alias("c")).collect()
+    assert len(out) == len(rows)
+    for r in out:
+        _, strict, broad = rows[r["i"]]
+        assert [tuple(c) for c in r["c"]] == [c for c in broad if not any(b[1] < c[2] and c[1] < b[2] for b in strict)]
+
+
+def test_many_matches_in_one_text(spark):
+    """A text of 200,000 matches takes time about as its length, and its spans are the plain patterns'."""
+    text = "jane.doe@example.com 10.20.30.40 " * 100_000
+    before = time.monotonic()
+    row = pii.detect(docs(spark, [(1, text, None, None, 0, 0, 0), (2, None, None, None, 0, 0, 0)])).where("doc_id = 1").first()
+    assert time.monotonic() - before < 60
+    assert [tuple(x) for x in row["base"]] == plain_base(text) and len(row["base"]) == 200_000
