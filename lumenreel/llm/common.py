@@ -66,6 +66,14 @@ def forget(*dfs: DataFrame) -> None:
             _remove(df.sparkSession, path)
 
 
+def own_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as make it none of df's columns (Spark doesn't tell upper from lower case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _bytes(kind: DataType, c: Column) -> Column:
     if isinstance(kind, (StringType, BinaryType)):
         return F.coalesce(F.octet_length(c), F.lit(0)).cast("long") + 16

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, forget, read, small_side, spanning
+from .common import components, cut, forget, own_name, read, small_side, spanning
 
 SHINGLE, SIMILARITY = 9, 0.8
 BANDS, ROWS = 14, 4
@@ -330,8 +330,9 @@ def _kept(text, gone):
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs with only the first line of each class; every row and column stays."""
-    gone = small_side(cut(removals(docs).select(F.col("doc_id").alias("_gone_id"), F.col("gone").alias("_gone")), "line-gone"))
-    return docs.join(gone, docs.doc_id == gone._gone_id, "left").withColumn("text", _kept(F.col("text"), F.col("_gone"))).select(docs.columns)
+    of, marks = own_name(docs, "_gone_id"), own_name(docs, "_gone")
+    gone = small_side(cut(removals(docs).select(F.col("doc_id").alias(of), F.col("gone").alias(marks)), "line-gone"))
+    return docs.join(gone, F.col("doc_id") == F.col(of), "left").withColumn("text", _kept(F.col("text"), F.col(marks))).select(docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
 from . import linededup
-from .common import components, cut, forest, forget, read, small_side, spanning
+from .common import components, cut, forest, forget, own_name, read, small_side, spanning
 
 WORDS, SEED, BITS = 3, 42, 3
 LEAF, CHUNK = 16, 2048
@@ -292,16 +292,16 @@ def keep_one(docs: DataFrame, n: int = WORDS, least: float | None = None) -> Dat
     if found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
         gone = cut(found.where("doc_id != component_id").select("doc_id").distinct(), "simhash-gone")
         return docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
-    at = docs.columns.index("text")
+    at, own = docs.columns.index("text"), own_name(docs, "_fp")
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t.as_py(), n) for t in b.column(at)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp)], names=[*b.schema.names, own])
 
-    stay = cut(found.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("fp").alias("_fp")).select("doc_id", "_fp"), "simhash-stay")
-    rows = docs.where("doc_id is not null").mapInArrow(marked, StructType([*docs.schema.fields, StructField("_fp", LongType())]))
-    kept = rows.join(stay, ["doc_id", "_fp"], "left_semi").dropDuplicates(["doc_id", "_fp"]).select(docs.columns)
+    stay = cut(found.where("doc_id = component_id").groupBy("doc_id", "class").agg(F.min("fp").alias(own)).select("doc_id", own), "simhash-stay")
+    rows = docs.where("doc_id is not null").mapInArrow(marked, StructType([*docs.schema.fields, StructField(own, LongType())]))
+    kept = rows.join(stay, ["doc_id", own], "left_semi").dropDuplicates(["doc_id", own]).select(docs.columns)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -171,7 +171,7 @@ def test_pipeline_stages(spark):
 
 def test_pipeline_stages_take_odd_rows(spark, tmp_path):
     """Nulls in any column, empty and very long texts, repeated rows, shared ids and clashing names."""
-    clash = ["key", "node", "fp", "cell", "root", "class", "component_id", "gone", "of", "_id", "marks", "n", "held_out", "score", "first", "lo", "norm"]
+    clash = ["key", "node", "fp", "cell", "root", "class", "component_id", "gone", "of", "_id", "marks", "n", "held_out", "score", "first", "lo", "norm", "_gone", "_gone_id", "_gone_id_", "_FP"]
     base = spark.read.parquet(f"{D}/documents.parquet")
     bench = spark.read.parquet(f"{D}/benchmark.parquet").first()["text"]
     some = base.limit(20).collect()
