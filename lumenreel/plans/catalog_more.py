@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions import bpe
 from ..functions import numbers as N
 from ..functions import paths as P
 from ..functions import text as T
@@ -644,3 +645,14 @@ def settings(s, d):
     e = A.table(s, d, "events").select("event_id", F.col("event_type").alias("name"), F.col("value").cast("string").alias("value"))
     last = e.groupBy("name").agg(F.max_by("value", "event_id").alias("value"))
     return state.upsert(s.createDataFrame([("click", "before"), ("view", "before")], "name string, value string"), last, "name")
+
+
+@_query(None)
+def text_token_ids(s, d):
+    """Every document as a text encoder's ids, by the merges of a public vocabulary; no SQL merges pairs."""
+    import public_tokenizers
+
+    merges = bpe.read_merges(public_tokenizers.path("word_bpe_49k.json"))
+    ids = A.table(s, d, "documents").select("doc_id", bpe.bpe_ids(F.col("text"), merges).alias("ids"))
+    end = F.lit(bpe.Encoder(merges).id[bpe.END])  # what comes behind the last end is padding; a zero before it is a letter's id
+    return ids.select("doc_id", (F.size("ids") + 1 - F.array_position(F.reverse("ids"), end)).cast("long").alias("n"), "ids")
