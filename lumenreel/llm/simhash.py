@@ -3,7 +3,7 @@
 Fingerprints (64 bits over word shingles) are reduced to distinct values first, so copies cost nothing. The index is
 partitioned by shared bits: 5 blocks of 12 or 13 bits; two fingerprints that differ in at most 3 bits agree on at
 least 2 blocks, so each of the 10 pairs of blocks gives a table keyed by those bits. In a key's group fingerprints are
-sorted by Gray rank; runs of LEAF neighbours are leaves, and every upper node keeps the bits its whole subtree shares
+sorted by Gray rank; runs of neighbours (two, in large groups LEAF) are leaves, and every upper node keeps the bits its whole subtree shares
 (mask and pattern). Pairs of nodes are searched from the root: the shared bits of both that differ are the differences
 accumulated so far, and a pair over the limit is pruned with everything below. A group of over CHUNK fingerprints is
 dealt to cells of two chunks each, so no task holds more than two chunks of a group; a cell returns a spanning forest
@@ -33,7 +33,8 @@ from . import linededup
 from .common import components, cut, forest, forget, own_name, read, small_side, spanning
 
 WORDS, SEED, BITS = 3, 42, 3
-LEAF, CHUNK = 16, 2048
+#: Groups of up to SMALL fingerprints have leaves of two and are searched together; larger ones have leaves of LEAF, one tree at a time.
+LEAF, SMALL, CHUNK = 16, 64, 2048
 _BLOCKS = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -91,36 +92,68 @@ def gray_rank(c: Column) -> Column:
     return reduce(lambda x, k: x.bitwiseXOR(F.shiftrightunsigned(x, k)), (1, 2, 4, 8, 16, 32), c)
 
 
-def group_links(fp: np.ndarray, limit: int = BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Links (i, j) within one group of Gray-ordered fingerprints (uint64), by search of a hierarchical index."""
-    n = len(fp)
-    leaves = -(-n // leaf)
-    padded = np.concatenate([fp, np.full(leaves * leaf - n, fp[-1], np.uint64)]).reshape(leaves, leaf)
-    ones, zeros = np.bitwise_and.reduce(padded, 1), ~np.bitwise_or.reduce(padded, 1)
+def _within(pattern: np.ndarray, mask: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> np.ndarray:
+    """Whether the bits that node x's whole subtree shares differ from those of node y in at most limit places."""
+    return np.bitwise_count((pattern[x] ^ pattern[y]) & mask[x] & mask[y]) <= limit
+
+
+def _rows(offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, place in its group) of every row of groups that lie one behind the other."""
+    group = np.repeat(np.arange(len(counts)), counts)
+    return group, np.arange(len(group)) - offsets[group]
+
+
+def group_links(fp: np.ndarray, starts: np.ndarray | None = None, limit: int = BITS, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Links (i, j), i before j, within groups of Gray-ordered fingerprints (uint64); starts are the groups' first rows (none: one group).
+
+    Every group has a tree of its own, and the trees of all groups are built and searched level by level together."""
+    starts = np.zeros(1, np.int64) if starts is None else np.asarray(starts, np.int64)
+    size = np.diff(np.append(starts, len(fp)))
+    count = -(-size // leaf)
+    offset = np.cumsum(count) - count
+    group, place = _rows(offset, count)
+    at = (starts[group] + place * leaf)[:, None] + np.arange(leaf)
+    end = (starts + size)[group][:, None]
+    real, members = at < end, fp[np.minimum(at, end - 1)]
+    ones, zeros = np.bitwise_and.reduce(members, 1), ~np.bitwise_or.reduce(members, 1)
     levels = [(ones, ones | zeros)]  # pattern of the shared bits, mask of the shared bits
-    while len(levels[-1][0]) > 1:
-        pat, mask = (np.concatenate([x, x[-1:]]) if len(x) % 2 else x for x in levels[-1])
-        m = mask[::2] & mask[1::2] & ~(pat[::2] ^ pat[1::2])
-        levels.append((pat[::2] & m, m))
-    x = y = np.zeros(1, np.int64)
-    for k in range(len(levels) - 1, -1, -1):
-        pat, mask = levels[k]
-        near = np.bitwise_count((pat[x] ^ pat[y]) & mask[x] & mask[y]) <= limit
+    roots, children = [offset[count == 1]], [None]
+    while (more := count > 1).any():  # groups whose root stands take no part any more
+        offset, count = offset[more], count[more]
+        upper = -(-count // 2)
+        above = np.cumsum(upper) - upper
+        group, place = _rows(above, upper)
+        left = offset[group] + 2 * place
+        right = np.minimum(left + 1, (offset + count - 1)[group])
+        pattern, mask = levels[-1]
+        both = mask[left] & mask[right] & ~(pattern[left] ^ pattern[right])
+        levels.append((pattern[left] & both, both))
+        children.append((left, right))
+        offset, count = above, upper
+        roots.append(offset[count == 1])
+    x = y = np.zeros(0, np.int64)
+    for (pattern, mask), root, below in zip(levels[::-1], roots[::-1], children[::-1], strict=True):
+        x, y = np.concatenate([x, root]), np.concatenate([y, root])
+        near = _within(pattern, mask, x, y, limit)
         x, y = x[near], y[near]
-        if k:
-            x, y = np.concatenate([2 * x, 2 * x, 2 * x + 1, 2 * x + 1]), np.concatenate([2 * y, 2 * y + 1, 2 * y, 2 * y + 1])
-            ok = (x <= y) & (y < len(levels[k - 1][0]))
-            x, y = x[ok], y[ok]
-    out_a, out_b = [], []
-    for at in range(0, len(x), 4096):
-        p, q = x[at : at + 4096], y[at : at + 4096]
-        c, i, j = np.nonzero(np.bitwise_count(padded[p][:, :, None] ^ padded[q][:, None, :]) <= limit)
-        i, j = p[c] * leaf + i, q[c] * leaf + j
-        ok = (i < j) & (j < n)
+        if below is not None:
+            left, right = below
+            x2, y2 = right[x] > left[x], right[y] > left[y]
+            turned = x2 & (x != y)  # a node met with itself needs its two children in one order only
+            x, y = (
+                np.concatenate([left[x], left[x[y2]], right[x[turned]], right[x[x2 & y2]]]),
+                np.concatenate([left[y], right[y[y2]], left[y[turned]], right[y[x2 & y2]]]),
+            )
+    out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max((1 << 20) // leaf**2, 1)
+    for k in range(0, len(x), step):
+        p, q = x[k : k + step], y[k : k + step]
+        c, i, j = np.nonzero((np.bitwise_count(members[p][:, :, None] ^ members[q][:, None, :]) <= limit) & real[p][:, :, None] & real[q][:, None, :])
+        i, j = at[p[c], i], at[q[c], j]
+        ok = i < j
         out_a.append(i[ok])
         out_b.append(j[ok])
-    none = np.zeros(0, np.int64)
-    return np.concatenate([none, *out_a]), np.concatenate([none, *out_b])
+    return np.concatenate(out_a), np.concatenate(out_b)
 
 
 def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,17 +162,12 @@ def _tree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def of(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         edge = np.flatnonzero(cell[1:] != cell[:-1]) + 1
         starts, ends = np.concatenate([[0], edge]), np.concatenate([edge, [len(cell)]])
-        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        group = np.repeat(np.arange(len(starts)), ends - starts)
-        tiny = (ends - starts <= LEAF)[group]
-        for d in range(1, LEAF):  # a group of one leaf: its members side by side, for all such groups at once
-            i = np.flatnonzero((group[d:] == group[:-d]) & tiny[d:])
-            if not len(i):
-                break
-            i = i[np.bitwise_count(fp[i] ^ fp[i + d]) <= BITS]
-            a.append(i)
-            b.append(i + d)
-        for s, e in zip(starts[ends - starts > LEAF], ends[ends - starts > LEAF], strict=True):
+        size = ends - starts
+        few = np.repeat((size > 1) & (size <= SMALL), size)
+        at = np.flatnonzero(few)
+        i, j = group_links(fp[at], np.flatnonzero(np.diff(cell[at], prepend=cell[at][:1] - 1)), leaf=2)
+        a, b = [at[i]], [at[j]]
+        for s, e in zip(starts[size > SMALL], ends[size > SMALL], strict=True):
             i, j = group_links(fp[s:e])
             a.append(i + s)
             b.append(j + s)

@@ -287,6 +287,63 @@ def test_hamming_index_is_exact(spark):
     assert {(int(i), int(j)) for i, j in zip(a, b, strict=True)} == {(i, j) for j in range(len(fp)) for i in range(j) if (gray[i] ^ gray[j]).bit_count() <= 3}
 
 
+def gray(x):
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x ^ (x >> np.uint64(k))
+    return x
+
+
+@pytest.mark.parametrize("leaf", [1, 2, 3, 16])
+def test_trees_of_many_groups(leaf):
+    """Groups of any size searched together give each its own links, near copies or not."""
+    rng = np.random.default_rng(leaf)
+    parts = []
+    for n in [1, 2, 3, 1, 64, 65, *rng.integers(1, 90, 30).tolist(), 300]:
+        base = rng.integers(0, 2**63, 1 + n // 4, dtype=np.uint64)
+        x = np.unique(np.array([int(rng.choice(base)) ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 5), replace=False)) for _ in range(n)], np.uint64))
+        parts.append(x[np.argsort(gray(x), kind="stable")])
+    fp, starts = np.concatenate(parts), np.cumsum([0] + [len(x) for x in parts[:-1]])
+    want = {(s + i, s + j) for s, x in zip(starts.tolist(), parts, strict=True) for j in range(len(x)) for i in range(j) if (int(x[i]) ^ int(x[j])).bit_count() <= 3}
+    a, b = simhash.group_links(fp, starts, leaf=leaf)
+    assert len(a) == len(want) and set(zip(a.tolist(), b.tolist(), strict=True)) == want
+    none = simhash.group_links(fp[:0], starts[:0], leaf=leaf)
+    assert len(none[0]) == len(none[1]) == 0
+
+
+def test_index_prunes_and_finds_all_links(spark, monkeypatch):
+    """Over the fingerprints of sf0.1: every link comes out of a tree, and pairs of nodes are pruned above the leaves."""
+    import pyarrow as pa
+
+    path = "/root/testdata/sf0.1/documents.parquet"
+    fp = np.array([r[0] for r in simhash.fingerprints(spark.read.parquet(path)).select("fp").distinct().collect()], np.int64).view(np.uint64)
+    fp = fp[np.argsort(gray(fp), kind="stable")]
+    seen, real = [0, 0], simhash._within
+
+    def counted(pattern, mask, x, y, limit):
+        near = real(pattern, mask, x, y, limit)
+        seen[0] += int((x != y).sum())
+        seen[1] += int((~near).sum())
+        return near
+
+    monkeypatch.setattr(simhash, "_within", counted)
+    got, want = set(), set()
+    for m in simhash.MASKS:
+        key = (fp & np.uint64(m % 2**64)).view(np.int64)
+        order = np.argsort(key, kind="stable")
+        batch = pa.RecordBatch.from_arrays([pa.array(key[order]), pa.array(fp[order].view(np.int64))], names=["cell", "fp"])
+        for b in simhash._tree_links(iter([batch])):
+            got |= {frozenset(x) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
+    for i in range(len(fp)):
+        want |= {frozenset((int(fp[i : i + 1].view(np.int64)[0]), int(fp[j : j + 1].view(np.int64)[0]))) for j in np.flatnonzero(np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= 3) + i + 1}
+    a, b = Sets(), Sets()
+    for x, y in map(tuple, got):
+        a.join(x, y)
+    for x, y in map(tuple, want):
+        b.join(x, y)
+    assert want and {x: a.find(x) for p in want for x in p} == {x: b.find(x) for p in want for x in p} and not {x for p in got for x in p} - {x for p in want for x in p}
+    assert 0 < seen[1] <= seen[0], seen
+
+
 def test_gray_rank(spark):
     got = spark.range(64).select(simhash.gray_rank(F.col("id").bitwiseXOR(F.shiftrightunsigned("id", 1))).alias("r"), "id").where("r != id")
     assert got.count() == 0
