@@ -1,7 +1,7 @@
 """Timeline layout and marker exports. Positions are whole frames of one rate (num/den seconds a frame); seconds are derived.
 
 A timeline is one ordered sequence; its running sum and its numbers come from ranges of the order that are summed on their own (in_order). An
-export's text is one value, which one task puts together.
+export's text is one value: its lines are joined in parts, side by side, and one task joins the parts (one_text).
 """
 
 from __future__ import annotations
@@ -15,6 +15,9 @@ from ..functions import text as T
 from ..params import Energy, Timeline
 from ..storage import in_order
 
+#: Lines of an export that are joined at a time.
+PART = 1 << 14
+
 
 def timeline_rate(rates: DataFrame, p: Timeline = Timeline()) -> DataFrame:
     """rates(num, den, clips, first_path) -> one row (num, den): the fastest rate of the batch that all others divide, else the slowest standard
@@ -91,12 +94,25 @@ def edl_rows(lay: DataFrame, markers: DataFrame, p: Timeline = Timeline()) -> Da
     return rows.select("n", "path", "label", N.timecode(N.frame(at, num, den), num, den).alias("tc_in"), N.timecode(N.frame(at + spf, num, den), num, den).alias("tc_out"), color(F.col("label"), p).alias("color"))
 
 
+def text_parts(lines: DataFrame, part: int = PART) -> DataFrame:
+    """lines(n, line), numbered from 1 without repeats -> (part, text): so many lines each, in order, with a line break between two."""
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]), "\n")
+    return lines.groupBy(F.floor((F.col("n") - 1) / part).alias("part")).agg(text.alias("text"))
+
+
+def one_text(parts: DataFrame) -> DataFrame:
+    """parts(part, text) -> (text): one row, the parts in order with a line break between two; no row without parts. The row is as long as its text, and no
+    step after this one should copy it: a string of Spark holds 2 GB at most."""
+    # concat_ws measures before it copies, array_join's buffer grows by doubling
+    text = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]))
+    return parts.groupBy(F.lit(0).alias("_all")).agg(text.alias("text")).select("text")
+
+
 def edl(lay: DataFrame, markers: DataFrame, title: str = "Markers") -> DataFrame:
     """(text): the edit decision list; no row if there is no marker."""
     line = F.format_string("%03d  001      V     C        %s %s %s %s\n |C:ResolveColor%s |M:%s |D:1\n", "n", "tc_in", "tc_out", "tc_in", "tc_out", "color", T.edl_name(F.col("label")))
-    rows = edl_rows(lay, markers).select("n", line.alias("line"))
-    body = rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda x: x["line"]).alias("lines")).where(F.size("lines") > 0)
-    return body.select(F.concat(F.lit(f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n"), F.array_join("lines", "\n")).alias("text"))
+    head = F.lit(f"TITLE: {title}\nFCM: NON-DROP FRAME\n\n")
+    return one_text(text_parts(edl_rows(lay, markers).select("n", F.when(F.col("n") == 1, F.concat(head, line)).otherwise(line).alias("line"))))
 
 
 def fcpxml_times(lay: DataFrame, starts: DataFrame) -> DataFrame:
@@ -119,9 +135,15 @@ def fcpxml(lay: DataFrame, markers: DataFrame, starts: DataFrame, size: tuple[in
     dur, off, start = N.rational(F.col("dur_frames"), num, den), N.rational(F.col("offset_frames"), num, den), frame_at(F.col("start_sec"))
     asset = F.concat(F.lit('    <asset id="a'), F.col("i").cast("string"), F.lit('" name="'), F.col("name"), F.lit('" start="'), start, F.lit('" duration="'), dur, F.lit('" hasVideo="1" hasAudio="1" format="r0"><media-rep kind="original-media" src="'), P.file_url(F.col("path")), F.lit('"/></asset>'))
     clip = F.concat(F.lit('      <asset-clip ref="a'), F.col("i").cast("string"), F.lit('" name="'), F.col("name"), F.lit('" offset="'), off, F.lit('" start="'), start, F.lit('" duration="'), dur, F.lit('" format="r0">'), inner, F.lit("\n      </asset-clip>"))
-    lines = rows.select("i", asset.alias("asset"), clip.alias("clip"), "num", "den", "dur_frames").agg(F.array_sort(F.collect_list(F.struct("i", "asset", "clip"))).alias("x"), F.first("num").alias("num"), F.first("den").alias("den"), F.sum("dur_frames").alias("total")).where(F.size("x") > 0)
-    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n<fcpxml version="1.8">\n  <resources>\n    <format id="r0" name="FFVideoFormat" frameDuration="'), tick, F.lit(f'" width="{size[0]}" height="{size[1]}" colorSpace="1-1-1 (Rec. 709)"/>\n'))
-    return lines.select(F.concat(head, F.array_join(F.transform("x", lambda x: x["asset"]), "\n"), F.lit(f'\n  </resources>\n  <library>\n    <event name="{title}">\n      <project name="{title}">\n        <sequence format="r0" duration="'), N.rational(F.col("total"), num, den), F.lit('" tcStart="0s" tcFormat="NDF">\n    <spine>\n'), F.array_join(F.transform("x", lambda x: x["clip"]), "\n"), F.lit("\n    </spine>\n        </sequence>\n      </project>\n    </event>\n  </library>\n</fcpxml>\n")).alias("text"))
+    whole = rows.agg(F.first("num").alias("num"), F.first("den").alias("den"), F.sum("dur_frames").alias("total"), F.count("*").alias("c")).where("c > 0")
+    head = F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE fcpxml>\n<fcpxml version="1.8">\n  <resources>\n    <format id="r0" name="FFVideoFormat" frameDuration="'), tick, F.lit(f'" width="{size[0]}" height="{size[1]}" colorSpace="1-1-1 (Rec. 709)"/>'))
+    middle = F.concat(F.lit(f'  </resources>\n  <library>\n    <event name="{title}">\n      <project name="{title}">\n        <sequence format="r0" duration="'), N.rational(F.col("total"), num, den), F.lit('" tcStart="0s" tcFormat="NDF">\n    <spine>'))
+    tail = F.lit("    </spine>\n        </sequence>\n      </project>\n    </event>\n  </library>\n</fcpxml>\n")
+    at = lambda i, part, text: F.struct(F.struct(F.lit(i).alias("section"), part.alias("part")).alias("part"), text.alias("text"))
+    frame = whole.select(F.explode(F.array(*[at(i, F.lit(0).cast("bigint"), text) for i, text in ((0, head), (2, middle), (4, tail))])).alias("x"))
+    for i, line in ((1, asset), (3, clip)):
+        frame = frame.unionByName(text_parts(rows.select(F.col("i").alias("n"), line.alias("line"))).select(at(i, F.col("part"), F.col("text")).alias("x")))
+    return one_text(frame.select("x.*"))
 
 
 def marker_table(markers: DataFrame) -> DataFrame:
@@ -130,8 +152,11 @@ def marker_table(markers: DataFrame) -> DataFrame:
     one = clean_markers(markers).join(last, "path")
     item = F.concat(F.lit("{t="), F.format_string("%.3f", "t"), F.lit(", name="), T.lua(F.col("label")), F.lit(', color="'), color(F.col("label")), F.lit('"}'))
     per = one.groupBy("file").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "label", item.alias("s")))), lambda x: x["s"]), ", ").alias("s"))
-    rows = per.agg(F.array_sort(F.collect_list(F.struct("file", F.concat(F.lit("  ["), T.lua(F.col("file")), F.lit("] = {"), F.col("s"), F.lit("},")).alias("line")))).alias("x"))
-    return rows.where(F.size("x") > 0).select(F.concat(F.lit("local markers = {\n"), F.array_join(F.transform("x", lambda x: x["line"]), "\n"), F.lit("\n}\n")).alias("text"))
+    rows = in_order(per, ["file"], name="table")
+    line = F.concat(F.lit("  ["), T.lua(F.col("file")), F.lit("] = {"), F.col("s"), F.lit("},"))
+    last_line = F.lit(1 << 62).alias("part"), F.lit("}\n").alias("text")
+    lines = rows.select(F.col("_n").alias("n"), F.when(F.col("_n") == 1, F.concat(F.lit("local markers = {\n"), line)).otherwise(line).alias("line"))
+    return one_text(text_parts(lines).union(rows.where("_n = 1").select(*last_line)))
 
 
 def same_files(clips: DataFrame) -> DataFrame:
