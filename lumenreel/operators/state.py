@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions import paths as P
 from ..functions import text as T
+from ..storage import ONE_TASK, stored
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str, keep: list[str] = ()) -> DataFrame:
@@ -120,8 +121,19 @@ def expired(names: DataFrame, keep: int = 3) -> DataFrame:
     """names(name) like prefix-stamp -> those past the newest `keep` of each prefix; a stamp that is no number is oldest."""
     stamp = F.coalesce(F.element_at(F.split("name", "-"), -1).try_cast("bigint"), F.lit(0))
     rows = names.select("name", F.regexp_replace("name", "-[^-]*$", "").alias("prefix"), stamp.alias("stamp"))
+    if keep < 1:
+        return rows
+    # only the newest of each task are shuffled; the last name kept tells for any other, on its own, whether it is past it
     r = F.row_number().over(Window.partitionBy("prefix").orderBy(F.desc("stamp"), F.desc("name")))
-    return rows.withColumn("_r", r).where(F.col("_r") > keep).select("name", "prefix", "stamp")
+    newest = rows.withColumn("_r", r).where(F.col("_r") <= keep).groupBy("prefix", "stamp", "name").agg(F.count("*").alias("_c"))
+    last = newest.groupBy("prefix").agg(F.sum("_c").alias("_n"), F.min(F.struct("stamp", "name", "_c")).alias("_l")).where(F.col("_n") == keep)
+    last = stored(last.select(F.col("prefix").alias("_p"), "_l.*").toDF("_p", "_s", "_m", "_c"), "expired")
+    told = rows.join(F.broadcast(last) if last.count() <= ONE_TASK else last, F.col("prefix").eqNullSafe(F.col("_p")))
+    older = told.where((F.col("stamp") < F.col("_s")) | ((F.col("stamp") == F.col("_s")) & (F.col("name") < F.col("_m"))))
+    # a name that is there more often than is kept of it
+    again = told.where(F.col("name").eqNullSafe(F.col("_m"))).groupBy("name", "prefix", "stamp", "_c").agg(F.count("*").alias("_n")).where("_n > _c")
+    again = again.select("name", "prefix", "stamp", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_n") - F.col("_c"))).alias("_i"))
+    return older.select("name", "prefix", "stamp").unionByName(again.drop("_i"))
 
 
 class SnapshotStore:
