@@ -1,10 +1,10 @@
 """Density clustering of any number of points: HDBSCAN with leaf selection and a merge distance, without a task that holds them all.
 
 1. Points are dealt to groups of at most about GROUP; each pair of groups is a cell. A cell's distance products, SIDE x SIDE at a time, give every point its nearest
-   distances in the other group, whose merge is its core distance.
-2. A cell returns the edges of a minimum spanning tree of its points under mutual reachability that run between its two groups. The union over all cells holds
-   the spanning tree of all points (Jin et al. 2015), a few edges a point and group, which Boruvka rounds over stored tables then reduce to the tree. Edges
-   are ordered by (weight, ids), so the tree is unique.
+   distances in the other group, whose merge is its core distance. Cells are dealt to tasks by number, not put together by their bytes: their work is the square of them.
+2. A cell returns a minimum spanning tree of the edges between its two groups under mutual reachability, put together from the trees of its SIDE x SIDE products. An edge
+   of the spanning tree of all points is in the tree of any set of edges that it belongs to, so the union over all cells holds that tree (Jin et al. 2015), an edge or
+   two a point and group, which Boruvka rounds over stored tables then reduce to it. Edges are ordered by (weight, ids), so the tree is unique.
 3. Tree edges are numbered in that order and merged in batches of BATCH: within a batch, connected parts are merged side by side, and a part's components keep a
    size, a cluster, and the members while they are fewer than a cluster needs. Two clusters that meet are children of a new one; points that meet a
    cluster belong to it.
@@ -15,6 +15,7 @@ After Campello, Moulavi and Sander (2013), Malzer and Baum (2020).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
@@ -31,17 +32,40 @@ GROUP, SIDE, BATCH = 16_384, 2_048, 1 << 18
 SAME = 1e-12
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Products round differently in blocks of other shapes, so squares are rounded to 32 bits: what is equal stays equal everywhere."""
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances. Products round differently in blocks of other shapes, so squares are rounded to 32 bits: what is equal stays equal everywhere.
+    Holds two matrices of the result's size."""
     lengths = (a * a).sum(1)[:, None] + (b * b).sum(1)
-    square = lengths - 2 * a @ b.T
-    square[square <= SAME * lengths] = 0
+    square = 2 * a @ b.T
+    np.subtract(lengths, square, out=square)
+    lengths *= SAME
+    square[square <= lengths] = 0
     bits = square.view(np.int64)
     bits += 1 << 20
     bits &= -1 << 21
+    return square
+
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    square = squares(a, b)
     return np.sqrt(square, out=square)
 
 
+def least(d: np.ndarray, k: int) -> np.ndarray:
+    """The k least of each row, or all of a shorter one, in order."""
+    k = min(k, d.shape[1])
+    if k > 4:
+        return np.sort(np.partition(d, k - 1, axis=1)[:, :k], axis=1)
+    rows, taken = np.arange(len(d)), []
+    for _ in range(k):
+        j = d.argmin(1)
+        taken.append((j, d[rows, j]))
+        d[rows, j] = np.inf
+    for j, v in taken:
+        d[rows, j] = v
+    return np.stack([v for _, v in taken], 1)
+
+
 def tree(n: int, row, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(i, j, weight) of the minimum spanning tree (Prim) of n points; row(i) gives the weights from point i. Of equal weights the edge with the
     lesser (smaller id, larger id) counts as lighter."""
@@ -62,6 +86,33 @@ def tree(n: int, row, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return i, j, w
 
 
+def tree_between(d: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, weight), i a row and j a column of d: the minimum spanning tree of the edges between two sides with those ids, in the same order of edges."""
+    m, n = d.shape
+    ids, sides = np.concatenate([left, right]), (slice(0, m), slice(m, m + n))
+    rows = d, np.ascontiguousarray(d.T)
+    best, source = np.full(m + n, np.inf), np.zeros(m + n, np.int64)
+    bound = best.copy()  # as best, but no weight is within that of a node taken
+    low, high = np.zeros(m + n, np.int64), np.zeros(m + n, np.int64)
+    i, j, w, at = np.zeros(m + n - 1, np.int64), np.zeros(m + n - 1, np.int64), np.zeros(m + n - 1), 0
+    for k in range(m + n - 1):
+        bound[at], best[at] = -np.inf, np.inf
+        own = at >= m
+        to, row = sides[not own], rows[own][at - m if own else at]
+        c = np.flatnonzero(row <= bound[to])
+        if len(c):
+            v, c = row[c], c + to.start
+            a, b = np.minimum(ids[at], ids[c]), np.maximum(ids[at], ids[c])
+            wins = (v < best[c]) | (a < low[c]) | ((a == low[c]) & (b < high[c]))
+            c = c[wins]
+            best[c] = bound[c] = v[wins]
+            source[c], low[c], high[c] = at, a[wins], b[wins]
+        ties = np.flatnonzero(best == best.min())
+        at = int(ties[0] if len(ties) == 1 else ties[np.lexsort((high[ties], low[ties]))[0]])
+        i[k], j[k], w[k] = source[at], at, best[at]
+    return np.minimum(i, j), np.maximum(i, j) - m, w
+
+
 def kruskal(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
     """Places of the edges of the minimum spanning forest, in order."""
     top: dict[int, int] = {}
@@ -87,9 +138,17 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 def _cells(points: DataFrame, groups: int) -> DataFrame:
-    """Each point in every cell of its group."""
+    """Each point in every cell of its group. Cells are small in bytes and long in work, so they are dealt to twice as many tasks as there are cells, whose number holds."""
     rows = points.withColumn("_o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    return rows.withColumn("_a", F.least("_g", "_o")).withColumn("_b", F.greatest("_g", "_o")).drop("_o").groupBy("_a", "_b")
+    return rows.withColumn("_a", F.least("_g", "_o")).withColumn("_b", F.greatest("_g", "_o")).drop("_o").repartition(groups * (groups + 1), "_a", "_b").groupBy("_a", "_b")
+
+
+def _products(p: np.ndarray, q: np.ndarray, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """The products of a cell's two groups: places of both sides, and whether they are one; of a group with itself each pair once."""
+    sides = [[s[i : i + SIDE] for i in range(0, len(s), SIDE)] for s in (p, q)]
+    for m, own in enumerate(sides[0]):
+        for n in range(m if same else 0, len(sides[1])):
+            yield own, sides[1][n], same and m == n
 
 
 def core_distances(points: DataFrame, groups: int, k: int) -> DataFrame:
@@ -99,18 +158,25 @@ def core_distances(points: DataFrame, groups: int, k: int) -> DataFrame:
         a, b = (x.as_py() for x in key)
         ids, g, x = t.column("id").to_numpy(), t.column("_g").to_numpy(), _matrix(t.column("v"))
         p, q = np.flatnonzero(g == a), np.flatnonzero(g == b)
+        best = np.full((len(x), k), np.inf)
+
+        def take(at: np.ndarray, square: np.ndarray) -> None:
+            best[at] = np.sort(np.concatenate([best[at], least(square, k)], 1), axis=1)[:, :k]
+
+        for own, other, same in _products(p, q, a == b):
+            square = squares(x[own], x[other])
+            take(own, square)
+            if not same:
+                take(other, np.ascontiguousarray(square.T))
         out_ids, out, sizes = [], [], []
         for rows, others in [(p, q)] if a == b else [(p, q), (q, p)]:
             n = min(k, len(others))
-            for i in range(0, len(rows) if n else 0, SIDE // 2):
-                own = rows[i : i + SIDE // 2]
-                d = distances(x[own], x[others])
-                out_ids.append(ids[own])
-                out.append(np.partition(d, n - 1, axis=1)[:, :n].ravel())
-                sizes.append(np.full(len(own), n))
+            out_ids.append(ids[rows])
+            out.append(np.sqrt(best[rows, :n]).ravel())
+            sizes.append(np.full(len(rows), n))
         offsets = np.concatenate([[0], *sizes]).cumsum().astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0)))
-        return pa.table({"id": pa.array(np.concatenate(out_ids) if out_ids else np.zeros(0, np.int64)), "near": lists})
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+        return pa.table({"id": pa.array(np.concatenate(out_ids)), "near": lists})
 
     found = _cells(points, groups).applyInArrow(near, "id long, near array<double>")
     found = found.groupBy("id").agg(F.slice(F.sort_array(F.flatten(F.collect_list("near"))), 1, k).alias("_n"))
@@ -123,19 +189,14 @@ def cell_edges(points: DataFrame, groups: int) -> DataFrame:
     def edges(key: tuple, t: pa.Table) -> pa.Table:
         a, b = (x.as_py() for x in key)
         ids, g, core, x = t.column("id").to_numpy(), t.column("_g").to_numpy(), t.column("core").to_numpy(), _matrix(t.column("v"))
-        sides = [[s[i : i + SIDE] for i in range(0, len(s), SIDE)] for s in (np.flatnonzero(g == a), np.flatnonzero(g == b))]
         found = []
-        for m, p in enumerate(sides[0]):
-            for q in sides[1][m:] if a == b else sides[1]:
-                own = a == b and p is not q and (p[0] == q[0])
-                at = p if own else np.concatenate([p, q])
-                d = np.maximum(distances(x[at], x[at]), np.maximum(core[at][:, None], core[at]))
-                i, j, w = tree(len(at), d.__getitem__, ids[at])
-                if not own:
-                    between = (i < len(p)) != (j < len(p))
-                    i, j, w = i[between], j[between], w[between]
-                i, j = ids[at[i]], ids[at[j]]
-                found.append((np.minimum(i, j), np.maximum(i, j), w))
+        for p, q, same in _products(np.flatnonzero(g == a), np.flatnonzero(g == b), a == b):
+            d = distances(x[p], x[q])
+            np.maximum(d, core[p][:, None], out=d)
+            np.maximum(d, core[q], out=d)
+            i, j, w = tree(len(p), d.__getitem__, ids[p]) if same else tree_between(d, ids[p], ids[q])
+            i, j = ids[p[i]], ids[q[j]]
+            found.append((np.minimum(i, j), np.maximum(i, j), w))
         lo, hi, w = (np.concatenate(c) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         kept = kruskal(lo, hi, w)
         return pa.table({"lo": lo[kept], "hi": hi[kept], "w": w[kept]})

@@ -1,6 +1,9 @@
 """Clustering by cells against clustering in one task, and its parts against brute force."""
 
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from lumenreel.operators import clustering, density
 from lumenreel.params import Clustering
@@ -37,6 +40,60 @@ def test_tree_is_the_least(ties):
     assert sorted(zip(np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j]), d)) == sorted(zip(lo[kept], hi[kept], w[a, b][kept]))
 
 
+@pytest.mark.parametrize("ties", [False, True])
+@pytest.mark.parametrize("m, n", [(40, 25), (1, 30), (30, 1)])
+def test_tree_between_is_the_least(ties, m, n):
+    rng = np.random.default_rng(m + ties)
+    d = rng.integers(1, 5, (m, n)).astype(float) if ties else rng.random((m, n))
+    ids = rng.permutation(600)[: m + n]
+    i, j, w = density.tree_between(d, ids[:m], ids[m:])
+    a, b = np.divmod(np.arange(m * n), n)
+    lo, hi = np.minimum(ids[a], ids[m + b]), np.maximum(ids[a], ids[m + b])
+    kept = density.kruskal(lo, hi, d.ravel())
+    assert sorted(zip(np.minimum(ids[i], ids[m + j]), np.maximum(ids[i], ids[m + j]), w)) == sorted(zip(lo[kept], hi[kept], d.ravel()[kept]))
+
+
+@pytest.mark.parametrize("k", [1, 3, 6, 40])
+def test_core_distances_by_products(spark, monkeypatch, k):
+    monkeypatch.setattr(density, "SIDE", 16)
+    x = blobs(150, 7, copies=20)
+    pts = frame(spark, x).selectExpr("id", "embedding as v", "cast(id * id % 3 as int) as _g")  # groups of 50, 100 and none
+    core = dict(density.core_distances(pts, 3, k).select("id", "core").collect())
+    want = np.sort(density.distances(x, x), axis=1)[:, k - 1]
+    assert np.allclose([core[i] for i in range(150)], want, atol=1e-9)
+
+
+def test_a_cell_holds_small_products_only():
+    x = np.random.default_rng(3).normal(size=(6000, 8))
+    ids, g = np.arange(6000), (np.arange(6000) % 2).astype(np.int32)
+    calls = []
+
+    class Cells:
+        def applyInArrow(self, f, schema):
+            calls.append(f)
+            raise StopIteration
+
+    for make in (lambda: density.core_distances(None, 2, 2), lambda: density.cell_edges(None, 2)):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(density, "_cells", lambda points, groups: Cells())
+            with pytest.raises(StopIteration):
+                make()
+    v = pa.array(x.tolist(), pa.list_(pa.float64()))
+    t = pa.table({"id": ids, "v": v, "core": np.zeros(6000), "_g": g})
+    for f in calls:
+        tracemalloc.start()
+        f((pa.scalar(0), pa.scalar(1)), t)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 4.5 * 8 * density.SIDE**2  # some four matrices of a product
+
+
+def test_cells_are_tasks_of_their_own(spark):
+    points = spark.range(400).selectExpr("id", "array(cast(id as double)) as v", "cast(id % 8 as int) as _g")
+    rows = density._cells(points, 8).applyInArrow(lambda t: t.slice(0, 1).select(["_a"]), "_a int")
+    assert rows.rdd.getNumPartitions() == 72  # put together by bytes, it would be one
+
+
 @pytest.mark.parametrize("n, copies, p", [(700, 0, Clustering(epsilon=0.0)), (500, 160, Clustering(epsilon=0.68, min_samples=4))])
 def test_cells_give_what_one_task_gives(spark, monkeypatch, n, copies, p):
     monkeypatch.setattr(density, "SIDE", 64)
