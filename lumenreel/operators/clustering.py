@@ -104,7 +104,8 @@ def _below(c: int, children: dict[int, list[int]]) -> list[int]:
 def fit(points: DataFrame, p: Clustering = Clustering(), first_label: int = 0, limit: int = LIMIT) -> DataFrame:
     """points(id, embedding) -> (id, cluster_id): labels from first_label on, in the order of a cluster's least id; -1 is noise. Ids are distinct and vectors of
     one dimension; a null vector, or one with nulls, is noise."""
-    points = points.select(F.col("id").cast("long").alias("id"), doubles(F.col("embedding")).alias("v"))
+    v = F.col("embedding") if dict(points.dtypes)["embedding"] == "array<float>" else doubles(F.col("embedding"))
+    points = points.select(F.col("id").cast("long").alias("id"), v.alias("v"))
     there = F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull())
     usable = points.where(there)
     n = usable.count()

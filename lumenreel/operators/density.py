@@ -27,7 +27,7 @@ from ..params import Clustering
 from ..storage import in_order, stored
 
 #: Points of a group, of a side of a distance product, and tree edges merged at a time.
-GROUP, SIDE, BATCH = 16_384, 2_048, 1 << 18
+GROUP, SIDE, BATCH = 8_192, 2_048, 1 << 18
 #: Points whose squared distance is this share of their squared lengths are the same: less is rounding.
 SAME = 1e-12
 
@@ -134,7 +134,7 @@ def kruskal(lo: np.ndarray, hi: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     values = column.combine_chunks()
-    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1).astype(float)
 
 
 def _cells(points: DataFrame, groups: int) -> DataFrame:
@@ -323,9 +323,9 @@ def chosen(clusters: DataFrame, members: DataFrame, whole: int, p: Clustering) -
 
 
 def fit(points: DataFrame, p: Clustering, group: int = GROUP, batch: int = BATCH) -> DataFrame:
-    """points(id long, v array<double>) with distinct ids and vectors of one dimension, at least as many as a cluster needs -> (id, cluster_id) of those that aren't noise."""
+    """points(id long, v array<double> or array<float>, which is shuffled as it is) with distinct ids and vectors of one dimension, at least as many as a cluster needs -> (id, cluster_id) of those that aren't noise."""
     n = points.count()
-    groups = max(-(-n // group), min(8, -(-n // SIDE)))
+    groups = max(-(-n // group), min(16, -(-n // SIDE)))
     pts = stored(points.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(groups)).cast("int").alias("_g")), "density-points")
     pts = stored(core_distances(pts, groups, p.min_samples), "density-core")
     spanning = stored(spanning_forest(cell_edges(pts, groups), "density-forest")[0], "density-tree")

@@ -113,3 +113,10 @@ def test_noise_alone_and_odd_rows(spark):
     assert (labelled(clustering.fit(frame(spark, x), p, limit=10)) == -1).all()
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(100, None), (101, [None, 1.0])], "id long, embedding array<double>")
     assert (labelled(clustering.fit(rows, p)) == -1).all() and clustering.fit(rows, p).count() == 42
+
+
+def test_floats_are_clustered_as_doubles(spark):
+    x = blobs(300, 11).astype(np.float32)
+    rows = frame(spark, x.astype(float)).selectExpr("id", "cast(embedding as array<float>) as embedding")
+    want = clustering.labels_of(x.astype(float))
+    assert (labelled(clustering.fit(rows, limit=10)) == want).all() and (labelled(clustering.fit(rows)) == want).all() and want.max() > 1
