@@ -120,3 +120,88 @@ def test_floats_are_clustered_as_doubles(spark):
     rows = frame(spark, x.astype(float)).selectExpr("id", "cast(embedding as array<float>) as embedding")
     want = clustering.labels_of(x.astype(float))
     assert (labelled(clustering.fit(rows, limit=10)) == want).all() and (labelled(clustering.fit(rows)) == want).all() and want.max() > 1
+
+
+def test_few_pairs_are_measured_in_64_bits(monkeypatch):
+    x = np.random.default_rng(5).normal(size=(8000, 16))
+    x[-30:] = x[-31]
+    made, measured = [], []
+
+    class Cells:
+        def applyInArrow(self, f, schema):
+            made.append(f)
+            raise StopIteration
+
+    monkeypatch.setattr(density, "_cells", lambda points, groups: Cells())
+    with pytest.raises(StopIteration):
+        density.core_distances(None, 2, 6)
+    for name in ("squares", "squares_of"):
+        if f := getattr(density, name, None):
+            monkeypatch.setattr(density, name, lambda *a, f=f: (measured.append(f(*a)), measured[-1])[1])
+    t = pa.table({"id": np.arange(8000), "v": pa.array(x.tolist(), pa.list_(pa.float64())), "_g": (np.arange(8000) % 2).astype(np.int32)})
+    near = made[0]((pa.scalar(0), pa.scalar(1)), t).sort_by("id").column("near").to_pylist()
+    assert sum(m.size for m in measured) < 4000 * 4000 / 20  # all of them, before
+    for i in (0, 1, 4001, 7969, 7990):
+        others = np.flatnonzero(np.arange(8000) % 2 != i % 2)
+        d = density.distances(x[i : i + 1], x[others])[0]
+        order = np.lexsort((others, d))[:5]
+        assert [n["id"] for n in near[i]] == others[order].tolist() and np.allclose([n["d"] for n in near[i]], d[order], rtol=1e-8)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-12, 1e150])
+def test_floors_are_below(scale):
+    x = np.random.default_rng(6).normal(size=(300, 40)) * scale * 10.0 ** -np.arange(300)[:, None].clip(0, 20)
+    x[100:200] = x[50] * (1 + np.random.default_rng(7).normal(size=(100, 1)) * 1e-7)
+    floors, every = density.Floors(x), np.arange(300)
+    low, square = floors.between(every, every), density.squares(x, x)
+    for k in (0, 3, 299):
+        limits = np.sort(square, axis=1)[:, k]
+        assert (low <= floors.limits(limits)[:, None])[square <= limits[:, None]].all()
+    for axis in (0, 1):
+        limits = floors.first_limits(low, every, every, 4, axis)
+        within = low <= (limits[:, None] if axis else limits)
+        assert within[square <= np.sort(square, axis=1)[:, 3][:, None] if axis else (square <= np.sort(square, axis=0)[3])].all()
+
+
+@pytest.mark.parametrize("ties", [False, True])
+def test_lightest_edges_of_components(ties):
+    rng = np.random.default_rng(8)
+    rows, columns = np.sort(rng.integers(0, 6, 50)), np.sort(rng.integers(3, 9, 37))
+    ids = rng.permutation(500)[:87]
+    left, right = (i[np.lexsort((i, c))] for i, c in ((ids[:50], rows), (ids[50:], columns)))
+    d = rng.integers(1, 4, (50, 37)).astype(float) if ties else rng.random((50, 37))
+    want: dict = {}
+    for i in range(50):
+        for j in range(37):
+            if rows[i] != columns[j]:
+                e = d[i, j], min(left[i], right[j]), max(left[i], right[j])
+                want[rows[i], columns[j]] = min(e, want.get((rows[i], columns[j]), e))
+    i, j, w = density.lightest(d, left, right, rows, columns)
+    got = {(rows[a], columns[b]): (v, min(left[a], right[b]), max(left[a], right[b])) for a, b, v in zip(i, j, w)}
+    assert got == want and len(i) == len(want)
+
+
+def test_open_points_only_meet_again(spark, monkeypatch):
+    """Points that near points join surely aren't compared with all others for edges; those of groups apart are, and give the labels of one task."""
+    rng, seen, edges = np.random.default_rng(9), [], density.cell_edges
+    x = rng.normal(size=(700, 12)) * 4
+    x[600:660] = x[600] + rng.normal(size=(60, 12)) * 0.01
+    x[660:] = x[660]
+    monkeypatch.setattr(density, "cell_edges", lambda points, groups: (seen.append(points.count()), edges(points, groups))[1])
+    p = Clustering(epsilon=0.0)
+    want = clustering.labels_of(x, p)
+    labels = np.full(700, -1)
+    for r in density.fit(frame(spark, x).withColumnRenamed("embedding", "v"), p, group=300).collect():
+        labels[r.id] = r.cluster_id
+    assert (labels == want).all() and want.max() >= 1 and sum(seen) < 350  # all 700, before
+
+
+def test_groups_apart(spark):
+    rng = np.random.default_rng(10)
+    x = np.repeat(rng.normal(size=(25, 4)) * 100, 24, axis=0) + rng.normal(size=(600, 4))
+    p = Clustering(epsilon=0.0, min_samples=3)
+    want = clustering.labels_of(x, p)
+    labels = np.full(600, -1)
+    for r in density.fit(frame(spark, x).withColumnRenamed("embedding", "v"), p, group=200).collect():
+        labels[r.id] = r.cluster_id
+    assert (labels == want).all() and want.max() > 20
