@@ -194,18 +194,19 @@ def lightest(d: np.ndarray, left: np.ndarray, right: np.ndarray, rows: np.ndarra
         of.append(new.cumsum() - 1)
     parts = len(first[1])
     best = np.minimum.reduceat(d, first[1], axis=1)  # of a row to a component, where the first is the one with the least id
-    at = _places(d == np.repeat(best, np.diff(first[1], append=n), axis=1))
-    to = at // n * parts + of[1][at % n]
-    j = at[np.concatenate([[True], to[1:] != to[:-1]])] % n
-    at = _places(best == np.minimum.reduceat(best, first[0], axis=0)[of[0]])
-    i, j, to = at // parts, j[at], at % parts
-    a, b = left[i], right[j]
-    order = np.lexsort((np.maximum(a, b), np.minimum(a, b), to, of[0][i]))
-    pair = of[0][i[order]] * parts + to[order]
-    order = order[np.concatenate([[True], pair[1:] != pair[:-1]])]
-    i, j = i[order], j[order]
-    apart = rows[i] != columns[j]
-    return i[apart], j[apart], best.ravel()[at[order]][apart]
+    equal = d == np.repeat(best, np.diff(first[1], append=n), axis=1)
+    if np.count_nonzero(equal) > equal.size // 8:
+        j = np.minimum.reduceat(np.where(equal, np.arange(n, dtype=np.int32), np.int32(n)), first[1], axis=1)
+    else:
+        at = _places(equal)
+        to = at // n * parts + of[1][at % n]
+        j = at[np.concatenate([[True], to[1:] != to[:-1]])].reshape(m, parts) % n
+    kept = best == np.minimum.reduceat(best, first[0], axis=0)[of[0]]
+    for end in (np.minimum(left[:, None], right[j]), np.maximum(left[:, None], right[j])):
+        end = np.where(kept, end, np.iinfo(np.int64).max)
+        kept &= end == np.minimum.reduceat(end, first[0], axis=0)[of[0]]
+    i, to = np.nonzero(kept & (rows[:, None] != columns[first[1]]))
+    return i, j[i, to], best[i, to]
 
 
 def kruskal(lo: np.ndarray, hi: np.ndarray, w: np.ndarray, a: np.ndarray | None = None, b: np.ndarray | None = None) -> np.ndarray:

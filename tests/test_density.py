@@ -164,9 +164,10 @@ def test_floors_are_below(scale):
 
 
 @pytest.mark.parametrize("ties", [False, True])
-def test_lightest_edges_of_components(ties):
+@pytest.mark.parametrize("first", [3, 7])
+def test_lightest_edges_of_components(ties, first):
     rng = np.random.default_rng(8)
-    rows, columns = np.sort(rng.integers(0, 6, 50)), np.sort(rng.integers(3, 9, 37))
+    rows, columns = np.sort(rng.integers(0, 8, 50)), np.sort(rng.integers(first, 9, 37))
     ids = rng.permutation(500)[:87]
     left, right = (i[np.lexsort((i, c))] for i, c in ((ids[:50], rows), (ids[50:], columns)))
     d = rng.integers(1, 4, (50, 37)).astype(float) if ties else rng.random((50, 37))
